@@ -53,6 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of a few splits is spread over the cores, as it is one row group
+    and scoring it would be one task."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
@@ -93,11 +101,11 @@ def posts_of(events: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents"))
+    return posts_of(table(spark, sf_dir, "events"), documents(spark, sf_dir))
 
 
 def post_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_of(event_stream(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return posts_of(event_stream(spark, sf_dir), documents(spark, sf_dir))
 
 
 def dictionary_lines(spark: SparkSession) -> DataFrame:
@@ -123,6 +131,6 @@ def label_word() -> Column:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, airline_sentiment, text) of the labelled documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select("doc_id", label_word().alias("airline_sentiment"), "text")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mentionflow.functions.text import clean, sentences, tokens
+from mentionflow.functions.text import clean, lower_words, sentences
 
 Scorer = Callable[[Column], Column]
 
@@ -35,30 +35,32 @@ def clamp_class(total_weight: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(4), F.lit(NEUTRAL) + total_weight)).cast("int")
 
 
-def sentence_class(sentence: Column, weights: Mapping[str, int]) -> Column:
-    """Class of one sentence; a sentence without known words is neutral.
+def word_class(words: Column, weights: Mapping[str, int]) -> Column:
+    """Class of a sentence from its words; a sentence without known words is neutral.
 
-    Words of equal weight form one set, so a word costs one set test per distinct weight
-    whatever the size of the lexicon.
+    Unknown words go first, by one set test each. Words of equal weight form one set, so the
+    cost of a word does not grow with the lexicon.
     """
     by_weight: dict[int, list[str]] = {}
     for word, weight in sorted(weights.items()):
         if weight:
             by_weight.setdefault(weight, []).append(word)
+    if not by_weight:
+        return clamp_class(F.lit(0))
 
     def weight_of(word: Column) -> Column:
         value = F.lit(0)
-        for weight, words in by_weight.items():
-            value = F.when(word.isin(words), weight).otherwise(value)
+        for weight, same in by_weight.items():
+            value = F.when(word.isin(same), weight).otherwise(value)
         return value
 
-    total = F.aggregate(tokens(sentence), F.lit(0), lambda acc, word: acc + weight_of(word))
-    return clamp_class(total)
+    known = F.filter(words, lambda w: w.isin([w for same in by_weight.values() for w in same]))
+    return clamp_class(F.aggregate(known, F.lit(0), lambda acc, w: acc + weight_of(w)))
 
 
 def sentence_classes(text: Column, weights: Mapping[str, int]) -> Column:
     """Classes of the sentences of a text, in order."""
-    return F.transform(sentences(text), lambda s: sentence_class(s, weights))
+    return F.transform(sentences(F.lower(text)), lambda s: word_class(lower_words(s), weights))
 
 
 def mean_class(text: Column, classes: Column) -> Column:

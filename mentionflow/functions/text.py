@@ -32,9 +32,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(clean(text), SENTENCE_END), lambda s: s.rlike(r"\S"))
 
 
+def lower_words(lowered: Column) -> Column:
+    """Words of a text that is in lower case already, in order."""
+    return F.regexp_extract_all(lowered, F.lit(TOKEN), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1)
+    return lower_words(F.lower(text))
 
 
 def without_stop_words(words: Column, stop_words: list[str]) -> Column:
@@ -49,4 +54,4 @@ def mentions_in(text: Column) -> Column:
 
 def fixed(value: Column, decimals: int) -> Column:
     """A number with a fixed count of decimals, half up; ``null`` for NULL."""
-    return F.coalesce(F.format_string(f"%.{decimals}f", value), F.lit("null"))
+    return F.when(value.isNull(), "null").otherwise(F.format_string(f"%.{decimals}f", value))

@@ -106,8 +106,11 @@ def category_groups(
     max_records: int = MAX_RECORDS,
     **options: int,
 ) -> DataFrame:
-    """The (polarity, text) pairs of each window and category, repeats kept."""
+    """The (polarity, text) pairs of each window and category, repeats kept.
+
+    Sizes are counted over all categories together, so nothing is scored for them.
+    """
     record = F.struct("polarity", "id", "text")
     return sliding_collect(
-        scored, record, "cat", window, slide, distinct=False, max_records=max_records, **options
+        scored, record, "cat", window, slide, distinct=False, size_by=(), max_records=max_records, **options
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from mentionflow import fixtures
 from mentionflow.functions import labels, scoring, text, times
 from mentionflow.operators import (
-    collect,
     dashboard,
     evaluation,
     messages,
@@ -62,7 +61,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return fixtures.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
 
 
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +404,8 @@ def lenient_json(spark, sf_dir):
     raw = fixtures.table(spark, sf_dir, "events").select(
         "event_id", F.coalesce(broken, F.col("props")).alias("value")
     )
-    return messages.lenient_json(raw).select(
+    received = raw.withColumn("value", messages.decoded(F.encode("value", "UTF-8")))
+    return messages.lenient_json(received).select(
         "event_id", "value", F.to_json("parsed").alias("parsed"), "is_valid"
     )
 
@@ -498,7 +498,7 @@ def score_job(spark, sf_dir):
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Runs the prediction job over all documents; those without a label make short lines."""
-    docs = fixtures.table(spark, sf_dir, "documents")
+    docs = fixtures.documents(spark, sf_dir)
     rows = docs.join(fixtures.table(spark, sf_dir, "labels"), "doc_id", "left")
     word = F.when(F.col("quality").isNotNull(), fixtures.label_word())
     one_line = F.regexp_replace("text", r"[\n\r]+", " ")
@@ -535,8 +535,7 @@ def report_sentiment(spark, sf_dir):
     rows = sentiment.scored_posts(
         english(spark, sf_dir).select("id", "created_at", "text"), lexicon_scorer()
     )
-    placed = collect.windowed(rows, DAY, DAY)
-    return reports.in_report_order(reports.sentiment_report(placed, DAY))
+    return reports.in_report_order(reports.sentiment_report(rows, DAY, DAY))
 
 
 @query

@@ -60,3 +60,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so later plans start from stored rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for rows that are read more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mentionflow.functions.labels import to_symbol
 
-def write_messages(messages: DataFrame, fmt: str = "parquet", mode: str = "append", **options: str) -> None:
-    """Write a batch of keyed messages to a broker (``kafka``) or a message table."""
+
+def write_messages(
+    messages: DataFrame, fmt: str = "parquet", path: str | None = None, mode: str = "append", **options: str
+) -> None:
+    """Write a batch of keyed messages to a broker (``kafka``) or to a message table at ``path``.
+
+    A broker only appends, so a repeated batch is sent again.
+    """
     if fmt == "kafka":
-        messages = messages.select("topic", "key", "value")
-    messages.write.format(fmt).mode(mode).options(**options).save()
+        messages.select("topic", "key", "value").write.format("kafka").options(**options).save()
+    else:
+        messages.write.format(fmt).mode(mode).options(**options).save(path)
 
 
 def write_text(lines: DataFrame, path: str, mode: str = "append") -> None:
@@ -36,7 +44,5 @@ def batch_path(path: str, batch_id: int) -> str:
 
 def export_labelled(labelled: DataFrame, path: str, label: str, text: str, mode: str = "errorifexists") -> None:
     """Label symbol and text as JSON lines."""
-    from mentionflow.functions.labels import to_symbol
-
     rows = labelled.select(to_symbol(F.col(label)).alias("polarity"), F.col(text).alias("text"))
     write_json_lines(rows, path, mode)

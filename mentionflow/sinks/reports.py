@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from mentionflow.functions.labels import WORDS, bucket
 from mentionflow.functions.text import fixed
 from mentionflow.functions.times import micros
-from mentionflow.operators.windows import TOP_K, WINDOW, top_k
+from mentionflow.operators.collect import windowed
+from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, top_k
+from mentionflow.session import stored
 
 # Fixed values of the report layout.
 RULE = "_" * 72
@@ -38,30 +40,40 @@ def sentiment_line(score: Column, text: Column) -> Column:
     return F.format_string("[%s]: %s", fixed(score, 1), text)
 
 
-def sentiment_report(windowed_posts: DataFrame, window: str = WINDOW) -> DataFrame:
-    """The lines of the sentiment report, one row each, to be sorted by ``order_columns``.
+def sentiment_report(
+    scored: DataFrame,
+    window: str = WINDOW,
+    slide: str = SLIDE,
+    ends: tuple | None = None,
+) -> DataFrame:
+    """The lines of the sentiment report, one row each, to be put ``in_report_order``.
 
-    Input: one row per window and post with ``polarity``, ``cat`` and ``text``. A line is a
-    row of its own, so no window or category has to fit into one task.
+    Input: posts with ``created_at``, ``id``, ``text``, ``polarity`` and ``cat``; ``ends`` keeps
+    only the windows that end between its two timestamps. A line is a row of its own, so no
+    window or category has to fit into one task. The scored posts are stored first, as the
+    headings and the sort read them again.
     """
-    cat = F.coalesce("cat", F.lit("null"))
-    posts = windowed_posts.select(
-        "window_start", "window_end", cat.alias("cat"), F.lit(1).alias("level"), "polarity", "id",
+    needed = scored.select("created_at", "id", "text", "polarity", F.coalesce("cat", F.lit("null")).alias("cat"))
+    placed = windowed(stored(needed, "report"), window, slide)
+    if ends is not None:
+        placed = placed.where(F.col("window_end").between(*ends))
+    posts = placed.select(
+        "window_start", "window_end", "cat", F.lit(1).alias("level"), "polarity", "id",
         F.concat(F.lit("    "), sentiment_line(F.col("polarity"), F.col("text"))).alias("value"),
     )
-    sections = windowed_posts.select("window_start", "window_end", cat.alias("cat")).distinct()
+    sections = placed.select("window_start", "window_end", "cat").distinct()
     none = F.lit(None)
 
-    def heading(frame: DataFrame, category: Column, level: int, value: Column) -> DataFrame:
+    def heading(frame: DataFrame, category: Column, value: Column) -> DataFrame:
         return frame.select(
-            "window_start", "window_end", category.alias("cat"), F.lit(level).alias("level"),
+            "window_start", "window_end", category.alias("cat"), F.lit(0).alias("level"),
             none.cast("double").alias("polarity"), none.cast("long").alias("id"), value.alias("value"),
         )
 
     windows = sections.select("window_start", "window_end").distinct()
     title = F.lit(f"{RULE}\n{SENTIMENT_TITLE.format(ms=_millis(window))}")
-    titles = heading(windows, F.lit(""), 0, title)
-    headers = heading(sections, F.col("cat"), 0, F.format_string("  (%s)", "cat"))
+    titles = heading(windows, F.lit(""), title)
+    headers = heading(sections, F.col("cat"), F.format_string("  (%s)", "cat"))
     return titles.unionByName(headers).unionByName(posts)
 
 

@@ -16,12 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mentionflow.functions.scoring import Scorer
-from mentionflow.operators.collect import MAX_RECORDS, windowed
+from mentionflow.operators.collect import MAX_RECORDS
 from mentionflow.operators.messages import count_messages, decoded_counts, sentiment_messages
 from mentionflow.operators.posts import counted_mentions, original_posts
 from mentionflow.operators.sentiment import scored_mentions, sentiment_groups
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, direct_count, sliding_count
-from mentionflow.session import checkpointed
 from mentionflow.sinks.files import batch_path, write_messages, write_text
 from mentionflow.sinks.reports import in_report_order, sentiment_report, top_k_report
 
@@ -127,8 +126,7 @@ def start_outputs(
 
 def count_output(path: str, fmt: str = "parquet", **options: str) -> Output:
     def write(counts: DataFrame, batch_id: int) -> None:
-        target = batch_path(path, batch_id)
-        write_messages(count_messages(counts), fmt, "overwrite", path=target, **options)
+        write_messages(count_messages(counts), fmt, batch_path(path, batch_id), "overwrite", **options)
 
     return write
 
@@ -201,7 +199,7 @@ def sentiment_output(
         groups = sentiment_groups(rows, window, slide, max_records)
         done = groups.where(F.col("window_end").between(first, last))
         target = batch_path(path, batch_id)
-        write_messages(sentiment_messages(done), fmt, "overwrite", path=target, **options)
+        write_messages(sentiment_messages(done), fmt, target, "overwrite", **options)
 
     return write
 
@@ -217,8 +215,7 @@ def sentiment_report_output(table: str, path: str, window: str = WINDOW, slide:
         start, first, last = closed
         rows = _rows_between(counts.sparkSession, table, start, last)
         posts = rows.drop("mention").dropDuplicates(["id", "created_at"])
-        placed = windowed(posts, window, slide).where(F.col("window_end").between(first, last))
-        lines = in_report_order(sentiment_report(checkpointed(placed), window))
+        lines = in_report_order(sentiment_report(posts, window, slide, (first, last)))
         write_text(lines, batch_path(path, batch_id), "overwrite")
 
     return write
