@@ -109,7 +109,8 @@ def post_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(line,) for line in DICTIONARY_LINES], "value string")
+    lines = F.array(*[F.lit(line) for line in DICTIONARY_LINES])
+    return spark.range(1).select(F.explode(lines).alias("value"))
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
@@ -121,7 +122,8 @@ def keys(spark: SparkSession) -> DataFrame:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(LEXICON.items()), "word string, weight int")
+    entries = [F.struct(F.lit(w).alias("word"), F.lit(n).alias("weight")) for w, n in LEXICON.items()]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def label_word() -> Column:

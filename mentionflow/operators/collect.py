@@ -59,7 +59,7 @@ def sliding_collect(
 
     ``rows`` have ``id``, ``created_at``, the key and whatever ``record`` uses. The result has
     ``window_start``, ``window_end``, the key, ``part``, ``parts`` and ``records``; a group
-    that fits into one array is one row, a larger one is split by id into ``parts`` rows.
+    that fits into one array is one row, a larger one is split by post into ``parts`` rows.
 
     A record is shuffled once per block of windows, not once per window: a block is four
     window lengths of window starts, so a record goes to 1.25 blocks on average, and the
@@ -84,8 +84,9 @@ def sliding_collect(
             "_parts", F.coalesce("_parts", F.lit(1))
         )
 
-    # Equal ids meet in one part, where they collapse; if they must not, spread them as well.
-    spread = F.xxhash64("id") if distinct else F.xxhash64("id", F.spark_partition_id())
+    # Equal records meet in one part, where they collapse; if they must not, spread them too.
+    identity = ["id", "created_at"]
+    spread = F.xxhash64(*identity) if distinct else F.xxhash64(*identity, F.spark_partition_id())
     gather = F.collect_set if distinct else F.collect_list
     item = F.struct(F.unix_millis("created_at").alias("at"), record.alias("record"))
     gathered = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 LITERAL_ROWS = 2_000
-SALTS = 64
+SALTS = 16
 
 
 def fits(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:

@@ -11,7 +11,7 @@ from mentionflow.functions.labels import bucket
 from mentionflow.functions.scoring import Scorer, clamp_class, lexicon_scorer
 from mentionflow.functions.text import clean, sentences, tokens
 from mentionflow.operators.collect import MAX_RECORDS, sliding_collect
-from mentionflow.operators.lookup import BROADCAST_ROWS, bounded_values, lookup_join
+from mentionflow.operators.lookup import LITERAL_ROWS, bounded_values, lookup_join
 from mentionflow.operators.posts import emitted_post, with_hits
 from mentionflow.operators.windows import SLIDE, WINDOW
 
@@ -21,7 +21,7 @@ def score_text(df: DataFrame, text: str = "text", scorer: Scorer | None = None,
     return df.withColumn(name, (scorer or lexicon_scorer())(F.col(text)))
 
 
-def lexicon_weights(lexicon: DataFrame, max_rows: int = BROADCAST_ROWS) -> Mapping[str, int] | None:
+def lexicon_weights(lexicon: DataFrame, max_rows: int = LITERAL_ROWS) -> Mapping[str, int] | None:
     """A (word, weight) table as a mapping, or None if it has more than ``max_rows`` words."""
     entries = bounded_values(lexicon.select(F.struct("word", "weight").alias("e")), "e", max_rows)
     return None if entries is None else {e["word"]: e["weight"] for e in entries}

@@ -20,8 +20,9 @@ from mentionflow.sources.labelled import (
 
 def scored_labelled(labelled: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """(text, polarity, sentiment): cleaned, checked and scored."""
-    cleaned = labelled.select(assert_clean(clean(F.col("text"))).alias("text"), "polarity")
-    return score_text(cleaned, scorer=scorer, name="sentiment")
+    cleaned = labelled.select(clean(F.col("text")).alias("text"), "polarity")
+    checked = cleaned.withColumn("text", assert_clean(F.col("text")))
+    return score_text(checked, scorer=scorer, name="sentiment")
 
 
 def score_job(spark: SparkSession, in_path: str, out_path: str | None = None, scorer: Scorer | None = None) -> str:

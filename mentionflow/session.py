@@ -4,26 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def build_session(app_name: str = "mentionflow", **conf: str) -> SparkSession:
+# Batch shuffles start with about one partition per this many input bytes, within bounds.
+BYTES_PER_PARTITION = 256 * 1024 * 1024
+MIN_PARTITIONS, MAX_PARTITIONS = 200, 100_000
+
+
+def initial_partitions(input_bytes: int) -> int:
+    return max(MIN_PARTITIONS, min(MAX_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION)))
+
+
+def build_session(
+    app_name: str = "mentionflow", input_bytes: int = 0, conf: Mapping[str, str] | None = None
+) -> SparkSession:
     """A session with the settings the jobs expect; ``conf`` overrides or adds to them.
 
-    The number of shuffle partitions is left to the cluster: in batch, adaptive execution
-    coalesces them towards the advisory size, so a generous setting costs little.
+    Batch shuffles start with enough partitions for ``input_bytes`` and adaptive execution
+    coalesces small ones. Streams do not adapt: they use ``spark.sql.shuffle.partitions``, which
+    is fixed for the life of a checkpoint and left to the caller.
     """
     settings = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial_partitions(input_bytes)),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
-    settings.update(conf)
+    settings.update(conf or {})
     builder = SparkSession.builder.appName(app_name)
     for key, value in settings.items():
         builder = builder.config(key, value)
