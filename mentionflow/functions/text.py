@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 UNREADABLE = r"[\x{FE0F}\x{1F000}-\x{1F7FF}]"
 SENTENCE_END = r"[.!?]+"
 TOKEN = r"([a-z']+)"
-MENTION = r"(?:^|[^\w@])@(\w+)"
+# An @ that does not follow a word character or another @; led by the literal, which is rare.
+MENTION = r"@(?<![\w@]@)(\w+)"
 
 
 def clean(text: Column) -> Column:
