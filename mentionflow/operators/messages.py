@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mentionflow.functions.times import from_epoch_millis
 from mentionflow.schemas import COUNT_VALUE, SENTIMENT_VALUE
 
+# Topic names.
 COUNT_TOPIC = "top-counts"
 SENTIMENT_TOPIC = "sentiment"
 

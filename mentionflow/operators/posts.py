@@ -12,6 +12,7 @@ from mentionflow.functions.text import mentions_in
 from mentionflow.functions.times import epoch_millis
 from mentionflow.operators.lookup import bounded_values, lookup_join
 
+# The mention of a post without a known one, and the language kept.
 UNKNOWN = "<unk>"
 LANGUAGE = "en"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mentionflow.functions.times import from_micros, micros
 from mentionflow.session import checkpointed
 
+# Window length, slide, and size of a top list.
 WINDOW = "5 minutes"
 SLIDE = "1 minute"
 TOP_K = 10

@@ -36,6 +36,7 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf or {})
     builder = SparkSession.builder.appName(app_name)

@@ -12,10 +12,15 @@ from mentionflow.operators.collect import windowed
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, top_k
 from mentionflow.session import stored
 
-# Fixed values of the report layout.
+# Fixed values of the layouts.
 RULE = "_" * 72
 TOP_TITLE = "Top {k} handles in the last {ms} ms (non-cumulative):"
 SENTIMENT_TITLE = "Tweets with sentiment in the last {ms} ms:"
+TOP_LINE = "%d -> @%s"
+SENTIMENT_HEADER = "  (%s)"
+SENTIMENT_LINE = "[%s]: %s"
+PREDICTION_LINE = "NA\t%s\t%s\t%s\t%s\t%s"
+LOCATION = "GeoLocation{latitude=%s, longitude=%s}"
 DATE_FORMAT = "EEE MMM dd HH:mm:ss zzz yyyy"
 POST_FIELDS = 10
 
@@ -27,7 +32,7 @@ def _millis(window: str) -> int:
 def top_k_report(counts: DataFrame, k: int = TOP_K, window: str = WINDOW) -> DataFrame:
     """One report text per window: rule, title and one line per item, largest first."""
     top = top_k(counts, k)
-    line = F.format_string("%d -> @%s", "count", "mention")
+    line = F.format_string(TOP_LINE, "count", "mention")
     items = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))  # at most k
     lines = F.array_join(F.transform(items, lambda i: i["line"]), "\n  ")
     head = f"{RULE}\n{TOP_TITLE.format(k=k, ms=_millis(window))}\n  "
@@ -37,7 +42,7 @@ def top_k_report(counts: DataFrame, k: int = TOP_K, window: str = WINDOW) -> Dat
 
 
 def sentiment_line(score: Column, text: Column) -> Column:
-    return F.format_string("[%s]: %s", fixed(score, 1), text)
+    return F.format_string(SENTIMENT_LINE, fixed(score, 1), text)
 
 
 def sentiment_report(
@@ -73,7 +78,7 @@ def sentiment_report(
     windows = sections.select("window_start", "window_end").distinct()
     title = F.lit(f"{RULE}\n{SENTIMENT_TITLE.format(ms=_millis(window))}")
     titles = heading(windows, F.lit(""), title)
-    headers = heading(sections, F.col("cat"), F.format_string("  (%s)", "cat"))
+    headers = heading(sections, F.col("cat"), F.format_string(SENTIMENT_HEADER, "cat"))
     return titles.unionByName(headers).unionByName(posts)
 
 
@@ -92,7 +97,7 @@ def prediction_lines(labelled: DataFrame) -> DataFrame:
     """``NA, uid, predicted, score, actual, text`` lines from uid, actual, text and score."""
     predicted = F.coalesce(bucket(F.col("score"), WORDS), F.lit("null"))
     line = F.format_string(
-        "NA\t%s\t%s\t%s\t%s\t%s", "uid", predicted, fixed(F.col("score"), 2), "actual", "text"
+        PREDICTION_LINE, "uid", predicted, fixed(F.col("score"), 2), "actual", "text"
     )
     return labelled.select(line.alias("value"))
 
@@ -101,9 +106,10 @@ def post_lines(posts: DataFrame) -> DataFrame:
     """Ten tab-separated fields per post, ``null`` for what is missing."""
     geo = F.when(
         F.col("geo").isNotNull(),
-        F.format_string("GeoLocation{latitude=%s, longitude=%s}",
-                        F.col("geo.latitude").cast("string"), F.col("geo.longitude").cast("string")),
-    )
+        F.format_string(
+            LOCATION, F.col("geo.latitude").cast("string"), F.col("geo.longitude").cast("string")
+        ),
+    )
     fields = [
         F.col("id"), F.col("lang"), F.col("user.name"), F.col("place"), geo,
         F.unix_millis("created_at"), F.date_format("created_at", DATE_FORMAT),

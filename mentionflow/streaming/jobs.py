@@ -64,6 +64,17 @@ def run_bounded(queries: Sequence[StreamingQuery], max_seconds: float = MAX_RUN_
             query.stop()
 
 
+def wait_for_rows(query: StreamingQuery, max_seconds: float = 600) -> None:
+    """Wait until a query has written its first rows, so that another can read its table."""
+    deadline = time.monotonic() + max_seconds
+    while not any(p["numInputRows"] for p in query.recentProgress):
+        if query.exception() is not None:
+            raise query.exception()
+        if time.monotonic() > deadline or not query.isActive:
+            raise TimeoutError("the query has not written any rows")
+        time.sleep(0.5)
+
+
 def window_counts(
     posts: DataFrame,
     keys: DataFrame,
@@ -147,8 +158,13 @@ def start_scored_table(
     scorer: Scorer | None = None,
     strict_reference: bool = False,
     trigger: dict | None = None,
+    **sink_options: str,
 ) -> StreamingQuery:
-    """Score posts as they arrive and append them to a table split by day."""
+    """Score posts as they arrive and append them to a table split by day.
+
+    ``retention``, e.g. ``7d``, is a useful sink option: it bounds the list of files that readers go through,
+    and hides rows older than that.
+    """
     scored = scored_mentions(original_posts(posts), keys, scorer, strict_reference)
     return (
         scored.withColumn("day", F.to_date("created_at"))
@@ -157,6 +173,7 @@ def start_scored_table(
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
+        .options(**sink_options)
         .trigger(**(trigger or every()))
         .start()
     )

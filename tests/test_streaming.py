@@ -201,6 +201,31 @@ def test_consumer_takes_what_is_there_and_goes_on_from_there(spark, keys, tmp_pa
     assert drain() == {"ann": 13, "bob": 4}
 
 
+def test_a_reader_can_start_once_the_table_has_rows(spark, feed, keys, tmp_path):
+    table, out = str(tmp_path / "table"), str(tmp_path / "out")
+    feed.end()
+    writer = jobs.start_scored_table(
+        feed.stream(), keys, table, str(tmp_path / "c1"), SCORER, trigger=jobs.every("1 second"), retention="7d"
+    )
+    try:
+        jobs.wait_for_rows(writer, 60)
+        counts = jobs.scored_table_counts(spark, table)
+        output = jobs.sentiment_output(table, out)
+        run(jobs.start_outputs(counts, [output], str(tmp_path / "c2"), jobs.AVAILABLE_NOW))
+    finally:
+        writer.stop()
+    assert spark.read.parquet(out).count() > 0
+    with pytest.raises(TimeoutError):
+        jobs.wait_for_rows(idle(spark, tmp_path), 1)
+
+
+def idle(spark, tmp_path):
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], POSTS).write.parquet(empty)
+    writer = stream_posts(spark, empty).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c3"))
+    return writer.trigger(**jobs.AVAILABLE_NOW).start()
+
+
 def test_a_bounded_run_stops_its_queries(spark, feed, keys, tmp_path):
     counts = jobs.window_counts(feed.stream(), keys)
     query = jobs.start_counts(counts, str(tmp_path / "out"), str(tmp_path / "c"), jobs.every("1 second"))
