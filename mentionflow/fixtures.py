@@ -66,13 +66,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
 
 
-def posts_of(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """Posts from events (batch or streaming) and documents.
+def posts_of(events: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """Posts from events (batch or streaming) and the n documents, numbered from 0.
 
     The handle is the event type, in capitals if the event's number k is 50 or more and once
     more in small letters if it is 80 or more; then comes the user.
     """
-    n = documents.count()
     k = F.get_json_object("props", "$.k").cast("int")
     first = F.when(k >= 50, F.upper("event_type")).otherwise(F.col("event_type"))
     user_handle = F.concat(F.lit("user"), F.col("user_id").cast("string"))
@@ -101,11 +100,13 @@ def posts_of(events: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_of(table(spark, sf_dir, "events"), documents(spark, sf_dir))
+    n = table(spark, sf_dir, "documents").count()
+    return posts_of(table(spark, sf_dir, "events"), documents(spark, sf_dir), n)
 
 
 def post_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_of(event_stream(spark, sf_dir), documents(spark, sf_dir))
+    n = table(spark, sf_dir, "documents").count()
+    return posts_of(event_stream(spark, sf_dir), documents(spark, sf_dir), n)
 
 
 def dictionary_lines(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.functions.times import micros
-from mentionflow.operators.lookup import BROADCAST_ROWS
+from mentionflow.operators.lookup import BROADCAST_ROWS, fits
 from mentionflow.operators.windows import SLIDE, WINDOW
 from mentionflow.session import checkpointed
 
@@ -62,7 +62,7 @@ def sliding_collect(
     that fits into one array is one row, a larger one is split by post into ``parts`` rows.
 
     A record is shuffled once per block of windows, not once per window: a block is four
-    window lengths of window starts, so a record goes to 1.25 blocks on average, and the
+    window lengths of window starts, so a record goes to 1.2 blocks or so, and the
     windows of a block are cut from its array afterwards.
 
     Sizes are counted beforehand, per block and key. For a key that is costly to compute,
@@ -75,11 +75,10 @@ def sliding_collect(
     blocks = _with_blocks(rows, window_ms, slide_ms, block_ms)
 
     crowded = checkpointed(_crowded(blocks, size_by, max_records))
-    n_crowded = crowded.count()
-    if n_crowded == 0:
+    if crowded.isEmpty():
         sized = blocks.withColumn("_parts", F.lit(1))
     else:
-        side = F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded
+        side = F.broadcast(crowded) if fits(crowded, broadcast_rows) else crowded
         sized = blocks.join(side, ["_block", *size_by], "left").withColumn(
             "_parts", F.coalesce("_parts", F.lit(1))
         )

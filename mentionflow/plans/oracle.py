@@ -192,6 +192,15 @@ input AS (
 )
 """
 
+SENTIMENT_REPORT = f"""
+SELECT '    [' || {fixed('polarity', 1)} || ']: ' || text AS value FROM placed
+UNION ALL
+SELECT '  (' || cat || ')' FROM (SELECT DISTINCT window_start, cat FROM placed)
+UNION ALL
+SELECT repeat('_', 72) || chr(10) || 'Tweets with sentiment in the last 86400000 ms:'
+FROM (SELECT DISTINCT window_start FROM placed)
+"""
+
 DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
 
 SENTIMENT_ROWS = f"WITH {SCORED}, placed AS ({sliding('scored', *DAILY)})"
@@ -366,12 +375,7 @@ ORACLE: dict[str, str] = {
         WHERE actual IS NULL OR contains(text, chr(9))""",
     "report_topk": with_counts(DAILY, TOP_REPORT + "SELECT * FROM reports"),
     "report_sentiment": f"""WITH {SCORED_POSTS}, placed AS ({sliding('scored_posts', *TUMBLING)})
-        SELECT '    [' || {fixed('polarity', 1)} || ']: ' || text AS value FROM placed
-        UNION ALL
-        SELECT '  (' || cat || ')' FROM (SELECT DISTINCT window_start, cat FROM placed)
-        UNION ALL
-        SELECT repeat('_', 72) || chr(10) || 'Tweets with sentiment in the last 86400000 ms:'
-        FROM (SELECT DISTINCT window_start FROM placed)""",
+        {SENTIMENT_REPORT}""",
     "zero_filled_dictionary": f"""WITH {MENTIONS}, {SUPPLIER_LINES},
         handles AS (
           SELECT lower(handle) AS handle FROM lines
@@ -394,6 +398,10 @@ ORACLE: dict[str, str] = {
     "stream_sentiment": f"""{SENTIMENT_ROWS}
         SELECT mention AS key, window_start, window_end, id, cat, round(polarity, 6) AS polarity
         FROM placed""",
+    "stream_report_sentiment": f"""WITH {SCORED},
+        once AS (SELECT DISTINCT id, created_at, text, cat, polarity FROM scored),
+        placed AS ({sliding('once', *TUMBLING)})
+        SELECT unnest(string_split(value, chr(10))) AS value FROM ({SENTIMENT_REPORT})""",
     "stream_recount": with_counts(
         DAILY,
         """SELECT window_end, lower(mention) AS handle, CAST(sum(count) AS BIGINT) AS count

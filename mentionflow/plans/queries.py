@@ -636,6 +636,21 @@ def stream_sentiment(spark, sf_dir):
     )
 
 
+@query
+def stream_report_sentiment(spark, sf_dir):
+    table, out = scratch_path(spark, "scored"), scratch_path(spark, "report")
+    scoring_query = streams.start_scored_table(
+        ended_post_stream(spark, sf_dir), fixtures.keys(spark), table,
+        scratch_path(spark, "checkpoint"), lexicon_scorer(), trigger=streams.AVAILABLE_NOW,
+    )
+    streams.run_bounded([scoring_query])
+    counts = streams.scored_table_counts(spark, table, DAY, DAY)
+    outputs = [streams.sentiment_report_output(table, out, DAY, DAY)]
+    checkpoint = scratch_path(spark, "checkpoint")
+    streams.run_bounded([streams.start_outputs(counts, outputs, checkpoint, streams.AVAILABLE_NOW)])
+    return spark.read.option("lineSep", "\n").text(out).select("value")
+
+
 @query
 def stream_recount(spark, sf_dir):
     source, out = scratch_path(spark, "messages"), scratch_path(spark, "recount")
