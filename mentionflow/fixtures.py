@@ -72,18 +72,21 @@ def posts_of(events: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     The handle is the event type, in capitals if the event's number k is 50 or more and once
     more in small letters if it is 80 or more; then comes the user.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
+    numbered = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     first = F.when(k >= 50, F.upper("event_type")).otherwise(F.col("event_type"))
     user_handle = F.concat(F.lit("user"), F.col("user_id").cast("string"))
-    mentions = F.when(k >= 80, F.array(first, F.col("event_type"), user_handle)).otherwise(
+    handles = F.when(k >= 80, F.array(first, F.col("event_type"), user_handle)).otherwise(
         F.array(first, user_handle)
     )
+    mentions = F.col("mentions")
     party = F.when(F.col("event_type") == "purchase", " \U0001f389").otherwise("")
     text = F.concat(F.concat_ws(" ", F.transform(mentions, lambda m: F.concat(F.lit("@"), m))), F.lit(" "), F.col("text"), party)
     is_error, is_click, is_view = [F.col("event_type") == t for t in ("error", "click", "view")]
     user = F.struct(F.col("user_id").alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"))
     geo = F.struct(F.col("value").alias("latitude"), (-F.col("value")).alias("longitude"))
-    joined = events.withColumn("doc_id", F.col("event_id") % n).join(documents, "doc_id")
+    mentioning = numbered.withColumns({"mentions": handles, "doc_id": F.col("event_id") % n})
+    joined = mentioning.join(documents, "doc_id")
     return joined.select(
         F.col("event_id").alias("id"),
         "lang",
@@ -91,11 +94,11 @@ def posts_of(events: DataFrame, documents: DataFrame, n: int) -> DataFrame:
         F.when(is_view, F.col("source")).alias("place"),
         F.when(is_click, geo).alias("geo"),
         F.col("ts").cast("timestamp").alias("created_at"),
-        k.alias("retweet_count"),
+        F.col("k").alias("retweet_count"),
         text.alias("text"),
         (F.col("n_chars") > TRUNCATED_CHARS).alias("is_truncated"),
         (F.col("source") == REPOST_SOURCE).alias("is_retweet"),
-        mentions.alias("mentions"),
+        "mentions",
     )
 
 

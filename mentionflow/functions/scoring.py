@@ -64,11 +64,18 @@ def sentence_classes(text: Column, weights: Mapping[str, int]) -> Column:
 
 
 def mean_class(text: Column, classes: Column) -> Column:
-    """Mean class: 0.0 for an empty text, NULL for a text without sentences."""
-    total = F.aggregate(classes, F.lit(0), lambda acc, c: acc + c)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(
-        F.try_divide(total.cast("double"), F.size(classes).cast("double"))
+    """Mean class: 0.0 for an empty text, NULL for a text without sentences.
+
+    One fold keeps sum and count, as naming ``classes`` twice would compute them twice.
+    """
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"))
+    mean = F.aggregate(
+        classes,
+        start,
+        lambda acc, c: F.struct((acc["total"] + c).alias("total"), (acc["n"] + 1).alias("n")),
+        lambda acc: F.try_divide(acc["total"].cast("double"), acc["n"].cast("double")),
     )
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(mean)
 
 
 def most_extreme(classes: Column) -> Column:

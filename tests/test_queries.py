@@ -39,3 +39,22 @@ def test_scratch_paths_are_new_and_below_the_shared_folder(spark):
     assert one != two and one.startswith(shared_dir(spark))
     assert spark.conf.get("spark.checkpoint.dir") == shared_dir(spark)
 
+
+
+PLANS = [
+    "sliding_count_panes", "topk_per_window", "scored_mention_rows", "sentiment_messages", "posneg_rollup",
+    "zero_filled_dictionary", "precision_recall",
+]
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_plans_have_no_nested_loops(spark, sf_dir, name):
+    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_counting_does_not_read_the_text(spark, sf_dir):
+    plan = queries()["sliding_count_panes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and not any("text:string" in scan or "text#" in scan for scan in scans)
+    assert any("EqualTo(lang,en)" in scan for scan in scans)
