@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.llm import quality_rules
+from mentionflow.llm import bpe, mixing, quality_rules
 from mentionflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the BPE query; TOKENIZER_DIR names another folder."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -26,3 +32,21 @@ def op5_quality_rules(spark, sf_dir):
         "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines",
         "quality.n_repeat_words", "quality.base_failed", "quality.kept",
     )
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = bpe.encoded(docs, tokenizer_path(), decoded="decoded", keep=["doc_id"], packed=True)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / bpe.ID_BYTES).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    rows = mixing.accounted(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
