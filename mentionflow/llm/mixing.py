@@ -35,7 +35,7 @@ from mentionflow.session import checkpointed
 MAX_SOURCES = 1_000_000
 MAX_BLOCKS = 1 << 18  # of one source
 MAX_ALL_BLOCKS = 1 << 28  # so that quotas stay below what numpy's generators take
-EXTRAS = 32  # documents taken beyond the first of the last block, to come near the target
+EXTRAS = 64  # documents of the last block among which those nearest to the target are chosen
 CHUNK = 4096
 
 
@@ -130,27 +130,37 @@ def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("__pos", F.pmod(block * F.col("__factor") + F.col("__shift"), F.col("__blocks")))
 
 
+def nearest_subset(words: Sequence[int], target: float) -> list[int]:
+    """Indices of the words whose sum is nearest to ``target``, exact up to a millionth of it."""
+    scale = max(1, int(target) // 1_000_000)
+    sums = [1]  # bit s of sums[k]: some of the first k give s
+    for w in words:
+        sums.append(sums[-1] | sums[-1] << (int(w) // scale))
+    aim = int(target / scale + 0.5)
+    below = sums[-1] & ((1 << (aim + 1)) - 1)
+    above = sums[-1] >> aim
+    low = below.bit_length() - 1
+    high = aim + (above & -above).bit_length() - 1 if above else None
+    best = low if high is None or aim - low <= high - aim else high
+    chosen = []
+    for k in range(len(words), 0, -1):
+        if not sums[k - 1] >> best & 1:
+            chosen.append(k - 1)
+            best -= int(words[k - 1]) // scale
+    return chosen[::-1]
+
+
 def _last_block(mix: Mix):
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         """Which units of a source's last block are taken: up to ``cut`` in order, and ``extras``."""
         rows = rows.sort_values(["v", "u"], kind="stable")
         words, left = rows["words"].to_numpy(), float(rows["left"].iloc[0])
-        fits = np.cumsum(words) <= left
-        n = len(words) if fits.all() else int(np.argmin(fits))
+        n = max(0, int(np.searchsorted(np.cumsum(words), left, side="right")) - EXTRAS // 2)
         left -= float(words[:n].sum())
-        extras = []
-        for i in range(n, len(words)):
-            if len(extras) == EXTRAS - 1:
-                break
-            if words[i] <= left:
-                extras.append(i)
-                left -= float(words[i])
-        rest = [i for i in range(n, len(words)) if i not in set(extras) and words[i] < 2 * left]
-        if rest:  # one word more than the target is nearer than leaving the gap
-            extras.append(min(rest, key=lambda i: abs(words[i] - left)))
+        chosen = nearest_subset(words[n : n + EXTRAS].tolist(), left)
         cut = int(rows["v"].iloc[n - 1]) if n else None
-        chosen = [int(rows["u"].iloc[i]) for i in extras]
-        return pd.DataFrame({"__s": [rows["s"].iloc[0]], "__cut": pd.array([cut], "Int64"), "__extras": [chosen]})
+        extras = [int(rows["u"].iloc[n + i]) for i in chosen]
+        return pd.DataFrame({"__s": [rows["s"].iloc[0]], "__cut": pd.array([cut], "Int64"), "__extras": [extras]})
 
     return pick
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.llm import bpe, mixing, quality_rules
+from mentionflow.llm import bpe, mixing, quality_rules, secret_scan, substring_dedup
 from mentionflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,30 @@ def op7_bpe(spark, sf_dir):
 def op8_mixing(spark, sf_dir):
     rows = mixing.accounted(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = secret_scan.scanned(docs, keep=["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(found):
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return rows.select(
+        "doc_id", *[count(kind) for kind in secret_scan.BASE_KINDS],
+        F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined("secrets").alias("spans"),
+    )
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = substring_dedup.deduplicated(docs, keep=["doc_id"])
+    return rows.select(
+        "doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.encode("dedup.kept", "UTF-8"), 256).alias("kept_sha256")
+    )

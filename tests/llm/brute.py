@@ -21,3 +21,22 @@ def quality(text):
         len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)),
         len(lines) - len(set(lines)), len(covered), failed,
     )
+
+
+def substring_kept(rows, window=20):
+    """[(n_words, kept words)] of (doc_id, text) rows."""
+    below = -(1 << 63)
+    rows = [(below if d is None else d, WORD.findall(t or "")) for d, t in rows]
+    first = {}
+    for d, words in rows:
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            first[key] = min(first.get(key, (d, i)), (d, i))
+    out = []
+    for d, words in rows:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if first[tuple(words[i : i + window])] < (d, i):
+                gone.update(range(i, i + window))
+        out.append((len(words), [w for i, w in enumerate(words) if i not in gone]))
+    return out
