@@ -14,7 +14,6 @@ through; an input column with the name of a result is replaced.
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of any length kept
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 # Candidates of the structural checks.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
@@ -114,18 +113,33 @@ def _algorithm(node: Node) -> bool:
     return bool(node.children) and node.children[0].tag == OBJECT and 3 <= len(node.children[0].body) <= 32
 
 
-def openssh(data: bytes) -> bool:
-    """A private key in OpenSSH's own framing: magic, then length-prefixed strings."""
+def der_size(data: bytes) -> int | None:
+    """How many bytes the element at the start of ``data`` takes."""
+    if len(data) < 2 or data[0] != SEQUENCE:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def openssh_size(data: bytes) -> int | None:
+    """How many bytes a private key in OpenSSH's framing takes: magic, then length-prefixed strings."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
-    at = len(magic)
-    for _ in range(3):  # cipher, key derivation, its options
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + n
-        if at + 4 > len(data):
-            return False
-    return int.from_bytes(data[at : at + 4], "big") >= 1
+        return None
+    at, strings = len(magic), 3  # cipher, key derivation, its options
+    for part in (0, 1):
+        for _ in range(strings):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if at > len(data):
+                return None
+        if part == 0:
+            strings = int.from_bytes(data[at : at + 4], "big") + 1  # public keys and the private part
+            at += 4
+            if not 2 <= strings <= 17:
+                return None
+    return at
 
 
 def signed_token(text: str) -> bool:
@@ -140,14 +154,28 @@ def signed_token(text: str) -> bool:
     return bool(signature) != (first["alg"].lower() == "none")
 
 
-def confirmed_key(candidate: str) -> str | None:
-    """The kind of key that a run of base64 or hex letters encodes."""
-    letters = re.sub(r"[\r\n]", "", candidate).rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        data = base64.b64decode(letters + "=" * (-len(letters) % 4), validate=True)
-    except binascii.Error:
+def confirmed_key(candidate: str) -> tuple[str, int] | None:
+    """The kind of key that a run of base64 letters begins with, and where in the run it ends.
+
+    The run may hold further lines; the key must end where one of them does."""
+    lines = [m.span() for m in re.finditer(r"[^\r\n=]+", candidate)]
+    letters = "".join(candidate[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+    usable = letters[: len(letters) - (len(letters) % 4 == 1)]
+    data = base64.b64decode(usable + "=" * (-len(usable) % 4))
+    kind, size = "openssh_key", openssh_size(data)
+    if size is None:
+        kind, size = None, der_size(data)
+    if size is None or size > len(data):
         return None
-    return "openssh_key" if openssh(data) else key_kind(data)
+    left = -(-size * 4 // 3)
+    for a, b in lines:
+        left -= b - a
+        if left <= 0:
+            break
+    kind = kind or key_kind(data[:size])
+    if left or kind is None:
+        return None
+    return kind, b + re.match("={0,2}", candidate[b:]).end()
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -159,8 +187,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in BASE64_RUN.finditer(text):
         # DER keys begin with a sequence, 0x30, which is M in base64; OpenSSH keys with their magic
-        if m[0][0] in "Mb" and (kind := confirmed_key(m[0])):
-            found.append((kind, *m.span()))
+        if m[0][0] in "Mb" and (key := confirmed_key(m[0])):
+            found.append((key[0], m.start(), m.start() + key[1]))
     for m in HEX_RUN.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))

@@ -71,11 +71,15 @@ def test_structures_are_confirmed():
     wrapped = tlv(0x30, tlv(2, b"\0"), algorithm, tlv(4, key))
     public = tlv(0x30, algorithm, tlv(3, b"\0" + key))
     ec = tlv(0x30, tlv(2, b"\1"), tlv(4, b"k" * 32))
-    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"x" * 40
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    ssh += (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"public", b"private" * 9))
     kinds = lambda t: [k for k, *_ in s.spans(t) if k not in s.BASE_KINDS]
     assert kinds(f"é {text} end") == ["private_key"]
     assert s.spans(f"é {text} end")[0][1:] == (2, 2 + len(text))
-    assert kinds(base64.encodebytes(wrapped).decode()) == ["private_key"]
+    for n in range(3):  # lines of 76 letters, the last of any length, and prose after it
+        lines = base64.encodebytes(wrapped[:-n] if n else wrapped).decode()
+        assert kinds(lines + "furthermore, and so on") == ([] if n else ["private_key"])
+        assert s.spans(lines)[-1:] == ([] if n else [("private_key", 0, len(lines) - 1)])
     assert kinds(base64.b64encode(public).decode()) == ["public_key"]
     assert kinds(base64.b64encode(ec).decode()) == ["private_key"]
     assert kinds(base64.b64encode(ssh).decode()) == ["openssh_key"]
