@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.llm import bpe, mixing, quality_rules, secret_scan, substring_dedup
+from mentionflow.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan, substring_dedup
 from mentionflow.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op9_substring_dedup(spark, sf_dir):
     return rows.select(
         "doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.encode("dedup.kept", "UTF-8"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.grouped(table(spark, sf_dir, "documents"))

@@ -122,3 +122,51 @@ def may_repeat(bits: np.ndarray, shape: Shape, hashes: np.ndarray) -> np.ndarray
 
 def text_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
+
+
+COUNTERS = 1 << 21  # of each row of hashed counts
+COUNT_SEGMENT = 1 << 16
+
+
+def _count_places(hashes: np.ndarray, row: int) -> np.ndarray:
+    return (mix(hashes ^ _ROW_SALTS[row]) >> np.uint64(64 - 21)).astype(np.int64)
+
+
+def hashed_counts(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """A count-min sketch of fixed size, ROWS x COUNTERS, over all hashes; gathered on the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((ROWS, COUNTERS), np.int64)
+        for batch in batches:
+            for hashes in hashes_of(batch):
+                for row in range(ROWS):
+                    places, counts = np.unique(_count_places(hashes, row), return_counts=True)
+                    total[row, places] += counts
+        parts = total.reshape(-1, COUNT_SEGMENT)
+        for segment in np.flatnonzero(parts.any(axis=1)):
+            packed = pa.compress(parts[segment].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "counts"])
+
+    def unpack(packed: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(packed, COUNT_SEGMENT * 8, codec="zstd", asbytes=True), np.int64)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, segment = np.zeros(COUNT_SEGMENT, np.int64), None
+        for batch in batches:
+            for segment, packed in zip(batch["segment"].to_pylist(), batch["counts"].to_pylist(), strict=True):  # noqa: B007
+                total += unpack(packed)
+        if segment is not None:
+            packed = pa.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "counts"])
+
+    rows = df.mapInArrow(task, "segment int, counts binary")
+    result = np.zeros(ROWS * COUNTERS, np.int32)
+    for row in rows.groupBy("segment").applyInArrow(merge, "segment int, counts binary").toLocalIterator():
+        part = pa.decompress(bytes(row["counts"]), COUNT_SEGMENT * 4, codec="zstd", asbytes=True)
+        result[row["segment"] * COUNT_SEGMENT : (row["segment"] + 1) * COUNT_SEGMENT] = np.frombuffer(part, np.int32)
+    return result.reshape(ROWS, COUNTERS)
+
+
+def estimated(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Counts of hashes, never too low."""
+    return np.minimum(*(counts[row][_count_places(hashes, row)] for row in range(ROWS))).astype(np.int64)

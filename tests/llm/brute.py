@@ -40,3 +40,40 @@ def substring_kept(rows, window=20):
                 gone.update(range(i, i + window))
         out.append((len(words), [w for i, w in enumerate(words) if i not in gone]))
     return out
+
+
+def shingles(text, n=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset([tuple(words)] if len(words) < n else [tuple(words[i : i + n]) for i in range(len(words) - n + 1)])
+
+
+def components(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def jaccard_pairs(sets):
+    """Linked pairs of (id, set) rows, a < b, found through shared shingles."""
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    both = {}
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                key = (min(a, b), max(a, b))
+                both[key] = both.get(key, 0) + 1
+    return {(a, b) for (a, b), k in both.items() if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k)}
