@@ -20,8 +20,8 @@ from mentionflow.llm.wordhash import mix
 
 ROWS = 2
 SEGMENT_BITS = 1 << 22
-BITS_PER_HASH = 4
-MOST_BITS = 1 << 29
+BITS_PER_HASH = 8
+MOST_BITS = 3 << 28
 PENDING = 4 << 20  # counters listed by a task before they are handed on
 _ROW_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -42,10 +42,18 @@ class Shape:
         return (spread * np.uint64(self.segments * SEGMENT_BITS)) >> np.uint64(32)
 
 
-def _bits(places: np.ndarray) -> bytes:
-    plane = np.zeros(SEGMENT_BITS, np.uint8)
-    plane[places] = 1
-    return pa.compress(np.packbits(plane).tobytes(), codec="zstd", asbytes=True)
+def _packed(places: np.ndarray) -> bytes:
+    """Sorted places of a segment as gaps: low bytes, then the rest, which is mostly zero."""
+    gaps = np.diff(places, prepend=0)
+    low, high = (gaps & 255).astype(np.uint8), (gaps >> 8).astype(np.uint16)
+    return len(places).to_bytes(4, "little") + low.tobytes() + pa.compress(high.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    low = np.frombuffer(packed, np.uint8, n, 4)
+    high = np.frombuffer(pa.decompress(packed[4 + n :], 2 * n, codec="zstd", asbytes=True), np.uint16)
+    return np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 8))
 
 
 def _plane(packed: bytes) -> np.ndarray:
@@ -67,19 +75,19 @@ def _listed(pending: list[np.ndarray], shape: Shape) -> Iterator[pa.RecordBatch]
             a, b = cuts[s], cuts[s + 1]
             if a < b:
                 twice = within[a:b][counts[a:b] > 1]
-                values = [[row * shape.segments + s], [_bits(within[a:b])], [_bits(twice)]]
+                values = [[row * shape.segments + s], [_packed(within[a:b])], [_packed(twice)]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _ROWS_ARROW.types, strict=True)], schema=_ROWS_ARROW)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once, twice, segment = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8), None
+    counters, segment = np.zeros(SEGMENT_BITS, np.uint8), None
     for batch in batches:
-        for s, one, two in zip(*(batch[c].to_pylist() for c in ("segment", "once", "twice")), strict=True):
-            segment, plane = s, _plane(one)
-            twice |= _plane(two) | (once & plane)
-            once |= plane
+        for s, once, twice in zip(*(batch[c].to_pylist() for c in ("segment", "once", "twice")), strict=True):
+            segment, places = s, _unpacked(once)
+            counters[places] = np.minimum(counters[places] + 1, 2)
+            counters[_unpacked(twice)] = 2
     if segment is not None:
-        packed = pa.compress(twice.tobytes(), codec="zstd", asbytes=True)
+        packed = pa.compress(np.packbits(counters > 1).tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "twice"])
 
 
