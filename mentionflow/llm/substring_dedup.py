@@ -5,7 +5,7 @@ words also start earlier: in a smaller doc_id, or earlier in the same document.
 
 1. A count-min sketch over all windows, merged from the tasks' parts, says which windows may be
    repeated. It overestimates counts, so it loses none.
-2. Only windows estimated as repeated are grouped exactly, by 128 bits of hash. Within a task the
+2. Only windows estimated as repeated are grouped exactly, by 96 bits of hash. Within a task the
    earliest of equal windows stands for them; the others are cut at once, as an earlier start is
    known. So a passage found in a third of all documents sends one row per task.
 3. Cut starts are gathered per document, and texts are rewritten.
@@ -33,48 +33,53 @@ WINDOW = 20
 PENDING = 1 << 20  # candidate windows held by a task before they are reduced
 BELOW_ALL = -(1 << 63)
 
-_FOUND = "h1 long, h2 long, d long, t long, start int, starts array<int>"
+# ``p`` packs the row's tag, 31 bits of its text's hash, and the start of the window.
+_FOUND = "h1 long, h2 int, d long, p long, starts array<int>"
 _FOUND_ARROW = pa.schema([
-    ("h1", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int32()),
-    ("starts", pa.list_(pa.int32())),
+    ("h1", pa.int64()), ("h2", pa.int32()), ("d", pa.int64()), ("p", pa.int64()), ("starts", pa.list_(pa.int32())),
 ])
+START_BITS = 32
+START_MASK = (1 << START_BITS) - 1
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
 
 def _reduced(pending: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """The earliest start of each window; then, per document, the starts that are cut."""
     if not pending:
         return
-    h1, h2, d, t, start = (np.concatenate(x) for x in zip(*pending, strict=True))
-    order = np.lexsort((t, start, d, h2, h1))
-    h1, h2, d, t, start = (x[order] for x in (h1, h2, d, t, start))
-    n = len(h1)
-    new_window = np.ones(n, bool)
-    new_window[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    group = np.cumsum(new_window) - 1
-    lead = np.flatnonzero(new_window)[group]
+    h1, h2, d, p = (np.concatenate(x) for x in zip(*pending, strict=True))
+    order = np.lexsort((p & START_MASK, d, h2, h1))
+    h1, h2, d, p = (x[order] for x in (h1, h2, d, p))
+    start = p & START_MASK
+    new_window, new_row = _heads(h1, h2), _heads(h1, h2, d, p)
+    lead = np.flatnonzero(new_window)[np.cumsum(new_window) - 1]
     earliest = (d == d[lead]) & (start == start[lead])
-    new_row = new_window.copy()
-    new_row[1:] |= (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1])
 
     first = np.flatnonzero(earliest & new_row)
-    columns = [h1[first].view(np.int64), h2[first].view(np.int64), d[first], t[first], start[first].astype(np.int32)]
+    columns = [h1[first].view(np.int64), h2[first].view(np.int32), d[first], p[first]]
     arrays = [pa.array(c) for c in columns] + [pa.nulls(len(first), pa.list_(pa.int32()))]
     yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
     cut = np.flatnonzero(~earliest & new_row)
     if not len(cut):
         return
-    cut = cut[np.lexsort((start[cut], t[cut], d[cut]))]
-    d, t, start = d[cut], t[cut], start[cut].astype(np.int32)
-    heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+    cut = cut[np.lexsort((p[cut], d[cut]))]
+    d, tag, start = d[cut], p[cut] >> START_BITS, start[cut].astype(np.int32)
+    heads = np.flatnonzero(_heads(d, tag))
     starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)).astype(np.int32)), pa.array(start))
-    none = pa.nulls(len(heads), pa.int64())
-    arrays = [none, none, pa.array(d[heads]), pa.array(t[heads]), pa.nulls(len(heads), pa.int32()), starts]
+    none = [pa.nulls(len(heads), t) for t in (pa.int64(), pa.int32())]
+    arrays = [*none, pa.array(d[heads]), pa.array(tag[heads] << START_BITS), starts]
     yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
 
 def _cut_starts(df: DataFrame, window: int) -> DataFrame:
-    """(d, t, start or starts) of windows that are cut; ``df``: d, t, text."""
+    """(d, tag, start or starts) of windows that are cut; ``df``: d, tag, text."""
     spark = df.sparkSession
     shape = sketch.Shape.of(sketch.text_bytes(df, "text") // 6)
 
@@ -93,11 +98,11 @@ def _cut_starts(df: DataFrame, window: int) -> DataFrame:
                 some = sketch.may_repeat(bits.value, shape, h1)
                 if not some.any():
                     continue
-                h2 = words.runs(window, 1)[1][some]
+                h2 = (words.runs(window, 1)[1][some] >> np.uint64(32)).astype(np.uint32)
                 at, h1 = at[some], h1[some]
                 row = np.searchsorted(words.first, at, side="right") - 1
-                d, t = (np.asarray(part[c])[row] for c in ("d", "t"))
-                pending.append((h1, h2, d, t, at - words.first[row]))
+                d, tag = (np.asarray(part[c])[row] for c in ("d", "tag"))
+                pending.append((h1, h2, d, (tag << START_BITS) | (at - words.first[row])))
                 n += len(at)
                 if n >= PENDING:
                     yield from _reduced(pending)
@@ -105,11 +110,13 @@ def _cut_starts(df: DataFrame, window: int) -> DataFrame:
         yield from _reduced(pending)
 
     found = df.mapInArrow(task, _FOUND)
-    earlier = Window.partitionBy("h1", "h2").orderBy("d", "start")
-    # windows that only one task has seen are in a group of one row, of rank one
+    start = F.col("p").bitwiseAND(F.lit(START_MASK))
+    earlier = Window.partitionBy("h1", "h2").orderBy("d", start)
+    # a window that one task alone has sent is in a group of one row, of rank one
     later = found.filter("h1 is not null").withColumn("rank", F.rank().over(earlier)).filter("rank > 1")
-    columns = ["d", "t", "start", "starts"]
-    return later.select(*columns).unionByName(found.filter("h1 is null").select(*columns))
+    tag = F.shiftright("p", START_BITS).alias("tag")
+    later = later.select("d", tag, start.cast("int").alias("start"), "starts")
+    return later.unionByName(found.filter("h1 is null").select("d", tag, F.lit(None).cast("int").alias("start"), "starts"))
 
 
 def deduplicated(
@@ -121,13 +128,13 @@ def deduplicated(
     keyed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row") if set(names) - {text} else F.lit(None).alias("row"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(BELOW_ALL)).alias("d"),
-        F.xxhash64(F.col(f"`{text}`")).alias("t"),
+        F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 31) - 1)).alias("tag"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
-    gathered = _cut_starts(keyed.select("d", "t", "text"), window).groupBy("d", "t").agg(
+    gathered = _cut_starts(keyed.select("d", "tag", "text"), window).groupBy("d", "tag").agg(
         F.array_distinct(F.concat(F.collect_list("start"), F.flatten(F.collect_list("starts")))).alias("starts")
     )
-    joined = keyed.join(gathered, ["d", "t"], "left").select("row", "text", "starts")
+    joined = keyed.join(gathered, ["d", "tag"], "left").select("row", "text", "starts")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,0 +1,64 @@
+import hashlib
+import random
+
+import pytest
+
+from mentionflow.llm import chat_format as c
+from mentionflow.llm.queries import QUERIES, SMUGGLED
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_conversations_read_back(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", SMUGGLED), (-1, 1, "assistant", SMUGGLED)]
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: r[:2]):
+        want.setdefault(conv, []).append((role, text or ""))
+    got = QUERIES["op3_chat_format"](spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        turns = want[r.conv_id]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in turns))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss)) and r.formatted_chars > len(loss)
+
+
+def test_escapes_are_exact():
+    rng = random.Random(8)
+    bits = [c.TURN, c.TEXT, c.END, "<|image|>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "<|", "|>", "turn", "é", "\n", "a", "<<SYS>>", "s>"]
+    for _ in range(3000):
+        turns = [("".join(rng.choices(bits, k=rng.randint(0, 5))), "".join(rng.choices(bits, k=rng.randint(0, 9)))) for _ in range(rng.randint(0, 4))]
+        v = c.Flattener()
+        for role, text in turns:
+            v.visit_turn(role, [{"type": "text", "text": text}])
+        assert c.parsed("".join(v.pieces)) == turns
+
+
+def test_parts(spark):
+    parts = [
+        ("text", "see ", None, None, None, None, None), ("image", None, "a.png", 100, 57, None, None), ("audio", None, "b.wav", None, None, 2.5, None),
+        ("document", None, "c.pdf", None, None, None, 3), ("text", "<|image|> done", None, None, None, None, None), (None,) * 7, None,
+    ]
+    df = spark.createDataFrame([(1, 0, "assistant", parts, "x"), (1, 1, None, None, "x"), (2, 0, "user", [], "x")],
+                               f"conv_id long, turn int, role string, parts array<{c.PART}>, formatted string")
+    out = c.formatted(df, parts="parts")
+    one = out.filter("conv_id = 1").first()
+    assert [(a.turn, a.kind, a.ref, a.tokens) for a in one.attachments] == [(0, "image", "a.png", 12), (0, "audio", "b.wav", 63), (0, "document", "c.pdf", 1536)]
+    assert one.attachment_tokens == 12 + 63 + 1536
+    assert "see <|image|><|audio|><|document|>\\<|image|> done<|end|>" in one.formatted
+    back = c.read_back(out).filter("conv_id = 1").first()
+    assert back.loss_text == "see <|image|> done" and [tuple(t) for t in back.turns] == [("assistant", "see <|image|> done"), ("", "")]
+    with pytest.raises(ValueError, match="unknown kind"):
+        c.Flattener().visit_turn("user", [{"type": "video"}])
+
+
+def test_odd_rows(spark):
+    rows = [(None, None, None, None), (1, 2, "b", "x"), (1, 2, "a", "y"), (1, 1, "assistant", None), (1, 2, "a", "y"), (3, 0, "assistant", "w " * 100_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, turns string")
+    got = {r.conv_id: r for r in c.read_back(c.formatted(df)).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("assistant", ""), ("a", "y"), ("a", "y"), ("b", "x")]
+    assert [tuple(t) for t in got[None].turns] == [("", "")] and got[3].loss_text == "w " * 100_000
+    assert c.read_back(c.formatted(df.limit(0))).count() == 0

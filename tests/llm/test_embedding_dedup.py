@@ -1,0 +1,66 @@
+import numpy as np
+import pytest
+
+from mentionflow.llm import embedding_dedup as e
+from mentionflow.llm.queries import QUERIES
+from tests.llm import brute
+
+
+def brute_force(rows, least=0.98):
+    """{vec_id: (n_links, component)} of (vec_id, vector, label) rows with distinct ids."""
+    good = {}
+    for i, v, label in rows:
+        if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[i] = np.array(v, float), label
+    links, pairs = dict.fromkeys([r[0] for r in rows], 0), []
+    groups = {}
+    for i, (v, label) in good.items():
+        groups.setdefault((label, len(v)), []).append((i, v / np.linalg.norm(v)))
+    for group in groups.values():
+        ids, m = [i for i, _ in group], np.array([v for _, v in group])
+        for a, b in zip(*np.nonzero(np.triu(m @ m.T >= least, 1)), strict=True):
+            pairs.append((ids[a], ids[b]))
+            links[ids[a]] += 1
+            links[ids[b]] += 1
+    component = brute.components(links, pairs)
+    return {i: (links[i], component[i]) for i in links}
+
+
+@pytest.mark.parametrize("size", ["sf0.01"])
+def test_all_embeddings_equal_brute_force(spark, size):
+    d = f"/root/testdata/{size}"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    want = brute_force(rows)
+    got = QUERIES["op1_embedding_dedup"](spark, d).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("near", [e.Near(cell_rows=7, block_rows=5), e.Near(cell_rows=60, block_rows=16, seed=3)])
+def test_small_cells_and_blocks_lose_no_link(spark, near):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(12):
+        base = rng.normal(size=6)
+        for _ in range(rng.integers(1, 40)):
+            rows.append((len(rows), (base + rng.normal(size=6) * 0.12 * rng.random()).tolist(), int(rng.integers(0, 2))))
+    rows += [(len(rows) + i, rows[3][1], rows[3][2]) for i in range(9)]
+    rng.shuffle(order := list(range(len(rows))))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in e.grouped(df, near).collect()}
+    assert got == brute_force(rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], 1, "x"), (2, [2.0, 0.0], 1, "x"), (3, [1.0, 0.0], 2, "x"), (4, None, 1, "x"), (5, [], 1, "x"), (6, [0.0, 0.0], 1, "x")]
+    rows += [(7, [nan, 1.0], 1, "x"), (8, [inf, 1.0], 1, "x"), (9, [None, 1.0], 1, "x"), (10, [1.0, 0.0], None, "x"), (11, [1.0, 0.0, 0.0], 1, "x")]
+    rows += [(12, [1e200, 1.0], 1, "x"), (13, [1e-200, 0.0], 1, "x"), (14, [5.0, 0.0, 0.0], 1, "x"), (15, [-1.0, 0.0], 1, "x")]
+    schema = "vec_id long, embedding array<double>, label int, copies string"
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in e.grouped(spark.createDataFrame(rows, schema)).collect()}
+    four, alone = [1, 2, 12, 13], [3, 4, 5, 6, 7, 8, 9, 10, 15]
+    assert all(got[i] == (3, 1, i == 1) for i in four) and all(got[i] == (0, i, True) for i in alone)
+    assert got[11] == (1, 11, True) and got[14] == (1, 11, False)
+    again = e.grouped(spark.createDataFrame(rows[:2] * 2 + [(None, [1.0, 0.0], 1, "x")], schema)).collect()
+    assert sorted((str(r.vec_id), str(r.component_id)) for r in again) == [("1", "1"), ("1", "1"), ("2", "1"), ("2", "1"), ("None", "None")]
+    assert e.grouped(spark.createDataFrame([], schema)).count() == 0
