@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.llm import bpe, chat_format, embedding_dedup, jaccard_join, mixing, quality_rules, secret_scan, substring_dedup, warc
+from mentionflow.llm import bpe, chat_format, embedding_dedup, jaccard_join, language_id, mixing, quality_rules, secret_scan, substring_dedup, warc
 from mentionflow.llm.tables import table
 from mentionflow.session import scratch_path
 
@@ -113,3 +113,9 @@ def op4_warc_revisits(spark, sf_dir):
     warc.write(warc.records(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z"), path)
     rows = warc.resolved(warc.read(spark, path, payload=False))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    rows = language_id.identified(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
