@@ -7,8 +7,10 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mentionflow.llm import quality_rules
+from mentionflow.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan
+from mentionflow.llm.queries import tokenizer_path
 from mentionflow.llm.tables import table
 
 
@@ -17,7 +19,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_kept(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays."""
+    return jaccard_join.representatives(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; no document goes."""
+    scanned = secret_scan.scanned(docs, redacted="text").drop("secrets")
+    return scanned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document may be taken twice or not at all."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row of the mix, in its order."""
+    rows = bpe.encoded(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard", near_copies),
+    ("secret_scan", secrets),
+    ("mixing", mix),
+    ("bpe", tokens),
+]
 
 # Several stages are Python by method, so tests hold them against brute force instead.
 ORACLE_SQL = None
