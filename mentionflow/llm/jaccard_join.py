@@ -14,7 +14,8 @@ only partners with that many matches have to be verified. A pair must match min(
 4. Components grow by stars: in each list of the index, entries pair with the least one only, and
    each class verifies its best pair. So a group of thousands of near copies costs one pair each.
 5. What is left is exact: every candidate pair whose ends are still in separate components is
-   verified. Pairs within a component could not change it.
+   verified. Pairs within a component could not change it. Lists with many such pairs are joined
+   into families and compared in blocks, so that no pair but a link leaves a task.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; rows that repeat an id are one document that links when any of
@@ -38,12 +39,16 @@ from mentionflow.llm.wordhash import mix, slices, words_of
 from mentionflow.session import checkpointed
 
 
+SKETCH_BITS = 3 << 27  # at most; a shingle taken for shared by mistake only costs time
+
+
 @dataclass(frozen=True)
 class Join:
     words: int = 5
     percent: int = 80  # least Jaccard similarity
     most_matches: int = 8
     star_rounds: int = 2
+    pair_rows: int = 10_000  # of a list; beyond, its classes are compared in blocks
     verify_cost: float = 0.25  # of one verification, per shingle, against reading a list entry
 
     def least_overlap(self, n):
@@ -87,7 +92,7 @@ def _set_keys(offsets: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
 
 def _facts(docs: DataFrame, join: Join) -> DataFrame:
     """A row per document; ``tokens`` are those that may be shared, of documents that may link."""
-    shape = sketch.Shape.of(sketch.text_bytes(docs, "text") // 6)
+    shape = sketch.Shape.of(sketch.text_bytes(docs, "text") // 6, SKETCH_BITS)
 
     def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in slices(batch, "text"):
@@ -188,23 +193,31 @@ def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return index.join(mixed, "token", "left_semi")
 
 
-def _star_pairs(entries: DataFrame, join: Join) -> DataFrame:
-    """For each component the pair with most matches among those with the least entry of a list."""
-    pivots = entries.groupBy("token").agg(F.min(F.struct("c", "node", "n")).alias("p"))
+def _star_pairs(entries: DataFrame, join: Join, step: int) -> DataFrame:
+    """For each entry's class the pair with most matches among those with one entry of a list.
+
+    The entry that the others pair with is another one in every round."""
+    turn = F.xxhash64(F.lit(step), "node")
+    pivots = entries.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "c", "node", "n")).alias("p"))
     pairs = entries.join(pivots, "token").filter(F.col("c") != F.col("p.c")).filter(_similar_sizes("n", "p.n", join))
     pairs = pairs.groupBy("c", "node", F.col("p.node").alias("b")).agg(F.count("*").alias("matches"))
     best = pairs.groupBy("c", "node").agg(F.max(F.struct("matches", "b")).alias("best"))
     return best.select(F.col("node").alias("a"), F.col("best.b").alias("b"))
 
 
+def _with_major(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` with the largest component of their group, and how many rows are outside it."""
+    sizes = rows.groupBy(group, "c").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("members"))
+    largest = largest.select(group, F.col("top.c").alias("major"), (F.col("members") - F.col("top.k")).alias("minors"), "members")
+    return rows.join(largest, group)
+
+
 def _cross_pairs(entries: DataFrame, join: Join) -> DataFrame:
-    """All candidate pairs between different components.
+    """All candidate pairs between different components in these lists.
 
     In each list, entries outside its largest component pair with all others, so that the members
     of a large component are not run through against each other."""
-    sizes = entries.groupBy("token", "c").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top")).select("token", F.col("top.c").alias("major"))
-    entries = entries.join(largest, "token")
     minor = entries.filter("c != major").select("token", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "m", "c")])
     pairs = minor.join(entries, "token").filter("c1 != c and (c = major or node1 < node)").filter(_similar_sizes("n1", "n", join))
     pairs = pairs.groupBy(F.least("node1", "node").alias("a"), F.greatest("node1", "node").alias("b")).agg(
@@ -213,6 +226,58 @@ def _cross_pairs(entries: DataFrame, join: Join) -> DataFrame:
     return pairs.filter("matches >= m")
 
 
+def _products(join: Join):
+    """Compares a block of minors with a block of a family by chunked products of their sets."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, sizes, parts, minor = (np.asarray(table[x]) for x in ("node", "n", "c", "is_minor"))
+        offsets, tokens = _lists(table["tokens"].chunk(0))
+        rows, others = np.flatnonzero(minor), np.flatnonzero(~minor)
+        kinds, column = np.unique(tokens, return_inverse=True)
+        row = np.repeat(np.arange(len(nodes)), np.diff(offsets))
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(rows), len(others)), np.float32)
+        cuts = np.searchsorted(column, np.arange(0, len(kinds) + CHUNK_KINDS, CHUNK_KINDS))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            chunk = np.zeros((len(nodes), CHUNK_KINDS), np.float32)
+            chunk[row[a:b], column[a:b] - k * CHUNK_KINDS] = 1
+            both += chunk[rows] @ chunk[others].T  # whole numbers below 2**24 per set, exact in float32
+        union = sizes[rows][:, None] + sizes[others][None, :] - both.astype(np.int64)
+        linked = 100 * both.astype(np.int64) >= join.percent * union
+        linked &= parts[rows][:, None] != parts[others][None, :]
+        i, j = np.nonzero(linked)
+        # one link from a class to each component is enough
+        _, first = np.unique(np.stack([i, parts[others][j]]), axis=1, return_index=True)
+        return pa.table({"a": nodes[rows][i[first]], "b": nodes[others][j[first]]})
+
+    return compare
+
+
+CHUNK_KINDS = 2_048
+FAMILY_BLOCK = 256
+
+
+def _family_links(entries: DataFrame, suspects: DataFrame, join: Join) -> DataFrame:
+    """Links between components within these lists, without a row per pair.
+
+    Lists that share a class form a family. Its classes outside its largest component are compared,
+    in blocks, with all of its classes; links alone leave a task."""
+    heads = entries.groupBy("token").agg(F.min("node").alias("head"))
+    ties = entries.join(heads, "token").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    members = entries.groupBy("node").agg(F.first("c").alias("c")).join(connected_components(ties), "node")
+    members = _with_major(members.withColumnRenamed("component", "family"), "family").join(suspects, "node")
+    blocks = lambda n: F.ceil(F.col(n) / FAMILY_BLOCK)
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
+    through = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    columns = ["family", "node", "n", "c", "tokens"]
+    minor = members.filter("c != major").select(*columns, F.lit(True).alias("is_minor"), own("minors").alias("i"), through("members").alias("j"))
+    every = members.filter("minors > 0").select(*columns, F.lit(False).alias("is_minor"), own("members").alias("j"), through("minors").alias("i"))
+    dealt = minor.unionByName(every)
+    return dealt.groupBy("family", "i", "j").applyInArrow(_products(join), "a long, b long")
+
+
 def _classes(facts: DataFrame) -> DataFrame:
     """A row per distinct set; ``node`` is its least id, or a hash where it has none."""
     rows = facts.filter("n > 0").groupBy("k1", "k2", "n").agg(
@@ -233,19 +298,22 @@ def _prepared(df: DataFrame, join: Join, doc_id: str, text: str) -> tuple[DataFr
 def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The whole join: (a, b), a < b, for every linked pair of different sets, by their least ids."""
     _, _, suspects, index = _prepared(df, join, doc_id, text)
-    return _verified(_cross_pairs(_labelled(index, None), join), suspects, join)
+    return _verified(_cross_pairs(_with_major(_labelled(index, None), "token"), join), suspects, join)
 
 
 def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``df``: doc_id, n_shingles and component_id, the least id reachable by links."""
     facts, classes, suspects, index = _prepared(df, join, doc_id, text)
     links, labels = None, None
-    for step in range(join.star_rounds + 1):
-        entries = _labelled(index, labels)
-        pairs = _star_pairs(entries, join) if step < join.star_rounds else _cross_pairs(entries, join)
-        new = _verified(pairs, suspects, join)
+    for step in range(join.star_rounds):
+        new = _verified(_star_pairs(_labelled(index, labels), join, step), suspects, join)
         links = checkpointed(new if links is None else links.union(new))
         labels = connected_components(links)
+    entries = checkpointed(_with_major(_labelled(index, labels), "token"))
+    long = F.col("minors") * F.col("members") > join.pair_rows
+    few = _verified(_cross_pairs(entries.filter(~long), join), suspects, join)
+    many = _family_links(entries.filter(long).select("token", "node", "c"), suspects, join)
+    labels = connected_components(links.union(few).union(many))
     nodes = classes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the name of a component is its least real id, not a hash
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

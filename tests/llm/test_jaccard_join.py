@@ -39,12 +39,13 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("matches", [1, 8])
-def test_near_copies_around_the_threshold(spark, matches):
-    rows = near_copies(matches)
+@pytest.mark.parametrize(("matches", "pair_rows"), [(1, 10_000), (8, 0), (8, 20)])
+def test_near_copies_around_the_threshold(spark, monkeypatch, matches, pair_rows):
+    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", 7)
+    rows = near_copies(matches + pair_rows)
     sets, want = want_of(rows)
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n string")
-    join = jaccard_join.Join(most_matches=matches, star_rounds=1)
+    join = jaccard_join.Join(most_matches=matches, star_rounds=1, pair_rows=pair_rows)
     got = {r.doc_id: r.component_id for r in jaccard_join.grouped(df, join).collect()}
     assert got == want
     least = {}
