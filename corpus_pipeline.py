@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mentionflow.llm import bpe, jaccard_join, mixing, quality_rules, secret_scan
 from mentionflow.llm.queries import tokenizer_path
 from mentionflow.llm.tables import table
+from mentionflow.session import checkpointed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage keeps is stored in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if n == 0 else checkpointed(docs), sf_dir)
     return docs
