@@ -5,7 +5,7 @@ words also start earlier: in a smaller doc_id, or earlier in the same document.
 
 1. A count-min sketch over all windows, merged from the tasks' parts, says which windows may be
    repeated. It overestimates counts, so it loses none.
-2. Only windows estimated as repeated are grouped exactly, by 96 bits of hash. Within a task the
+2. Only windows estimated as repeated are grouped exactly, by 95 bits of hash. Within a task the
    earliest of equal windows stands for them; the others are cut at once, as an earlier start is
    known. So a passage found in a third of all documents sends one row per task.
 3. Cut starts are gathered per document, and texts are rewritten.
@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionflow.llm import sketch
-from mentionflow.llm.wordhash import slices, words_of
+from mentionflow.llm.wordhash import mix, slices, words_of
 
 WINDOW = 20
 PENDING = 1 << 20  # candidate windows held by a task before they are reduced
 BELOW_ALL = -(1 << 63)
 
-# ``p`` packs the row's tag, 31 bits of its text's hash, and the start of the window.
-_FOUND = "h1 long, h2 int, d long, p long, starts array<int>"
+# ``hp`` packs 32 more bits of a window's hash and its start; columns that are mostly zero come first.
+_FOUND = "starts array<int>, tag int, d long, h1 long, hp long"
 _FOUND_ARROW = pa.schema([
-    ("h1", pa.int64()), ("h2", pa.int32()), ("d", pa.int64()), ("p", pa.int64()), ("starts", pa.list_(pa.int32())),
+    ("starts", pa.list_(pa.int32())), ("tag", pa.int32()), ("d", pa.int64()), ("h1", pa.int64()), ("hp", pa.int64()),
 ])
 START_BITS = 32
 START_MASK = (1 << START_BITS) - 1
@@ -53,28 +53,27 @@ def _reduced(pending: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """The earliest start of each window; then, per document, the starts that are cut."""
     if not pending:
         return
-    h1, h2, d, p = (np.concatenate(x) for x in zip(*pending, strict=True))
-    order = np.lexsort((p & START_MASK, d, h2, h1))
-    h1, h2, d, p = (x[order] for x in (h1, h2, d, p))
-    start = p & START_MASK
-    new_window, new_row = _heads(h1, h2), _heads(h1, h2, d, p)
+    h1, hp, d, tag = (np.concatenate(x) for x in zip(*pending, strict=True))
+    order = np.lexsort((tag, hp & START_MASK, d, hp >> START_BITS, h1))
+    h1, hp, d, tag = (x[order] for x in (h1, hp, d, tag))
+    start = hp & START_MASK
+    new_window, new_row = _heads(h1, hp >> START_BITS), _heads(h1, hp, d, tag)
     lead = np.flatnonzero(new_window)[np.cumsum(new_window) - 1]
     earliest = (d == d[lead]) & (start == start[lead])
 
     first = np.flatnonzero(earliest & new_row)
-    columns = [h1[first].view(np.int64), h2[first].view(np.int32), d[first], p[first]]
-    arrays = [pa.array(c) for c in columns] + [pa.nulls(len(first), pa.list_(pa.int32()))]
+    arrays = [pa.nulls(len(first), pa.list_(pa.int32())), *(pa.array(x[first]) for x in (tag, d, h1, hp))]
     yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
     cut = np.flatnonzero(~earliest & new_row)
     if not len(cut):
         return
-    cut = cut[np.lexsort((p[cut], d[cut]))]
-    d, tag, start = d[cut], p[cut] >> START_BITS, start[cut].astype(np.int32)
+    cut = cut[np.lexsort((start[cut], tag[cut], d[cut]))]
+    d, tag, start = d[cut], tag[cut], start[cut].astype(np.int32)
     heads = np.flatnonzero(_heads(d, tag))
     starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)).astype(np.int32)), pa.array(start))
-    none = [pa.nulls(len(heads), t) for t in (pa.int64(), pa.int32())]
-    arrays = [*none, pa.array(d[heads]), pa.array(tag[heads] << START_BITS), starts]
+    spread = mix(d[heads].view(np.uint64)).view(np.int64)  # these rows need no group; any will do
+    arrays = [starts, pa.array(tag[heads]), pa.array(d[heads]), pa.array(spread), pa.array(np.zeros(len(heads), np.int64))]
     yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
 
@@ -98,25 +97,31 @@ def _cut_starts(df: DataFrame, window: int) -> DataFrame:
                 some = sketch.may_repeat(bits.value, shape, h1)
                 if not some.any():
                     continue
-                h2 = (words.runs(window, 1)[1][some] >> np.uint64(32)).astype(np.uint32)
-                at, h1 = at[some], h1[some]
+                more = (words.runs(window, 1)[1][some] >> np.uint64(33)).astype(np.int64)
+                at, h1 = at[some], h1[some].view(np.int64)
                 row = np.searchsorted(words.first, at, side="right") - 1
                 d, tag = (np.asarray(part[c])[row] for c in ("d", "tag"))
-                pending.append((h1, h2, d, (tag << START_BITS) | (at - words.first[row])))
+                pending.append((h1, (more << START_BITS) | (at - words.first[row]), d, tag))
                 n += len(at)
                 if n >= PENDING:
                     yield from _reduced(pending)
                     pending, n = [], 0
         yield from _reduced(pending)
 
-    found = df.mapInArrow(task, _FOUND)
-    start = F.col("p").bitwiseAND(F.lit(START_MASK))
-    earlier = Window.partitionBy("h1", "h2").orderBy("d", start)
+    start = F.col("hp").bitwiseAND(F.lit(START_MASK))
+    earlier = Window.partitionBy("h1", F.shiftright("hp", START_BITS)).orderBy("d", start)
     # a window that one task alone has sent is in a group of one row, of rank one
-    later = found.filter("h1 is not null").withColumn("rank", F.rank().over(earlier)).filter("rank > 1")
-    tag = F.shiftright("p", START_BITS).alias("tag")
-    later = later.select("d", tag, start.cast("int").alias("start"), "starts")
-    return later.unionByName(found.filter("h1 is null").select("d", tag, F.lit(None).cast("int").alias("start"), "starts"))
+    ranked = df.mapInArrow(task, _FOUND).withColumn("rank", F.rank().over(earlier))
+    found = ranked.filter("rank > 1 or starts is not null")
+    return found.select("d", "tag", F.when(F.col("starts").isNull(), start).cast("int").alias("start"), "starts")
+
+
+def _tagged(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with 31 bits of the text's hash as ``tag``, which tells apart the texts of an id
+    that is repeated with several; 0 if there is no such id."""
+    several = keyed.groupBy("d").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").limit(1).count()
+    tag = F.col("t").bitwiseAND(F.lit((1 << 31) - 1)) if several else F.lit(0)
+    return keyed.withColumn("tag", tag.cast("int")).drop("t")
 
 
 def deduplicated(
@@ -128,10 +133,13 @@ def deduplicated(
     keyed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row") if set(names) - {text} else F.lit(None).alias("row"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(BELOW_ALL)).alias("d"),
-        F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 31) - 1)).alias("tag"),
+        F.xxhash64(F.col(f"`{text}`")).alias("t"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
-    gathered = _cut_starts(keyed.select("d", "tag", "text"), window).groupBy("d", "tag").agg(
+    keyed = _tagged(keyed)
+    # dealt out as single rows, before they are gathered: partial lists would be larger
+    cut = _cut_starts(keyed.select("d", "tag", "text"), window).repartition("d", "tag")
+    gathered = cut.groupBy("d", "tag").agg(
         F.array_distinct(F.concat(F.collect_list("start"), F.flatten(F.collect_list("starts")))).alias("starts")
     )
     joined = keyed.join(gathered, ["d", "tag"], "left").select("row", "text", "starts")
