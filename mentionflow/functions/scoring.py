@@ -6,6 +6,7 @@ up in a lexicon without leaving the JVM; ``model_scorer`` plugs in any Python mo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -93,16 +94,30 @@ def lexicon_scorer(weights: Mapping[str, int] = DEFAULT_WEIGHTS) -> Scorer:
     return lambda text: mean_class(text, sentence_classes(text, weights))
 
 
+_MODELS: dict[str, Callable] = {}
+
+
+def _model_of_worker(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model of that name, loaded on first use; Python workers outlive tasks."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 def model_scorer(load: Callable[[], Callable[[pd.Series], pd.Series]]) -> Scorer:
-    """A scorer around a Python model; ``load`` runs once per Python worker task.
+    """A scorer around a Python model; ``load`` runs once per Python worker.
 
-    The model gets whole Arrow batches of cleaned texts and returns a score for each.
+    The model gets batches of cleaned texts, none of them empty, and returns a score for each.
     """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
         for batch in batches:
-            yield model(batch)
+            some = batch[batch.str.len() > 0]
+            scores = pd.Series(0.0, index=batch.index).mask(batch.isna())
+            if len(some):
+                scores[some.index] = _model_of_worker(name, load)(some).astype("float64")
+            yield scores
 
     return lambda text: F.when(F.length(text) == 0, F.lit(0.0)).otherwise(score(clean(text)))

@@ -36,6 +36,36 @@ def decoded(value: Column) -> Column:
     return F.decode(value, "UTF-8")
 
 
+# What a message says about itself besides its value; on a broker these are headers.
+HEADERS = {"window_start": "long", "window_end": "long", "part": "int", "parts": "int"}
+
+
+def to_topic(messages: DataFrame) -> DataFrame:
+    """(topic, key, value, headers) as a broker takes them. Windows, in microseconds, and parts
+    go into headers, so a reader can tell the messages of one key apart."""
+    headers = []
+    for name in HEADERS:
+        if name in messages.columns:
+            value = F.unix_micros(name) if name.startswith("window") else F.col(name)
+            headers.append(F.struct(F.lit(name).alias("key"), F.encode(value.cast("string"), "UTF-8").alias("value")))
+    return messages.select("topic", "key", "value", F.array(*headers).alias("headers"))
+
+
+def from_topic(raw: DataFrame) -> DataFrame:
+    """Messages from broker rows (topic, key, value, headers, offset), the bytes decoded. The
+    broker's own timestamp says when a message came in, not which window it is about."""
+
+    def header(name: str) -> Column:
+        found = F.filter("headers", lambda h: h["key"] == name)
+        return decoded(F.get(found, F.lit(0))["value"]).cast(HEADERS[name])
+
+    windows = [F.timestamp_micros(header(n)).alias(n) for n in ("window_start", "window_end")]
+    return raw.select(
+        "topic", decoded(F.col("key")).alias("key"), decoded(F.col("value")).alias("value"), *windows,
+        header("part").alias("part"), header("parts").alias("parts"), "offset",
+    )
+
+
 def lenient_json(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds the ``parsed`` value (a VARIANT), or NULL where the text is not JSON, and
     ``is_valid``; the text itself stays in its column. Never fails."""

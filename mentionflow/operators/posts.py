@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,15 @@ def tracked_posts(posts: DataFrame, terms: Sequence[str]) -> DataFrame:
     return posts.where(reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in terms]))
 
 
+def tracked_by_mention(
+    posts: DataFrame, handles: DataFrame, max_rows: int | None = None, lookup: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Posts whose text mentions one of the handles, for lists of any length: mentions are taken
+    from the text once and matched with the list, instead of a search for each term."""
+    keys = handles.select("handle_key").distinct()
+    return with_hits(with_mentions(posts), keys, max_rows, lookup).drop("hits")
+
+
 def with_mentions(posts: DataFrame) -> DataFrame:
     """Posts with a ``mentions`` array taken from the text, where the source has none."""
     return posts.withColumn("mentions", mentions_in(F.col("text")))
@@ -59,21 +68,28 @@ def counted_mentions(
     return found.withColumn("mention", F.lower("mention")) if fold_case else found
 
 
-def with_hits(posts: DataFrame, keys: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Posts that mention a dictionary handle, with the lower-cased ``hits`` array.
+def with_hits(
+    posts: DataFrame, keys: DataFrame, max_rows: int | None = None, lookup: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Posts that mention a dictionary handle, with the sorted, lower-cased ``hits`` array; a
+    handle that a post repeats is in it once.
 
-    With a small dictionary this is a filter within each row. With a large one a post comes
-    back once per matching handle, each time with that one hit. Either way a handle that a
-    post repeats is in its hits once.
+    With a small dictionary this is a filter within each row. With a larger one the distinct
+    mention arrays, without texts, are matched and their hits joined back. ``max_rows`` is the
+    size up to which it is small; ``lookup`` holds the bounds of the join beyond.
     """
-    handles = F.array_distinct(F.transform("mentions", F.lower))
-    limit = {} if max_rows is None else {"max_rows": max_rows}
-    values = bounded_values(keys, "handle_key", **limit)
+    handles = F.array_sort(F.array_distinct(F.transform("mentions", F.lower)))
+    values = bounded_values(keys, "handle_key", **({} if max_rows is None else {"max_rows": max_rows}))
     if values is not None:
         hits = F.filter(handles, lambda m: m.isin(values))
         return posts.withColumn("hits", hits).where(F.size("hits") > 0)
-    exploded = posts.withColumn("mention", F.explode(handles))
-    return in_dictionary(exploded, keys, **limit).withColumn("hits", F.array("mention")).drop("mention")
+    # an array is matched once for each id that has it, and ids keep common arrays apart
+    narrow = posts.select(F.col("id").alias("_id"), F.col("mentions").alias("_mentions")).distinct()
+    exploded = narrow.select("_id", "_mentions", F.explode(F.array_distinct("_mentions")).alias("mention"))
+    found = lookup_join(exploded, keys, F.lower("mention"), "handle_key", "left_semi", F.col("_id"), **(lookup or {}))
+    hits = found.groupBy("_id", "_mentions").agg(F.array_sort(F.collect_set(F.lower("mention"))).alias("hits"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mentions") == F.col("_mentions"))
+    return posts.join(hits, same).drop("_id", "_mentions")
 
 
 def keyed_by_mention(posts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -84,11 +100,32 @@ def keyed_by_mention(posts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def primary_mention(mentions: Column, handle_keys: Sequence[str]) -> Column:
-    """The first mention spelled exactly like a dictionary key, else ``<unk>``."""
+    """The first mention spelled exactly like one of a few dictionary keys, else ``<unk>``."""
     known = F.filter(F.array_distinct(mentions), lambda m: m.isin(list(handle_keys)))
     return F.coalesce(F.get(known, F.lit(0)), F.lit(UNKNOWN))
 
 
+def primary_mentions(
+    posts: DataFrame, keys: DataFrame, max_rows: int | None = None, lookup: Mapping[str, int] | None = None
+) -> DataFrame:
+    """(id, mention) with the first mention spelled exactly like a key of a dictionary of any
+    size, else ``<unk>``; one row per post. The text is not read."""
+    values = bounded_values(keys, "handle_key", **({} if max_rows is None else {"max_rows": max_rows}))
+    if values is not None:
+        return posts.select("id", primary_mention(F.col("mentions"), values).alias("mention"))
+    counted = posts.select("id", "mentions").groupBy("id", "mentions").agg(F.count(F.lit(1)).alias("_copies"))
+    exploded = counted.select("id", "mentions", F.posexplode("mentions").alias("_at", "mention"))
+    found = lookup_join(exploded, keys, F.col("mention"), "handle_key", "left_semi", F.col("id"), **(lookup or {}))
+    first = found.groupBy(F.col("id").alias("_id"), F.col("mentions").alias("_mentions")).agg(
+        F.min(F.struct("_at", "mention")).alias("_first")
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("mentions").eqNullSafe(F.col("_mentions"))
+    joined = counted.join(first, same, "left").select(
+        "id", F.coalesce("_first.mention", F.lit(UNKNOWN)).alias("mention"), "_copies"
+    )
+    return joined.select("id", "mention", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def emitted_post() -> Column:
     """The post as it goes into a message: id, created_at in milliseconds, text."""
     created = epoch_millis(F.col("created_at")).alias("created_at")

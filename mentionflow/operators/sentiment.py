@@ -30,24 +30,27 @@ def lexicon_weights(lexicon: DataFrame, max_rows: int = LITERAL_ROWS) -> Mapping
 def score_by_lexicon_table(
     df: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "text", **bounds: int
 ) -> DataFrame:
-    """(id, text, score) with a lexicon of any size, by joining words with it.
+    """(id, score), a row per row of ``df``, with a lexicon of any size, by joining words with it.
 
-    Only ids, sentence numbers and weights are shuffled on the way; the text is joined back
-    at the end.
+    Texts are not shuffled: words, and per text its id, a hash of the text and sentence numbers
+    are. Rows with the same id and text are scored together and come back as often as they are
+    there. A word that is listed twice counts with its least weight.
     """
-    parts = df.select(
-        F.col(id_col), F.posexplode(sentences(F.col(text))).alias("_sentence", "_part")
+    once = lexicon.groupBy("word").agg(F.min("weight").alias("weight"))
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    parts = rows.select(
+        "_id", "_hash", (F.length("_text") == 0).alias("_empty"), F.posexplode_outer(sentences(F.col("_text"))).alias("_at", "_part")
     )
-    words = parts.select(id_col, "_sentence", F.explode_outer(tokens(F.col("_part"))).alias("_word"))
-    weighted = lookup_join(
-        words, lexicon, F.col("_word"), "word", "left", F.struct(id_col, "_sentence"), **bounds
-    )
-    classes = weighted.groupBy(id_col, "_sentence").agg(
-        clamp_class(F.sum(F.coalesce("weight", F.lit(0)))).alias("_class")
-    )
-    means = classes.groupBy(id_col).agg(F.avg("_class").alias("_mean"))
-    score = F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.col("_mean"))
-    return df.join(means, id_col, "left").withColumn("score", score).drop("_mean")
+    words = parts.select("_id", "_hash", "_empty", "_at", F.posexplode_outer(tokens(F.col("_part"))).alias("_n", "_word"))
+    weighted = lookup_join(words, once, F.col("_word"), "word", "left", F.struct("_id", "_hash", "_at"), **bounds)
+    # copies of a text give every word as often as there are copies
+    copies = F.count_if(F.coalesce("_n", F.lit(0)) == 0).alias("_copies")
+    sums = weighted.groupBy("_id", "_hash", "_empty", "_at").agg(copies, F.sum(F.coalesce("weight", F.lit(0))).alias("_sum"))
+    classes = sums.withColumn("_class", F.when(F.col("_at").isNotNull(), clamp_class(F.col("_sum") / F.col("_copies"))))
+    means = classes.groupBy("_id", "_hash", "_empty").agg(F.avg("_class").alias("_mean"), F.max("_copies").alias("_copies"))
+    score = F.when(F.col("_empty"), F.lit(0.0)).otherwise(F.col("_mean"))
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    return means.select(F.col("_id").alias(id_col), score.alias("score"), each).drop("_copy")
 
 
 def sentence_rows(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
@@ -71,6 +74,7 @@ def scored_mentions(
     scorer: Scorer | None = None,
     strict_reference: bool = False,
     max_literal_keys: int | None = None,
+    lookup: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """(mention, id, created_at, text, cat, polarity), one row per post and matching handle.
 
@@ -78,7 +82,7 @@ def scored_mentions(
     it is copied to its handles.
     """
     needed = posts.select("id", "created_at", "text", "mentions")
-    matching = with_hits(needed, keys, max_literal_keys)
+    matching = with_hits(needed, keys, max_literal_keys, lookup)
     scored = scored_posts(matching, scorer, strict_reference)
     return scored.select(
         F.explode("hits").alias("mention"), "id", "created_at", "text", "cat", "polarity"

@@ -15,6 +15,9 @@ WINDOW = "5 minutes"
 SLIDE = "1 minute"
 TOP_K = 10
 
+# Slots that are made from one row.
+SLOTS = 4_096
+
 
 def _flat(df: DataFrame, key: str) -> DataFrame:
     return df.select(
@@ -51,33 +54,32 @@ def sliding_count(
 def zero_filled(counts: DataFrame, slide: str = SLIDE, key: str = "mention") -> DataFrame:
     """Counts with a 0 row for every later window of a key once it has been seen.
 
-    The slots of a key run from its first window to the last window of the data. They are
-    made day by day, so no single array spans the whole period. Batch only.
+    The slots of a key lie a slide apart, from its own first window to the last window of the
+    data, whatever the slide is; no calendar or zone is involved, and a count between the slots
+    is kept. Slots are numbered in chunks that are dealt to tasks, so neither an array nor a task
+    spans the whole period. Batch only; the counts are stored first, as they are read three times.
     """
-    counts = checkpointed(counts)  # read three times below
-    window_length = F.col("window_end").cast("long") - F.col("window_start").cast("long")
-    seen = counts.groupBy(key).agg(
-        F.min("window_start").alias("first"), F.max(window_length).alias("length")
-    )
-    last = counts.select(F.max("window_start").alias("m")).scalar()
-    step = F.expr(f"INTERVAL {micros(slide)} MICROSECONDS")
-    day = F.expr("INTERVAL 1 DAY")
-    days = seen.withColumn("last", last).withColumn(
-        "day", F.explode(F.sequence(F.date_trunc("day", "first"), F.col("last"), day))
-    )
-    # Slots of this day that are not before the first window; slides divide a day.
-    end_of_day = F.col("day") + day - step
-    from_slot = F.greatest("day", "first")
-    to_slot = F.least(end_of_day, F.col("last"))
-    slots = days.where(from_slot <= to_slot).select(
-        key, "length", F.explode(F.sequence(from_slot, to_slot, step)).alias("window_start")
+    counts = checkpointed(counts)
+    step = micros(slide)
+    start, end = F.unix_micros("window_start"), F.unix_micros("window_end")
+    seen = counts.groupBy(key).agg(F.min(start).alias("first"), F.max(end - start).alias("length"))
+    last = counts.select(F.max(start).alias("m")).scalar()
+    slots = seen.withColumn("n", F.floor((last - F.col("first")) / step)).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SLOTS)))
     )
-    window_end = F.timestamp_seconds(F.col("window_start").cast("long") + F.col("length"))
-    return (
-        slots.withColumn("window_end", window_end)
-        .join(counts.select(key, "window_start", "count"), [key, "window_start"], "left")
-        .select("window_start", "window_end", key, F.coalesce("count", F.lit(0)).alias("count"))
+    slots = slots.repartition(key, "chunk").withColumn(
+        "slot", F.explode(F.sequence(F.col("chunk") * SLOTS, F.least(F.col("n"), F.col("chunk") * SLOTS + SLOTS - 1)))
     )
+    begin = F.col("first") + F.col("slot") * step
+    slots = slots.select(key, begin.alias("_start"), (begin + F.col("length")).alias("_end"))
+    known = counts.select(F.col(key).alias("_key"), start.alias("_known"), end.alias("_known_end"), "count")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_start") == F.col("_known"))
+    filled = slots.join(known, same, "full")
+    return filled.select(
+        F.timestamp_micros(F.coalesce("_known", "_start")).alias("window_start"),
+        F.timestamp_micros(F.coalesce("_known_end", "_end")).alias("window_end"),
+        F.coalesce("_key", key).alias(key), F.coalesce("count", F.lit(0)).alias("count"),
+    )
 
 
 def top_k(

@@ -8,14 +8,9 @@ from pyspark.sql import functions as F
 from mentionflow.functions.scoring import Scorer
 from mentionflow.functions.text import assert_clean, clean
 from mentionflow.operators.sentiment import score_text
-from mentionflow.sinks.files import analyzed_path, write_json_lines, write_text
-from mentionflow.sinks.reports import prediction_lines
-from mentionflow.sources.labelled import (
-    labelled_tsv,
-    malformed_tsv,
-    read_labelled,
-    read_text_lines,
-)
+from mentionflow.sinks.files import analyzed_path, write_json_lines
+from mentionflow.sinks.reports import prediction_line
+from mentionflow.sources.labelled import read_labelled, read_text_lines, tsv_fields
 
 
 def scored_labelled(labelled: DataFrame, scorer: Scorer | None = None) -> DataFrame:
@@ -32,11 +27,24 @@ def score_job(spark: SparkSession, in_path: str, out_path: str | None = None, sc
     return target
 
 
-def predict_job(
-    spark: SparkSession, in_path: str, out_path: str, rejects_path: str, scorer: Scorer | None = None
-) -> None:
-    """Predict the labels of a four-field TSV file; other lines go to ``rejects_path``."""
-    lines = read_text_lines(spark, in_path)
-    scored = score_text(labelled_tsv(lines), scorer=scorer, name="score")
-    write_text(prediction_lines(scored), out_path)
-    write_text(malformed_tsv(lines).withColumnRenamed("line", "value"), rejects_path)
+PREDICTION, REJECT = "prediction", "reject"
+_OUTCOMES = "value string, outcome string"
+
+
+def predict_job(spark: SparkSession, in_path: str, out_path: str, scorer: Scorer | None = None) -> None:
+    """Predict the labels of a four-field TSV file. One pass over the input writes the lines of
+    both outcomes, predictions and the other lines, blank ones too, to folders of ``out_path``."""
+    fields = tsv_fields(read_text_lines(spark, in_path))
+    scored = score_text(fields, scorer=scorer, name="score")
+    good = F.col("text").isNotNull()
+    lines = scored.select(
+        F.when(good, prediction_line()).otherwise(F.col("value")).alias("value"),
+        F.when(good, PREDICTION).otherwise(REJECT).alias("outcome"),
+    )
+    lines.write.partitionBy("outcome").text(out_path)
+
+
+def predicted_lines(spark: SparkSession, out_path: str, outcome: str = PREDICTION) -> DataFrame:
+    """The lines of one outcome of a prediction job."""
+    found = spark.read.schema(_OUTCOMES).option("lineSep", "\n").text(out_path)
+    return found.where(F.col("outcome") == outcome).select("value")

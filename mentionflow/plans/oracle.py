@@ -100,6 +100,22 @@ def with_counts(window: tuple[str, str, int], select: str, key: str = "mention")
     return f"WITH {MENTIONS}, counts AS ({counts(window, key)}) {select}"
 
 
+def zero_filled(window: str, slide: str, copies: int) -> str:
+    return with_counts(
+        (window, slide, copies),
+        f""", seen AS (
+          SELECT mention, min(window_start) AS first, (SELECT max(window_start) FROM counts) AS last
+          FROM counts GROUP BY mention
+        ), slots AS (
+          SELECT mention, unnest(generate_series(first, last, INTERVAL '{slide}')) AS window_start
+          FROM seen
+        )
+        SELECT window_start, window_start + INTERVAL '{window}' AS window_end, mention,
+               coalesce(count, 0) AS count
+        FROM slots LEFT JOIN counts USING (mention, window_start)""",
+    )
+
+
 ALL_COUNTS = "SELECT window_start, window_end, mention, count FROM counts"
 COUNT_MESSAGES = """
 SELECT 'top-counts' AS topic, mention AS key,
@@ -212,6 +228,7 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT substr(lower(handle), 2) AS handle_key FROM lines""",
     "dictionary_display": f"WITH {SUPPLIER_LINES} SELECT handle, name FROM lines",
     "filter_lang_repost": f"WITH {POSTS} SELECT id, created_at, lang, retweet_count FROM english",
+    "post_rejects": f"WITH {POSTS} SELECT id, retweet_count % 10 > 1 AS readable FROM posts",
     "extract_mentions": rf"""WITH {POSTS}
         SELECT id, unnest(regexp_extract_all(text, '(?:^|[^\w@])@(\w+)', 1)) AS mention FROM posts""",
     "mention_entities": f"WITH {POSTS} SELECT id, unnest(mentions) AS mention FROM posts",
@@ -224,6 +241,19 @@ ORACLE: dict[str, str] = {
     "primary_mention": f"""WITH {POSTS}
         SELECT id, coalesce(list_filter(mentions, lambda m: m IN {KEYS})[1], '<unk>') AS mention
         FROM posts""",
+    "primary_mention_large": f"""WITH {POSTS}, {SUPPLIER_LINES}, keys AS (
+          SELECT substr(lower(handle), 2) AS key FROM lines UNION SELECT unnest(['click', 'view', 'purchase'])
+        ), found AS (
+          SELECT id, min(place) AS place FROM (SELECT id, mentions, unnest(range(1, len(mentions) + 1)) AS place FROM posts)
+          WHERE mentions[place] IN (SELECT key FROM keys) GROUP BY id
+        )
+        SELECT id, coalesce(mentions[place], '<unk>') AS mention FROM posts LEFT JOIN found USING (id)""",
+    "track_filter_many_terms": rf"""WITH {POSTS}, {SUPPLIER_LINES}, keys AS (
+          SELECT substr(lower(handle), 2) AS key FROM lines UNION SELECT unnest(['click', 'view', 'purchase'])
+        ), found AS (
+          SELECT id, lower(unnest(regexp_extract_all(text, '(?:^|[^\w@])@(\w+)', 1))) AS mention FROM posts
+        )
+        SELECT id, lang FROM posts WHERE id IN (SELECT id FROM found WHERE mention IN (SELECT key FROM keys))""",
     "track_filter": f"""WITH {POSTS}
         SELECT id, lang FROM posts
         WHERE contains(lower(text), '@click') OR contains(lower(text), '@view')
@@ -252,25 +282,19 @@ ORACLE: dict[str, str] = {
                  strftime(created_at, '%a %b %d %H:%M:%S UTC %Y'),
                  retweet_count, text, is_truncated) AS value
         FROM posts""",
+    "first_rows": """SELECT least(5, count(*)) AS rows, least(5, count(*)) AS distinct_ids,
+        least(5, count(*)) AS known FROM events""",
+    "sample_rows": """SELECT least(15, count(*)) AS rows, least(15, count(*)) AS distinct_ids,
+        least(15, count(*)) AS known FROM events""",
     "sliding_count": with_counts(MIN5, ALL_COUNTS),
     "sliding_count_panes": with_counts(MIN5, ALL_COUNTS),
     "sliding_count_daily": with_counts(DAILY, ALL_COUNTS),
     "sliding_count_panes_daily": with_counts(DAILY, ALL_COUNTS),
     "tumbling_count": with_counts(("5 minutes", "5 minutes", 1), ALL_COUNTS),
     "sliding_count_folded": with_counts(MIN5, ALL_COUNTS, "lower(mention)"),
-    "sliding_count_zero_fill": with_counts(
-        ("1 hour", "15 minutes", 4),
-        """, seen AS (
-          SELECT mention, min(window_start) AS first, (SELECT max(window_start) FROM counts) AS last
-          FROM counts GROUP BY mention
-        ), slots AS (
-          SELECT mention, unnest(generate_series(first, last, INTERVAL '15 minutes')) AS window_start
-          FROM seen
-        )
-        SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, mention,
-               coalesce(count, 0) AS count
-        FROM slots LEFT JOIN counts USING (mention, window_start)""",
-    ),
+    "sliding_count_zero_fill": zero_filled("1 hour", "15 minutes", 4),
+    "zero_fill_odd_slide": zero_filled("21 minutes", "7 minutes", 3),
+    "zero_fill_multi_day": zero_filled("2 days", "2 days", 1),
     "topk_per_window": with_counts(
         DAILY,
         """SELECT window_start, window_end, mention, count,
@@ -308,6 +332,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS pos FROM scored)""",
     "text_score_mean": f"WITH {DOCS} SELECT id, {mean('text')} AS score FROM docs",
     "text_score_lexicon_table": f"WITH {DOCS} SELECT id, {mean('text')} AS score FROM docs",
+    "text_score_lexicon_repeated": f"""WITH {DOCS}, scores AS (SELECT id, {mean('text')} AS score FROM docs)
+        SELECT * FROM scores UNION ALL SELECT * FROM scores""",
     "text_score_model": """SELECT doc_id AS id,
         least(4, length(text) - length(replace(text, '!', '')))::DOUBLE AS score FROM documents""",
     "text_score_extreme": f"""WITH {DOCS}, scored AS (SELECT id, {classes('text')} AS c FROM docs)
@@ -319,6 +345,7 @@ ORACLE: dict[str, str] = {
     "bucket_words": f"""WITH {DOCS}, scored AS (SELECT id, {mean('text')} AS polarity FROM docs)
         SELECT id, polarity, {bucket('polarity', 'negative', 'neutral', 'positive')} AS cat FROM scored""",
     "scored_mention_rows": f"WITH {SCORED} SELECT mention, id, created_at, cat, polarity FROM scored",
+    "scored_mentions_large": f"WITH {SCORED} SELECT mention, id, created_at, cat, polarity FROM scored",
     "count_messages": with_counts(MIN5, COUNT_MESSAGES),
     "sentiment_messages": f"""{SENTIMENT_ROWS}
         SELECT 'sentiment' AS topic, mention AS key, window_start, window_end, id,
@@ -340,6 +367,11 @@ ORACLE: dict[str, str] = {
         """SELECT lower(mention) AS handle, CAST(sum(count) AS BIGINT) AS count FROM counts
            WHERE window_end = (SELECT max(window_end) FROM counts) GROUP BY 1""",
     ),
+    "recount_topic_rows": with_counts(
+        DAILY,
+        """SELECT lower(mention) AS handle, CAST(sum(count) AS BIGINT) AS count FROM counts
+           WHERE window_end = (SELECT max(window_end) FROM counts) GROUP BY 1""",
+    ),
     "recount_all_windows": with_counts(
         DAILY, "SELECT lower(mention) AS handle, CAST(sum(count) AS BIGINT) AS count FROM counts GROUP BY 1"
     ),
@@ -372,7 +404,8 @@ ORACLE: dict[str, str] = {
                          {fixed('score', 2)}, actual, text) AS value FROM scored""",
     "tsv_rejects": f"""WITH {PREDICTION_INPUT}
         SELECT concat_ws(chr(9), 'NA', doc_id, actual, text) AS value FROM input
-        WHERE actual IS NULL OR contains(text, chr(9))""",
+        WHERE actual IS NULL OR contains(text, chr(9))
+        UNION ALL SELECT '' FROM input WHERE doc_id % 10 = 0""",
     "report_topk": with_counts(DAILY, TOP_REPORT + "SELECT * FROM reports"),
     "report_sentiment": f"""WITH {SCORED_POSTS}, placed AS ({sliding('scored_posts', *TUMBLING)})
         {SENTIMENT_REPORT}""",
@@ -387,6 +420,7 @@ ORACLE: dict[str, str] = {
         where="WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-15'")}""",
     "stream_sliding_count": with_counts(MIN5, COUNT_MESSAGES),
     "stream_panes": with_counts(MIN5, COUNT_MESSAGES),
+    "stream_processing_time": with_counts(MIN5, COUNT_MESSAGES),
     "stream_outputs": with_counts(
         DAILY,
         TOP_REPORT

@@ -24,7 +24,7 @@ from mentionflow.session import scratch_path
 from mentionflow.sinks import files, reports
 from mentionflow.sources import dictionary, labelled
 from mentionflow.sources.messages import read_messages, stream_messages
-from mentionflow.sources.posts import stream_posts
+from mentionflow.sources.posts import readable_posts, stream_posts, unreadable_posts
 from mentionflow.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,17 @@ def filter_lang_repost(spark, sf_dir):
     return plain(english(spark, sf_dir).select("id", "created_at", "lang", "retweet_count"))
 
 
+@query
+def post_rejects(spark, sf_dir):
+    """Posts as JSON texts, some of them broken and some no object: those that can't be read."""
+    text = F.to_json(F.struct("id", "lang", "retweet_count", "text", "is_retweet", "mentions"))
+    k = F.col("retweet_count") % 10
+    broken = F.when(k == 0, F.replace(text, F.lit(":"), F.lit(" "))).when(k == 1, F.lit("17")).otherwise(text)
+    raw = fixtures.posts(spark, sf_dir).select("id", broken.alias("value"))
+    good = readable_posts(raw).select("id", F.lit(True).alias("readable"))
+    return good.union(unreadable_posts(raw).select("id", F.lit(False)))
+
+
 @query
 def extract_mentions(spark, sf_dir):
     found = posts.with_mentions(fixtures.posts(spark, sf_dir).select("id", "text"))
@@ -152,6 +163,27 @@ def primary_mention(spark, sf_dir):
     )
 
 
+NO_BROADCAST = {"max_rows": 0}
+
+
+def large_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three handles among those of all suppliers and customers."""
+    lines = fixtures.dictionary_lines(spark).unionByName(supplier_lines(spark, sf_dir))
+    return dictionary.handles(lines)
+
+
+@query
+def primary_mention_large(spark, sf_dir):
+    keys = large_dictionary(spark, sf_dir).select("handle_key").distinct()
+    return posts.primary_mentions(fixtures.posts(spark, sf_dir), keys, 0, NO_BROADCAST)
+
+
+@query
+def track_filter_many_terms(spark, sf_dir):
+    handles = large_dictionary(spark, sf_dir)
+    return posts.tracked_by_mention(fixtures.posts(spark, sf_dir), handles, 0, NO_BROADCAST).select("id", "lang")
+
+
 @query
 def track_filter(spark, sf_dir):
     terms = dictionary.terms(fixtures.dictionary(spark))
@@ -195,14 +227,24 @@ def post_tsv(spark, sf_dir):
     return reports.post_lines(fixtures.posts(spark, sf_dir))
 
 
+def row_facts(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """What can be checked of rows that may be any: how many, distinct, and from the source."""
+    known = rows.join(source.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left")
+    return known.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("distinct_ids"), F.count("_id").alias("known")
+    )
+
+
 @query
 def first_rows(spark, sf_dir):
-    return posts.first_rows(fixtures.posts(spark, sf_dir).select("id", "lang"))
+    source = fixtures.posts(spark, sf_dir).select("id", "lang")
+    return row_facts(posts.first_rows(source), source)
 
 
 @query
 def sample_rows(spark, sf_dir):
-    return posts.random_rows(fixtures.posts(spark, sf_dir).select("id", "lang"), seed=7)
+    source = fixtures.posts(spark, sf_dir).select("id", "lang")
+    return row_facts(posts.random_rows(source, seed=7), source)
 
 
 # Windows
@@ -244,6 +286,18 @@ def sliding_count_zero_fill(spark, sf_dir):
     return plain(windows.zero_filled(counts, "15 minutes"))
 
 
+@query
+def zero_fill_odd_slide(spark, sf_dir):
+    counts = windows.sliding_count(mentions(spark, sf_dir), "21 minutes", "7 minutes")
+    return plain(windows.zero_filled(counts, "7 minutes"))
+
+
+@query
+def zero_fill_multi_day(spark, sf_dir):
+    counts = windows.sliding_count(mentions(spark, sf_dir), "2 days", "2 days")
+    return plain(windows.zero_filled(counts, "2 days"))
+
+
 @query
 def topk_per_window(spark, sf_dir):
     counts = windows.sliding_count(mentions(spark, sf_dir), DAY, QUARTER)
@@ -334,7 +388,13 @@ def text_score_mean(spark, sf_dir):
 @query
 def text_score_lexicon_table(spark, sf_dir):
     rows = documents(spark, sf_dir)
-    return sentiment.score_by_lexicon_table(rows, fixtures.lexicon(spark)).drop("text")
+    return sentiment.score_by_lexicon_table(rows, fixtures.lexicon(spark))
+
+
+@query
+def text_score_lexicon_repeated(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    return sentiment.score_by_lexicon_table(rows.union(rows), fixtures.lexicon(spark).union(fixtures.lexicon(spark)))
 
 
 @query
@@ -369,6 +429,15 @@ def scored_mention_rows(spark, sf_dir):
     return plain(scored(spark, sf_dir).drop("text"))
 
 
+@query
+def scored_mentions_large(spark, sf_dir):
+    keys = large_dictionary(spark, sf_dir).select("handle_key").distinct()
+    rows = sentiment.scored_mentions(
+        english(spark, sf_dir), keys, lexicon_scorer(), max_literal_keys=0, lookup=NO_BROADCAST
+    )
+    return plain(rows.drop("text"))
+
+
 # Messages
 
 
@@ -432,11 +501,29 @@ def recount_total(spark, sf_dir):
     return messages.recount_total(stored_count_messages(spark, sf_dir), latest_window=False)
 
 
+@query
+def recount_topic_rows(spark, sf_dir):
+    """Count messages as a broker hands them over: bytes, headers, and its own timestamp."""
+    counts = windows.sliding_count(mentions(spark, sf_dir), DAY, QUARTER)
+    sent = messages.to_topic(messages.count_messages(counts))
+    received = sent.select(
+        "topic", F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), "headers",
+        F.current_timestamp().alias("timestamp"), F.monotonically_increasing_id().alias("offset"),
+    )
+    return messages.recount(messages.from_topic(received))
+
+
 @query
 def offset_range(spark, sf_dir):
-    events = fixtures.table(spark, sf_dir, "events")
-    log = events.select(F.col("event_type").alias("topic"), F.col("event_id").alias("offset"))
-    return messages.offset_range(log)
+    """Offsets of messages that were taken from a broker and stored."""
+    kind = F.col("event_type")
+    received = fixtures.table(spark, sf_dir, "events").select(
+        kind.alias("topic"), F.encode(kind, "UTF-8").alias("key"), F.encode("props", "UTF-8").alias("value"),
+        F.array().cast("array<struct<key:string,value:binary>>").alias("headers"), F.col("event_id").alias("offset"),
+    )
+    path = scratch_path(spark, "messages")
+    files.write_messages(messages.from_topic(received), path=path)
+    return messages.offset_range(read_messages(spark, path))
 
 
 # Labels and evaluation
@@ -496,29 +583,30 @@ def score_job(spark, sf_dir):
     return labelled.read_labelled(spark, target, SCORED)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Runs the prediction job over all documents; those without a label make short lines."""
+def predictions(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the prediction job over all documents; those without a label make short lines, and
+    each tenth document is followed by a blank line."""
     docs = fixtures.documents(spark, sf_dir)
     rows = docs.join(fixtures.table(spark, sf_dir, "labels"), "doc_id", "left")
     word = F.when(F.col("quality").isNotNull(), fixtures.label_word())
     one_line = F.regexp_replace("text", r"[\n\r]+", " ")
     source = scratch_path(spark, "tsv")
-    rows.select(
-        F.concat_ws("\t", F.lit("NA"), F.col("doc_id").cast("string"), word, one_line).alias("value")
-    ).write.text(source)
-    out, rejects = scratch_path(spark, "predictions"), scratch_path(spark, "rejects")
-    jobs.predict_job(spark, source, out, rejects, lexicon_scorer())
-    return out, rejects
+    line = F.concat_ws("\t", F.lit("NA"), F.col("doc_id").cast("string"), word, one_line)
+    blank = F.when(F.col("doc_id") % 10 == 0, "\n").otherwise("")
+    rows.select(F.concat(line, blank).alias("value")).write.text(source)
+    out = scratch_path(spark, "predictions")
+    jobs.predict_job(spark, source, out, lexicon_scorer())
+    return out
 
 
 @query
 def tsv_predictions(spark, sf_dir):
-    return labelled.read_text_lines(spark, predictions(spark, sf_dir)[0])
+    return jobs.predicted_lines(spark, predictions(spark, sf_dir))
 
 
 @query
 def tsv_rejects(spark, sf_dir):
-    return labelled.read_text_lines(spark, predictions(spark, sf_dir)[1])
+    return jobs.predicted_lines(spark, predictions(spark, sf_dir), jobs.REJECT)
 
 
 # Reports and dashboard
@@ -581,7 +669,7 @@ def run_count_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     counts = streams.window_counts(ended_post_stream(spark, sf_dir), fixtures.keys(spark), **options)
     started = streams.start_counts(counts, path, checkpoint, streams.AVAILABLE_NOW)
     streams.run_bounded([started])
-    return read_messages(spark, path).drop("offset")
+    return read_messages(spark, path).drop("offset", "part", "parts")
 
 
 @query
@@ -594,6 +682,19 @@ def stream_panes(spark, sf_dir):
     return plain(run_count_stream(spark, sf_dir))
 
 
+@query
+def stream_processing_time(spark, sf_dir):
+    """The same with a micro-batch every second, until all there is has been read."""
+    path, checkpoint = scratch_path(spark, "messages"), scratch_path(spark, "checkpoint")
+    counts = streams.window_counts(ended_post_stream(spark, sf_dir), fixtures.keys(spark))
+    started = streams.start_counts(counts, path, checkpoint, streams.every("1 second"))
+    try:
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    return plain(read_messages(spark, path).drop("offset", "part", "parts"))
+
+
 @query
 def stream_outputs(spark, sf_dir):
     """Count messages and the top-k report from one stream; the report is returned."""

@@ -58,6 +58,8 @@ MESSAGES = T.StructType(
         T.StructField("value", T.StringType()),
         T.StructField("window_start", T.TimestampType()),
         T.StructField("window_end", T.TimestampType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("parts", T.IntegerType()),
         T.StructField("offset", T.LongType()),
     ]
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.functions.labels import to_symbol
+from mentionflow.operators.messages import to_topic
 
 
 def write_messages(
@@ -16,9 +17,11 @@ def write_messages(
     A broker only appends, so a repeated batch is sent again.
     """
     if fmt == "kafka":
-        messages.select("topic", "key", "value").write.format("kafka").options(**options).save()
+        to_topic(messages).write.format("kafka").options(**options).save()
     else:
-        messages.write.format(fmt).mode(mode).options(**options).save(path)
+        # like a broker's offsets, these order the messages of a write and tell them apart
+        numbered = messages if "offset" in messages.columns else messages.withColumn("offset", F.monotonically_increasing_id())
+        numbered.write.format(fmt).mode(mode).options(**options).save(path)
 
 
 def write_text(lines: DataFrame, path: str, mode: str = "append") -> None:

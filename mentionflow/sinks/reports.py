@@ -93,13 +93,14 @@ def in_report_order(lines: DataFrame) -> DataFrame:
     ).select("value")
 
 
-def prediction_lines(labelled: DataFrame) -> DataFrame:
-    """``NA, uid, predicted, score, actual, text`` lines from uid, actual, text and score."""
+def prediction_line() -> Column:
+    """``NA, uid, predicted, score, actual, text`` from uid, actual, text and score."""
     predicted = F.coalesce(bucket(F.col("score"), WORDS), F.lit("null"))
-    line = F.format_string(
-        PREDICTION_LINE, "uid", predicted, fixed(F.col("score"), 2), "actual", "text"
-    )
-    return labelled.select(line.alias("value"))
+    return F.format_string(PREDICTION_LINE, "uid", predicted, fixed(F.col("score"), 2), "actual", "text")
+
+
+def prediction_lines(labelled: DataFrame) -> DataFrame:
+    return labelled.select(prediction_line().alias("value"))
 
 
 def post_lines(posts: DataFrame) -> DataFrame:

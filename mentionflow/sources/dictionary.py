@@ -39,7 +39,8 @@ def display_table(lines: DataFrame) -> DataFrame:
 
 
 def terms(handle_table: DataFrame, max_terms: int = 400) -> list[str]:
-    """The lower-cased handles as track terms for a source."""
+    """The lower-cased handles as track terms for a source, which takes a few. Longer lists are
+    for ``tracked_by_mention``, which takes the table itself."""
     found = [row[0] for row in handle_table.select("handle").distinct().limit(max_terms + 1).collect()]
     if len(found) > max_terms:
         raise ValueError("too many terms to track by text; match the mentions with the dictionary")

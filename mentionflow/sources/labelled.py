@@ -16,8 +16,8 @@ def read_labelled(spark: SparkSession, path: str, schema: T.StructType = LABELLE
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty lines, split at the ASCII newline only."""
-    return spark.read.option("lineSep", "\n").text(path).where(F.col("value") != "")
+    """All lines, blank ones too, split at the ASCII newline only."""
+    return spark.read.option("lineSep", "\n").text(path)
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def _fields(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_f", F.split(F.regexp_replace("value", r"\t+$", ""), "\t"))
 
 
+def tsv_fields(lines: DataFrame) -> DataFrame:
+    """``value`` of each line, and uid, actual and text where it has exactly four fields."""
+    four = F.when(F.size("_f") == 4, F.col("_f"))
+    return _fields(lines).select("value", four[1].alias("uid"), four[2].alias("actual"), four[3].alias("text"))
+
+
 def labelled_tsv(lines: DataFrame) -> DataFrame:
     """(uid, actual, text) of the lines with exactly four tab-separated fields."""
     good = _fields(lines).where(F.size("_f") == 4)

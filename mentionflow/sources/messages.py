@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.operators.messages import decoded
+from mentionflow.operators.messages import from_topic
 from mentionflow.schemas import MESSAGES
 
 
@@ -25,8 +25,4 @@ def stream_messages(spark: SparkSession, path: str, topic: str | None = None) ->
 def topic_messages(spark: SparkSession, topic: str, streaming: bool = True, **options: str) -> DataFrame:
     """Messages of a broker topic; needs the Kafka connector on the class path."""
     reader = spark.readStream if streaming else spark.read
-    raw = reader.format("kafka").options(subscribe=topic, **options).load()
-    return raw.select(
-        "topic", decoded(F.col("key")).alias("key"), decoded(F.col("value")).alias("value"),
-        F.col("timestamp").alias("window_end"), "offset",
-    )
+    return from_topic(reader.format("kafka").options(subscribe=topic, includeHeaders="true", **options).load())

@@ -7,17 +7,19 @@ which windows of the table are complete.
 
 from __future__ import annotations
 
+import signal
+import threading
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mentionflow.functions.scoring import Scorer
 from mentionflow.operators.collect import MAX_RECORDS
-from mentionflow.operators.messages import count_messages, decoded_counts, sentiment_messages
+from mentionflow.operators.messages import count_messages, decoded_counts, sentiment_messages, to_topic
 from mentionflow.operators.posts import counted_mentions, original_posts
 from mentionflow.operators.sentiment import scored_mentions, sentiment_groups
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, direct_count, sliding_count
@@ -52,16 +54,36 @@ def every(interval: str = BATCH_INTERVAL) -> dict:
 AVAILABLE_NOW = {"availableNow": True}
 
 
-def run_bounded(queries: Sequence[StreamingQuery], max_seconds: float = MAX_RUN_SECONDS) -> None:
-    """Wait for the queries, at most ``max_seconds`` in all, and stop them in any case. The
-    first failure of a query is raised."""
+def run_bounded(
+    queries: Sequence[StreamingQuery], max_seconds: float = MAX_RUN_SECONDS, poll_seconds: float = 0.5
+) -> None:
+    """Run the queries until all have ended, one has failed, ``max_seconds`` are over or the
+    process is asked to stop (SIGTERM, SIGINT), and stop them in any case.
+
+    All queries are watched together; the failure of one is raised at once. The time limit and
+    a signal are regular ends. Signals are only handled when called from the main thread, and
+    earlier handlers are put back.
+    """
     deadline = time.monotonic() + max_seconds
+    stop = threading.Event()
+    handled = {}
     try:
-        for query in queries:
-            query.awaitTermination(max(0, int(deadline - time.monotonic())))
+        if threading.current_thread() is threading.main_thread():
+            for sign in (signal.SIGTERM, signal.SIGINT):
+                handled[sign] = signal.signal(sign, lambda *_: stop.set())
+        while True:
+            active = [query.isActive for query in queries]
+            for query in queries:
+                if query.exception() is not None:
+                    raise query.exception()
+            left = deadline - time.monotonic()
+            if not any(active) or left <= 0 or stop.wait(min(poll_seconds, left)):
+                return
     finally:
         for query in queries:
             query.stop()
+        for sign, earlier in handled.items():
+            signal.signal(sign, earlier)
 
 
 def wait_for_rows(query: StreamingQuery, max_seconds: float = 600) -> None:
@@ -103,7 +125,7 @@ def start_counts(counts: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 def start_count_topic(counts: DataFrame, checkpoint: str, trigger: dict | None = None, **options: str) -> StreamingQuery:
     """The same to a broker; needs the Kafka connector on the class path."""
-    writer = count_messages(counts).select("topic", "key", "value").writeStream.format("kafka")
+    writer = to_topic(count_messages(counts)).writeStream.format("kafka")
     return (
         writer.outputMode("append")
         .options(**options)
@@ -189,15 +211,17 @@ def scored_table_counts(
 
 
 def _closed(counts: DataFrame) -> tuple | None:
+    """First start, first end and last end of the windows, as timestamps made from microseconds:
+    local date-times would be ambiguous when clocks change."""
     found = counts.agg(
-        F.min("window_start").alias("start"), F.min("window_end").alias("first"), F.max("window_end").alias("last")
+        F.unix_micros(F.min("window_start")), F.unix_micros(F.min("window_end")), F.unix_micros(F.max("window_end"))
     ).first()
-    return None if found.start is None else (found.start, found.first, found.last)
+    return None if found[0] is None else tuple(F.timestamp_micros(F.lit(n)) for n in found)
 
 
-def _rows_between(spark: SparkSession, table: str, start, end) -> DataFrame:
+def _rows_between(spark: SparkSession, table: str, start: Column, end: Column) -> DataFrame:
     rows = spark.read.schema(SCORED_MENTIONS).parquet(table)
-    days = F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+    days = F.col("day").between(F.to_date(start), F.to_date(end))
     return rows.where(days & (F.col("created_at") >= start) & (F.col("created_at") < end)).drop("day")
 
 

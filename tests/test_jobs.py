@@ -11,7 +11,8 @@ SCORER = lexicon_scorer({"good": 1, "bad": -1})
 
 
 def lines_of(path):
-    return sorted(line for part in path.glob("part-*") for line in part.read_text().split("\n") if line)
+    """All lines, blank ones too; a file ends with its last line."""
+    return sorted(line for part in path.glob("part-*") for line in part.read_text().split("\n")[:-1])
 
 
 def test_score_job_from_file_to_file(spark, tmp_path):
@@ -50,16 +51,27 @@ def test_predict_job_routes_malformed_lines(spark, tmp_path):
     source = tmp_path / "posts.tsv"
     good = ["x\t1\tpositive\tgood good", "x\t2\tnegative\tbad", "x\t3\tneutral\tplain\t\t", "x\t4\tneutral\t..."]
     bad = ["x\t5\tpositive", "x\t6\tp\ttext\textra", "x\t7\tp\t", "just text"]
-    source.write_text("\n".join(good + bad) + "\n\n")
-    out, rejects = tmp_path / "out", tmp_path / "rejects"
-    jobs.predict_job(spark, str(source), str(out), str(rejects), SCORER)
-    assert lines_of(out) == [
+    source.write_text("\n".join(good + ["", *bad]) + "\n\n")
+    out = tmp_path / "out"
+    jobs.predict_job(spark, str(source), str(out), SCORER)
+    assert lines_of(out / "outcome=prediction") == [
         "NA\t1\tpositive\t4.00\tpositive\tgood good",
         "NA\t2\tnegative\t1.00\tnegative\tbad",
         "NA\t3\tneutral\t2.00\tneutral\tplain",
         "NA\t4\tnull\tnull\tneutral\t...",
     ]
-    assert lines_of(rejects) == sorted(bad)
+    assert lines_of(out / "outcome=reject") == sorted(["", "", *bad])
+    for outcome in (jobs.PREDICTION, jobs.REJECT):
+        found = jobs.predicted_lines(spark, str(out), outcome)
+        assert sorted(r.value for r in found.collect()) == lines_of(out / f"outcome={outcome}")
+
+
+def test_predict_job_without_rejects_or_lines(spark, tmp_path):
+    for name, text, n in (("good", "x\t1\tpositive\tgood\n", 1), ("none", "", 0)):
+        (tmp_path / name).write_text(text)
+        jobs.predict_job(spark, str(tmp_path / name), str(tmp_path / f"{name}-out"), SCORER)
+        assert jobs.predicted_lines(spark, str(tmp_path / f"{name}-out")).count() == n
+        assert jobs.predicted_lines(spark, str(tmp_path / f"{name}-out"), jobs.REJECT).count() == 0
 
 
 def test_export_writes_symbols_and_text(spark, tmp_path):

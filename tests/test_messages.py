@@ -36,6 +36,42 @@ def test_recount_folds_case_and_takes_the_last_window(spark, counts, tmp_path):
     assert messages.recount_total(stored, latest_window=False).first().total == 56
 
 
+def as_received(sent):
+    """Broker rows of sent messages: bytes, and the broker's own time and offsets."""
+    return sent.select(
+        "topic", F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), "headers",
+        (F.lit(1_700_000_000_000) + F.monotonically_increasing_id()).alias("ms"), F.monotonically_increasing_id().alias("offset"),
+    ).withColumn("timestamp", F.timestamp_millis("ms"))
+
+
+def test_messages_carry_their_window_over_a_broker(spark, counts, tmp_path):
+    received = messages.from_topic(as_received(messages.to_topic(messages.count_messages(counts))))
+    assert {(r.key, r.window_start, r.window_end) for r in received.collect()} >= {("klm", START, END)}
+    assert {tuple(r) for r in messages.recount(received).collect()} == {("united", 5), ("klm", 1)}
+    write_messages(received, path=str(tmp_path / "m"))
+    stored = read_messages(spark, str(tmp_path / "m"))
+    offsets = [r.offset for r in received.collect()]
+    assert tuple(messages.offset_range(stored).first()) == ("top-counts", min(offsets), max(offsets))
+
+
+def test_a_split_group_can_be_put_together_again(spark):
+    rows = [post(i, mentions=["klm"], text=f"good {i}") for i in range(10)]
+    keys = spark.createDataFrame([("klm",)], "handle_key string")
+    scored = sentiment.scored_mentions(spark.createDataFrame(rows, POSTS), keys, lexicon_scorer({"good": 1}))
+    groups = sentiment.sentiment_groups(scored, "5 minutes", "5 minutes", max_records=3)
+    received = messages.from_topic(as_received(messages.to_topic(messages.sentiment_messages(groups)))).collect()
+    assert {(r.key, r.window_start, r.parts) for r in received} == {("klm", received[0].window_start, received[0].parts)}
+    assert received[0].parts > 1 and len({r.part for r in received}) == len(received)
+    ids = sorted(x["tweet"]["id"] for r in received for x in json.loads(r.value))
+    assert ids == list(range(10))
+
+
+def test_own_messages_have_offsets(spark, counts, tmp_path):
+    write_messages(messages.count_messages(counts), path=str(tmp_path / "m"))
+    found = [r.offset for r in read_messages(spark, str(tmp_path / "m")).collect()]
+    assert None not in found and len(set(found)) == 4
+
+
 def test_sentiment_messages_round_trip(spark):
     rows = [
         post(1, mentions=["United", "united"], text='say "good" é\n'),

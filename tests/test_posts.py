@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mentionflow.operators import lookup, posts
 from mentionflow.schemas import POSTS
+from mentionflow.sources.posts import readable_posts, unreadable_posts
 from mentionflow.sinks import reports
 from mentionflow.sources.posts import read_posts
 
@@ -87,6 +88,31 @@ def test_primary_mention_compares_raw_spelling(frame):
     assert found == {1: "united", 2: "klm", 3: "klm", 4: "klm", 5: "united", 6: "<unk>"}
 
 
+def test_large_dictionaries_give_the_same_rows(frame):
+    keys = frame.sparkSession.createDataFrame([(k,) for k in ["united", "klm", *(f"k{i}" for i in range(50))]], "handle_key string")
+    twice = frame.union(frame)
+    first = posts.primary_mention(F.col("mentions"), ["united", "klm"])
+    want = sorted((r.id, r.m) for r in twice.select("id", first.alias("m")).collect())
+    none = {"max_rows": 0}
+    found = posts.primary_mentions(twice, keys, 0, none)
+    assert sorted((r.id, r.mention) for r in found.collect()) == want
+    hits = [sorted((r.id, *r.hits) for r in posts.with_hits(twice, keys, *options).collect()) for options in ((), (0,), (0, none))]
+    assert hits[0] == hits[1] == hits[2] and len(hits[0]) % 2 == 0
+    handles = keys.withColumn("handle", F.concat(F.lit("@"), "handle_key"))
+    tracked = posts.tracked_by_mention(frame, handles, 0, none)
+    assert tracked.columns == frame.columns
+    assert sorted(r.id for r in tracked.collect()) == sorted(r.id for r in posts.tracked_by_mention(frame, handles).collect())
+
+
+def test_unreadable_posts_are_routed_apart(spark):
+    texts = ['{"id": 1, "text": "a"}', "{broken", "", "17", "null", None, '{"id": "x"}', '{"id": 2, "other": 1}', "[1]"]
+    raw = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, offset long")
+    assert sorted(r.id for r in readable_posts(raw).collect()) == [1, 2]
+    assert readable_posts(raw).columns == POSTS.fieldNames()
+    rejects = unreadable_posts(raw)
+    assert rejects.columns == ["value", "offset"] and sorted(r.offset for r in rejects.collect()) == [1, 2, 3, 4, 5, 6, 8]
+
+
 def test_track_terms_and_text_mentions(frame):
     assert [r.id for r in posts.tracked_posts(frame, ["@united", "@klm"]).collect()] == [1]
     assert posts.with_mentions(frame).where("id = 1").first().mentions == ["United"]

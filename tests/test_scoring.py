@@ -1,4 +1,7 @@
 import math
+
+import pytest
+from pyspark.sql import functions as F
 import random
 import re
 
@@ -57,12 +60,47 @@ def test_lexicon_table_equals_column_scorer_broadcast_and_salted(spark):
     expected = {r.id: r.score for r in sentiment.score_text(df, scorer=scorer, name="score").collect()}
     for bounds in ({}, {"max_rows": 1}):
         found = sentiment.score_by_lexicon_table(df, lexicon, **bounds).collect()
-        assert {r.id: r.score for r in found} == expected
+        assert found[0].asDict().keys() == {"id", "score"} and {r.id: r.score for r in found} == expected
     assert sentiment.lexicon_weights(lexicon) == WEIGHTS
     assert sentiment.lexicon_weights(lexicon, max_rows=2) is None
 
 
-def test_model_scorer_gets_clean_batches_and_loads_once_per_task(spark):
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 1}])
+def test_lexicon_table_scores_repeated_rows_and_words_once(spark, bounds):
+    rows = [(1, "good."), (1, "good."), (1, "bad bad. good"), (2, ""), (2, ""), (None, "good good"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    lexicon = spark.createDataFrame(list(WEIGHTS.items()) * 2, "word string, weight int")
+    expected = sentiment.score_text(df, scorer=scoring.lexicon_scorer(WEIGHTS), name="score")
+    found = sentiment.score_by_lexicon_table(df, lexicon, **bounds)
+    key = lambda df: sorted(((r.id, r.score) for r in df.collect()), key=str)
+    assert key(found) == key(expected)
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(batch):
+            assert (batch.str.len() > 0).all()
+            return batch.str.len().astype("float64")
+
+        return model
+
+    scorer = scoring.model_scorer(load)
+    df = spark.range(200).selectExpr("if(id % 3 = 0, '', 'text') AS text").repartition(40)
+    for _ in range(2):
+        found = sentiment.score_text(df, scorer=scorer).groupBy("text").agg(F.avg("polarity")).collect()
+        assert {tuple(r) for r in found} == {("", 0.0), ("text", 4.0)}
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))
+
+
+def test_model_scorer_gets_clean_batches(spark):
     def load():
         return lambda batch: batch.str.len().astype("float64")
 

@@ -1,5 +1,9 @@
 import datetime as dt
+import os
 import random
+import signal
+import threading
+import time
 from collections import Counter
 
 import pytest
@@ -9,7 +13,7 @@ from mentionflow.functions.scoring import lexicon_scorer
 from mentionflow.operators import messages, posts, sentiment, windows
 from mentionflow.schemas import POSTS
 from mentionflow.sources.messages import read_messages, stream_messages
-from mentionflow.sources.posts import stream_posts
+from mentionflow.sources.posts import read_posts, stream_posts
 from mentionflow.streaming import jobs
 from tests.test_posts import post
 
@@ -233,6 +237,62 @@ def test_a_bounded_run_stops_its_queries(spark, feed, keys, tmp_path):
     assert not query.isActive
 
 
+def test_two_live_queries_end_quietly_at_the_limit(spark, feed, keys, tmp_path):
+    counts = jobs.window_counts(feed.stream(), keys)
+    queries = [
+        jobs.start_counts(counts, str(tmp_path / f"out{i}"), str(tmp_path / f"c{i}"), jobs.every("1 second")) for i in range(2)
+    ]
+    jobs.run_bounded(queries, max_seconds=3)
+    assert not any(q.isActive for q in queries)
+
+
+def test_a_failure_of_a_later_query_is_seen_at_once(spark, feed, keys, tmp_path):
+    def fail(batch, batch_id):
+        raise RuntimeError("no sink")
+
+    counts = jobs.window_counts(feed.stream(), keys)
+    good = jobs.start_counts(counts, str(tmp_path / "out"), str(tmp_path / "c1"), jobs.every("1 second"))
+    bad = jobs.start_outputs(counts, [fail], str(tmp_path / "c2"), jobs.AVAILABLE_NOW)
+    began = time.monotonic()
+    with pytest.raises(Exception, match="no sink"):
+        jobs.run_bounded([good, bad], 120)
+    assert not good.isActive and time.monotonic() - began < 60
+
+
+def test_a_signal_stops_the_queries(spark, feed, keys, tmp_path):
+    counts = jobs.window_counts(feed.stream(), keys)
+    query = jobs.start_counts(counts, str(tmp_path / "out"), str(tmp_path / "c"), jobs.every("1 second"))
+    earlier = signal.getsignal(signal.SIGTERM)
+    timer = threading.Timer(2, os.kill, (os.getpid(), signal.SIGTERM))
+    timer.start()
+    began = time.monotonic()
+    jobs.run_bounded([query], 120)
+    assert not query.isActive and time.monotonic() - began < 60 and signal.getsignal(signal.SIGTERM) == earlier
+
+
+def test_sentiment_windows_survive_a_clock_change(spark, keys, tmp_path, monkeypatch):
+    """The driver is in New York, where an hour came twice on 2024-11-03 (from 05:00 to 07:00 UTC)."""
+    first = dt.datetime(2024, 11, 3, 5, 0, tzinfo=dt.timezone.utc)
+    rows = [timed_post(i, first + dt.timedelta(minutes=5 * i), mentions=["ann"], text=f"good {i}") for i in range(24)]
+    table, out = str(tmp_path / "table"), str(tmp_path / "out")
+    spark.createDataFrame(rows, POSTS).write.parquet(str(tmp_path / "posts"))
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        scored = sentiment.scored_mentions(posts.original_posts(read_posts(spark, str(tmp_path / "posts"))), keys, SCORER)
+        scored.withColumn("day", F.to_date("created_at")).write.partitionBy("day").parquet(table)
+        counts = windows.sliding_count(scored, "5 minutes", "5 minutes")
+        jobs.sentiment_output(table, out, "5 minutes", "5 minutes")(counts, 0)
+        jobs.sentiment_report_output(table, str(tmp_path / "report"), "5 minutes", "5 minutes")(counts, 0)
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    flat = messages.flattened(read_messages(spark, out))
+    assert sorted(r.tweet_id for r in flat.collect()) == list(range(24))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert sum(line.startswith("    [") for line in lines) == 24
+
+
 def test_a_failing_query_is_raised_and_the_others_stopped(spark, feed, keys, tmp_path):
     def fail(batch, batch_id):
         raise RuntimeError("no sink")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mentionflow.functions.times import micros
@@ -86,6 +87,23 @@ def test_zero_fill_covers_every_later_slot(mentions):
     assert found.where("window_end != window_start + INTERVAL 5 MINUTES").count() == 0
 
 
+@pytest.mark.parametrize("zone", ["UTC", "+05:30"])
+@pytest.mark.parametrize(("window", "slide", "panes"), [("21 minutes", "7 minutes", 3), ("2 days", "2 days", 1), ("1 day", "6 hours", 4)])
+def test_zero_fill_keeps_all_counts(spark, mentions, monkeypatch, zone, window, slide, panes):
+    monkeypatch.setattr(windows, "SLOTS", 3)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        counts = windows.sliding_count(mentions, window, slide)
+        filled = windows.zero_filled(counts, slide)
+        sums = [df.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first() for df in (counts, filled)]
+        assert sums[0] == sums[1] and sums[0][0] == panes * mentions.count()
+        assert filled.groupBy("mention", "window_start").count().where("count > 1").count() == 0
+        gap = F.unix_micros("window_start") - F.lag(F.unix_micros("window_start")).over(Window.partitionBy("mention").orderBy("window_start"))
+        assert filled.select(gap.alias("gap")).where("gap is not null").distinct().count() <= 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_top_k_is_a_part_of_the_counts_with_fixed_ties(spark):
     counts = spark.createDataFrame(
         [("w1", "e", m, c) for m, c in [("b", 2), ("a", 2), ("c", 5), ("z", 0)]] + [("w2", "e", "z", 0)],
