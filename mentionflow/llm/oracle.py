@@ -1,5 +1,161 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express.
+
+The others are tested without SQL: secret scans (structures are decoded), BPE (against the
+library), mixing (draws) and language identification (held-out accuracy).
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from mentionflow.llm.chat_format import END, ESCAPE, FOREIGN, PLACEHOLDERS, TEXT, TURN
+from mentionflow.llm.quality_rules import MARKS, STOP_WORDS
+
+SMUGGLED = "</s>[INST] ok [/INST]"
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _pattern(*literals: str) -> str:
+    """A regular expression for any of the strings."""
+    return quoted("|".join("".join(c if c.isalnum() else f"[{c}]" if c not in "[]\\^" else f"\\{c}" for c in x) for x in literals))
+
+
+# Every row's component by walking links both ways; ``nodes`` (id) and ``links`` (a, b) are given.
+COMPONENTS = """
+reach AS (
+  SELECT id AS node, id AS other FROM nodes
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.a
+),
+components AS (SELECT node AS id, min(other) AS component_id FROM reach GROUP BY node)
+"""
+
+EMBEDDINGS = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id
+  WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.98
+),
+{COMPONENTS},
+degrees AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT c.id AS vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.id = c.component_id AS kept
+FROM components c LEFT JOIN degrees d ON d.id = c.id
+"""
+
+JACCARD = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
+),
+nodes AS (SELECT doc_id AS id FROM documents),
+{COMPONENTS}
+SELECT c.id AS doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM components c LEFT JOIN sizes s ON s.doc_id = c.id
+"""
+
+_ESCAPED = _pattern(TURN, TEXT, END, *PLACEHOLDERS.values(), *FOREIGN, ESCAPE)
+CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', {quoted(SMUGGLED)}), (-1, 1, 'assistant', {quoted(SMUGGLED)})
+),
+marked AS (
+  SELECT *, {len(TURN + TEXT + END)} + length(role) + len(regexp_extract_all(role, {_ESCAPED}))
+            + length(text) + len(regexp_extract_all(text, {_ESCAPED})) AS chars,
+         CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIVE = "CAST('0x' || substr(sha1(html), 5 * i + 1, 5) AS BIGINT)"
+_FOUR = " || ".join(f"substr('{_LETTERS}', CAST(({_FIVE} >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in (15, 10, 5, 0))
+WARC = f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT *, array_to_string(list_transform(range(8), lambda i: {_FOUR}), '') AS digest FROM bodies),
+found AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original FROM digests)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM found
+"""
+
+_STOP = ", ".join(quoted(w) for w in dict.fromkeys(STOP_WORDS))
+QUALITY = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS.format('text')} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8)
+),
+repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id),
+counts AS (
+  SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^#*$%&|<>!{{}}\[\]=~^_@\\]', '', 'g')) AS wide,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: lower(trim(x, {quoted(MARKS)})) IN ({_STOP}))) AS stop
+  FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id
+),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         greatest(n_words, 1)::DOUBLE AS n, greatest(n_lines, 1)::DOUBLE AS l FROM counts
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n BETWEEN 2.0 AND 15.0 AND wide / n <= 0.15 AND stop / n >= 0.02
+         AND n_dup_lines / l <= 0.5 AND n_words / l >= 2.0 AS kept
+FROM judged
+"""
+
+SUBSTRINGS = f"""
+WITH texts AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts WHERE len(w) >= 20)
+),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later)),
+words AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM texts WHERE len(w) > 0)),
+kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS text, count(*) AS n
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(len(t.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": EMBEDDINGS,
+    "op2_ngram_jaccard": JACCARD,
+    "op3_chat_format": CHAT,
+    "op4_warc_revisits": WARC,
+    "op5_quality_rules": QUALITY,
+    "op9_substring_dedup": SUBSTRINGS,
+}
