@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.functions.times import micros
-from mentionflow.operators.lookup import BROADCAST_ROWS, fits
+from mentionflow.operators.lookup import BROADCAST_ROWS, lookup_join
 from mentionflow.operators.windows import SLIDE, WINDOW
 from mentionflow.session import checkpointed
 
 MAX_RECORDS = 1_000
+MAX_BYTES = 16 * 1024 * 1024
 
 
 def windowed(rows: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
@@ -37,11 +38,13 @@ def _with_blocks(rows: DataFrame, window_ms: int, slide_ms: int, block_ms: int)
     return rows.withColumn("_block", F.explode(blocks))
 
 
-def _crowded(rows: DataFrame, size_by: Sequence[str], max_records: int) -> DataFrame:
-    """(block, size_by, parts) for the groups with more rows than fit into one array."""
-    sizes = rows.groupBy("_block", *size_by).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / max_records).cast("int")
-    return sizes.where(F.col("_n") > max_records).select("_block", *size_by, parts.alias("_parts"))
+def _crowded(rows: DataFrame, size_by: Sequence[str], max_records: int, max_bytes: int) -> DataFrame:
+    """(group, parts) for the groups with more rows or bytes of text than fit into one array."""
+    size = F.sum(F.octet_length("text")) if "text" in rows.columns else F.lit(0)
+    sizes = rows.groupBy("_block", *size_by).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(size, F.lit(0)).alias("_size"))
+    parts = F.greatest(F.ceil(F.col("_n") / max_records), F.ceil(F.col("_size") / max_bytes)).cast("int")
+    sized = sizes.select(F.struct("_block", *size_by).alias("_group"), parts.alias("_parts"))
+    return sized.where(F.col("_parts") > 1)
 
 
 def sliding_collect(
@@ -54,8 +57,10 @@ def sliding_collect(
     size_by: Sequence[str] | None = None,
     max_records: int = MAX_RECORDS,
     broadcast_rows: int = BROADCAST_ROWS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """The records of each window and key as arrays of about ``max_records`` at most.
+    """The records of each window and key as arrays of about ``max_records``, and ``max_bytes``
+    of text, at most.
 
     ``rows`` have ``id``, ``created_at``, the key and whatever ``record`` uses. The result has
     ``window_start``, ``window_end``, the key, ``part``, ``parts`` and ``records``; a group
@@ -74,18 +79,17 @@ def sliding_collect(
     block_ms = per_block * slide_ms
     blocks = _with_blocks(rows, window_ms, slide_ms, block_ms)
 
-    crowded = checkpointed(_crowded(blocks, size_by, max_records))
+    crowded = checkpointed(_crowded(blocks, size_by, max_records, max_bytes))
     if crowded.isEmpty():
         sized = blocks.withColumn("_parts", F.lit(1))
     else:
-        side = F.broadcast(crowded) if fits(crowded, broadcast_rows) else crowded
-        sized = blocks.join(side, ["_block", *size_by], "left").withColumn(
-            "_parts", F.coalesce("_parts", F.lit(1))
-        )
+        group = F.struct("_block", *size_by)
+        found = lookup_join(blocks, crowded, group, "_group", "left", F.col("id"), max_rows=broadcast_rows)
+        sized = found.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
     # Equal records meet in one part, where they collapse; if they must not, spread them too.
     identity = ["id", "created_at"]
-    spread = F.xxhash64(*identity) if distinct else F.xxhash64(*identity, F.spark_partition_id())
+    spread = F.xxhash64(*identity) if distinct else F.xxhash64(*identity, F.monotonically_increasing_id())
     gather = F.collect_set if distinct else F.collect_list
     item = F.struct(F.unix_millis("created_at").alias("at"), record.alias("record"))
     gathered = (

@@ -759,7 +759,7 @@ def stream_recount(spark, sf_dir):
     files.write_messages(messages.count_messages(counts), path=source)
     started = streams.start_recount(
         stream_messages(spark, source, messages.COUNT_TOPIC), out,
-        scratch_path(spark, "checkpoint"), trigger=streams.AVAILABLE_NOW,
+        scratch_path(spark, "checkpoint"), keep="366 days", trigger=streams.AVAILABLE_NOW,
     )
     streams.run_bounded([started])
     return plain(streams.latest_recount(spark, out))

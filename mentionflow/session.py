@@ -4,33 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-# Batch shuffles start with about one partition per this many input bytes, within bounds.
+# Batch shuffles start with about one partition per this many bytes that they move, within bounds.
 BYTES_PER_PARTITION = 256 * 1024 * 1024
-MIN_PARTITIONS, MAX_PARTITIONS = 200, 100_000
+MIN_PARTITIONS, MAX_PARTITIONS = 200, 50_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def initial_partitions(input_bytes: int) -> int:
-    return max(MIN_PARTITIONS, min(MAX_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION)))
+def initial_partitions(shuffled_bytes: int) -> int:
+    return max(MIN_PARTITIONS, min(MAX_PARTITIONS, -(-shuffled_bytes // BYTES_PER_PARTITION)))
+
+
+@contextmanager
+def shuffling(spark: SparkSession, shuffled_bytes: int) -> Iterator[None]:
+    """Queries that run within start their shuffles with partitions for this many bytes. Counts of
+    any input move little, and texts move as they are: what counts is the shuffle, not the input."""
+    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    spark.conf.set(INITIAL_PARTITIONS, str(initial_partitions(shuffled_bytes)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(INITIAL_PARTITIONS, before)
 
 
 def build_session(
-    app_name: str = "mentionflow", input_bytes: int = 0, conf: Mapping[str, str] | None = None
+    app_name: str = "mentionflow", shuffled_bytes: int = 0, conf: Mapping[str, str] | None = None
 ) -> SparkSession:
     """A session with the settings the jobs expect; ``conf`` overrides or adds to them.
 
-    Batch shuffles start with enough partitions for ``input_bytes`` and adaptive execution
-    coalesces small ones. Streams do not adapt: they use ``spark.sql.shuffle.partitions``, which
+    Batch shuffles start with enough partitions for ``shuffled_bytes`` and adaptive execution
+    coalesces small ones; ``shuffling`` sets them for a job. Streams do not adapt: they use ``spark.sql.shuffle.partitions``, which
     is fixed for the life of a checkpoint and left to the caller.
     """
     settings = {
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial_partitions(input_bytes)),
+        INITIAL_PARTITIONS: str(initial_partitions(shuffled_bytes)),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -82,3 +99,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has made, in whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

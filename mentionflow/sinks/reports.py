@@ -10,7 +10,7 @@ from mentionflow.functions.text import fixed
 from mentionflow.functions.times import micros
 from mentionflow.operators.collect import windowed
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, top_k
-from mentionflow.session import stored
+from mentionflow.session import checkpointed
 
 # Fixed values of the layouts.
 RULE = "_" * 72
@@ -55,11 +55,11 @@ def sentiment_report(
 
     Input: posts with ``created_at``, ``id``, ``text``, ``polarity`` and ``cat``; ``ends`` keeps
     only the windows that end between its two timestamps. A line is a row of its own, so no
-    window or category has to fit into one task. The scored posts are stored first, as the
-    headings and the sort read them again.
+    window or category has to fit into one task. The scored posts are checkpointed first, as the
+    headings and the sort read them again; Spark drops the checkpoint with the result.
     """
     needed = scored.select("created_at", "id", "text", "polarity", F.coalesce("cat", F.lit("null")).alias("cat"))
-    placed = windowed(stored(needed, "report"), window, slide)
+    placed = windowed(checkpointed(needed), window, slide)
     if ends is not None:
         placed = placed.where(F.col("window_end").between(*ends))
     posts = placed.select(

@@ -24,12 +24,15 @@ from mentionflow.operators.posts import counted_mentions, original_posts
 from mentionflow.operators.sentiment import scored_mentions, sentiment_groups
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, direct_count, sliding_count
 from mentionflow.sinks.files import batch_path, write_messages, write_text
+from mentionflow.functions.times import micros
+from mentionflow.session import removed
 from mentionflow.sinks.reports import in_report_order, sentiment_report, top_k_report
 
 BATCH_INTERVAL = "1 minute"
 REFRESH_INTERVAL = "5 seconds"
 WATERMARK = "10 minutes"
 MAX_RUN_SECONDS = 5 * 60 * 60
+RECOUNT_KEPT = "7 days"
 
 SCORED_MENTIONS = T.StructType(
     [
@@ -263,18 +266,33 @@ def sentiment_report_output(table: str, path: str, window: str = WINDOW, slide:
 
 
 def start_recount(
-    messages: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, trigger: dict | None = None
-) -> StreamingQuery:
+    messages: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, keep: str = RECOUNT_KEPT,
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Counts per handle and window from count messages, refreshed every few seconds.
 
-    Each micro-batch writes the handles that changed; a window older than the watermark is
-    forgotten.
+    Each micro-batch writes a snapshot, the one before with what has changed, without windows
+    that ended more than ``keep`` before the newest, and removes all but the last two. So
+    neither a snapshot nor the number of folders grows for ever. A window older than the
+    watermark is not counted any more.
     """
     counts = decoded_counts(messages, latest_window=False).withWatermark("window_end", watermark)
     refreshed = counts.groupBy("window_end", "handle").agg(F.sum("count").alias("count"))
+    kept = micros(keep)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
+        spark = batch.sparkSession
+        earlier = [n for n in _snapshots(spark, path) if n < batch_id]
+        rows = batch
+        if earlier:
+            before = spark.read.schema(batch.schema).parquet(batch_path(path, max(earlier)))
+            rows = batch.unionByName(before.join(batch, ["window_end", "handle"], "left_anti"))
+        newest = rows.agg(F.max(F.unix_micros("window_end"))).first()[0]
+        if newest is not None:
+            rows = rows.where(F.unix_micros("window_end") > newest - kept)
+        rows.write.mode("overwrite").parquet(batch_path(path, batch_id))
+        for n in sorted(earlier)[:-1]:
+            removed(spark, batch_path(path, n))
 
     return (
         refreshed.writeStream.outputMode("update")
@@ -285,7 +303,14 @@ def start_recount(
     )
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Batches below ``path`` that are written whole."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch_id=*/_SUCCESS")
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+
+
 def latest_recount(spark: SparkSession, path: str) -> DataFrame:
-    """The newest count of each handle and window among the refreshes."""
-    newest = F.max_by("count", "batch_id").alias("count")
-    return spark.read.parquet(path).groupBy("window_end", "handle").agg(newest)
+    """The counts of the newest snapshot."""
+    newest = max(_snapshots(spark, path))
+    return spark.read.parquet(batch_path(path, newest)).select("window_end", "handle", "count")

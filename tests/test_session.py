@@ -8,10 +8,14 @@ from mentionflow.streaming import jobs
 from tests.test_posts import post
 
 
-def test_initial_partitions_follow_the_input_size():
+def test_initial_partitions_follow_the_shuffled_size(spark):
     assert session.initial_partitions(0) == 200
     assert session.initial_partitions(10 * 2**40) == 40_960
-    assert session.initial_partitions(100 * 2**40) == 100_000
+    assert session.initial_partitions(100 * 2**40) == 50_000
+    before = spark.conf.get(session.INITIAL_PARTITIONS, None)
+    with session.shuffling(spark, 300 * 2**28):
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == "300"
+    assert spark.conf.get(session.INITIAL_PARTITIONS, None) == before
 
 
 def test_stored_rows_keep_schema_and_values(spark):

@@ -203,6 +203,10 @@ def test_consumer_takes_what_is_there_and_goes_on_from_there(spark, keys, tmp_pa
     assert drain() == {"ann": 3, "bob": 4}
     send(("ANN", 10))
     assert drain() == {"ann": 13, "bob": 4}
+    for n in range(3):
+        send(("bob", 1))
+        assert drain() == {"ann": 13, "bob": 5 + n}
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) <= 2
 
 
 def test_a_reader_can_start_once_the_table_has_rows(spark, feed, keys, tmp_path):
