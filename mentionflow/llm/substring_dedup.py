@@ -5,7 +5,7 @@ words also start earlier: in a smaller doc_id, or earlier in the same document.
 
 1. A count-min sketch over all windows, merged from the tasks' parts, says which windows may be
    repeated. It overestimates counts, so it loses none.
-2. Only windows estimated as repeated are grouped exactly, by 95 bits of hash. Within a task the
+2. Only windows estimated as repeated are grouped exactly, by 96 bits of hash, in segments of hashes of bounded size. Within a task the
    earliest of equal windows stands for them; the others are cut at once, as an earlier start is
    known. So a passage found in a third of all documents sends one row per task.
 3. Cut starts are gathered per document, and texts are rewritten.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,38 @@ WINDOW = 20
 PENDING = 1 << 20  # candidate windows held by a task before they are reduced
 BELOW_ALL = -(1 << 63)
 
-# ``hp`` packs 32 more bits of a window's hash and its start; columns that are mostly zero come first.
-_FOUND = "starts array<int>, tag int, d long, h1 long, hp long"
+SEGMENT_WINDOWS = 1 << 20  # of all windows; few of them are candidates
+
+# A row is a block of candidate windows of one segment of hashes, or the cut starts of a document.
+_FOUND = "segment int, windows binary, d long, tag int, starts array<int>"
 _FOUND_ARROW = pa.schema([
-    ("starts", pa.list_(pa.int32())), ("tag", pa.int32()), ("d", pa.int64()), ("h1", pa.int64()), ("hp", pa.int64()),
+    ("segment", pa.int32()), ("windows", pa.binary()), ("d", pa.int64()), ("tag", pa.int32()), ("starts", pa.list_(pa.int32())),
 ])
-START_BITS = 32
-START_MASK = (1 << START_BITS) - 1
+_CUT = "d long, tag int, start int, starts array<int>"
+_CUT_ARROW = pa.schema([("d", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("starts", pa.list_(pa.int32()))])
+# Of a window: 64 bits of hash, 32 more, and where it is.
+_COLUMNS = (np.uint64, np.uint32, np.int64, np.int32, np.int32)
+
+Windows = tuple[np.ndarray, ...]  # h1, h2, d, tag, start
+
+
+def _packed(windows: Windows) -> bytes:
+    """Windows sorted by hash, in few bytes: differences of hashes, and equal bytes side by side."""
+    h1, *rest = windows
+    planes = [np.diff(h1, prepend=np.uint64(0)), *rest]
+    raw = b"".join(np.ascontiguousarray(x.astype(t).view(np.uint8).reshape(len(h1), -1).T).tobytes() for x, t in zip(planes, _COLUMNS, strict=True))
+    return len(h1).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> Windows:
+    n, widths = int.from_bytes(packed[:4], "little"), [np.dtype(t).itemsize for t in _COLUMNS]
+    raw = np.frombuffer(pa.decompress(packed[4:], n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, width in zip(_COLUMNS, widths, strict=True):
+        planes = raw[at : at + n * width].reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -49,38 +74,60 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _reduced(pending: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+def _sorted(windows: list[Windows]) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows in order, whether a hash begins, whether a row isn't repeated, whether it is earliest)"""
+    h1, h2, d, tag, start = (np.concatenate(x) for x in zip(*windows, strict=True))
+    order = np.lexsort((tag, start, d, h2, h1))
+    h1, h2, d, tag, start = (x[order] for x in (h1, h2, d, tag, start))
+    new_window, new_row = _heads(h1, h2), _heads(h1, h2, d, tag, start)
+    lead = np.flatnonzero(new_window)[np.cumsum(new_window) - 1]
+    return (h1, h2, d, tag, start), new_window, new_row, (d == d[lead]) & (start == start[lead])
+
+
+def _reduced(pending: list[Windows], segments: int) -> Iterator[pa.RecordBatch]:
     """The earliest start of each window; then, per document, the starts that are cut."""
     if not pending:
         return
-    h1, hp, d, tag = (np.concatenate(x) for x in zip(*pending, strict=True))
-    order = np.lexsort((tag, hp & START_MASK, d, hp >> START_BITS, h1))
-    h1, hp, d, tag = (x[order] for x in (h1, hp, d, tag))
-    start = hp & START_MASK
-    new_window, new_row = _heads(h1, hp >> START_BITS), _heads(h1, hp, d, tag)
-    lead = np.flatnonzero(new_window)[np.cumsum(new_window) - 1]
-    earliest = (d == d[lead]) & (start == start[lead])
-
-    first = np.flatnonzero(earliest & new_row)
-    arrays = [pa.nulls(len(first), pa.list_(pa.int32())), *(pa.array(x[first]) for x in (tag, d, h1, hp))]
-    yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
+    windows, _, new_row, earliest = _sorted(pending)
+    first = tuple(x[earliest & new_row] for x in windows)
+    segment = ((first[0] >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    heads = np.append(np.flatnonzero(_heads(segment)), len(segment))
+    blocks = [_packed(tuple(x[a:b] for x in first)) for a, b in zip(heads[:-1], heads[1:], strict=True)]
+    none = [pa.nulls(len(blocks), t) for t in _FOUND_ARROW.types[2:]]
+    yield pa.RecordBatch.from_arrays([pa.array(segment[heads[:-1]].astype(np.int32)), pa.array(blocks, pa.binary()), *none], schema=_FOUND_ARROW)
 
     cut = np.flatnonzero(~earliest & new_row)
     if not len(cut):
         return
+    _, _, d, tag, start = windows
     cut = cut[np.lexsort((start[cut], tag[cut], d[cut]))]
-    d, tag, start = d[cut], tag[cut], start[cut].astype(np.int32)
+    d, tag, start = d[cut], tag[cut], start[cut]
     heads = np.flatnonzero(_heads(d, tag))
     starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)).astype(np.int32)), pa.array(start))
-    spread = mix(d[heads].view(np.uint64)).view(np.int64)  # these rows need no group; any will do
-    arrays = [starts, pa.array(tag[heads]), pa.array(d[heads]), pa.array(spread), pa.array(np.zeros(len(heads), np.int64))]
+    spread = (mix(d[heads].view(np.uint64)) % np.uint64(segments)).astype(np.int32)  # any segment will do
+    arrays = [pa.array(spread), pa.nulls(len(heads), pa.binary()), pa.array(d[heads]), pa.array(tag[heads]), starts]
     yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one segment: the starts of windows that start earlier elsewhere, and cut starts as they are."""
+    windows = []
+    for batch in batches:
+        cut = batch.filter(batch["windows"].is_null())
+        yield pa.RecordBatch.from_arrays([cut["d"], cut["tag"], pa.nulls(len(cut), pa.int32()), cut["starts"]], schema=_CUT_ARROW)
+        windows += [_unpacked(x) for x in batch["windows"].drop_null().to_pylist()]
+    if windows:
+        (_, _, d, tag, start), _, new_row, earliest = _sorted(windows)
+        cut = new_row & ~earliest
+        arrays = [pa.array(x[cut]) for x in (d, tag, start)] + [pa.nulls(int(cut.sum()), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_CUT_ARROW)
+
+
 def _cut_starts(df: DataFrame, window: int) -> DataFrame:
     """(d, tag, start or starts) of windows that are cut; ``df``: d, tag, text."""
     spark = df.sparkSession
-    shape = sketch.Shape.of(sketch.text_bytes(df, "text") // 6)
+    total = sketch.text_bytes(df, "text") // 6
+    shape, segments = sketch.Shape.of(total), max(1, -(-total // SEGMENT_WINDOWS))
 
     def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in slices(batch, "text"):
@@ -97,23 +144,21 @@ def _cut_starts(df: DataFrame, window: int) -> DataFrame:
                 some = sketch.may_repeat(bits.value, shape, h1)
                 if not some.any():
                     continue
-                more = (words.runs(window, 1)[1][some] >> np.uint64(33)).astype(np.int64)
-                at, h1 = at[some], h1[some].view(np.int64)
+                h2 = (words.runs(window, 1)[1][some] >> np.uint64(32)).astype(np.uint32)
+                at, h1 = at[some], h1[some]
                 row = np.searchsorted(words.first, at, side="right") - 1
                 d, tag = (np.asarray(part[c])[row] for c in ("d", "tag"))
-                pending.append((h1, (more << START_BITS) | (at - words.first[row]), d, tag))
+                pending.append((h1, h2, d, tag, (at - words.first[row]).astype(np.int32)))
                 n += len(at)
                 if n >= PENDING:
-                    yield from _reduced(pending)
+                    yield from _reduced(pending, segments)
                     pending, n = [], 0
-        yield from _reduced(pending)
-
-    start = F.col("hp").bitwiseAND(F.lit(START_MASK))
-    earlier = Window.partitionBy("h1", F.shiftright("hp", START_BITS)).orderBy("d", start)
-    # a window that one task alone has sent is in a group of one row, of rank one
-    ranked = df.mapInArrow(task, _FOUND).withColumn("rank", F.rank().over(earlier))
-    found = ranked.filter("rank > 1 or starts is not null")
-    return found.select("d", "tag", F.when(F.col("starts").isNull(), start).cast("int").alias("start"), "starts")
+        yield from _reduced(pending, segments)
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _later(batches)
+
+    return df.mapInArrow(task, _FOUND).groupBy("segment").applyInArrow(later, _CUT)
 
 
 def _tagged(keyed: DataFrame) -> DataFrame:
