@@ -156,6 +156,9 @@ def quality_scored(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
         base.alias("base_failed"), F.col("__failed").alias("failed"),
         (~base & (F.size("__failed") == 0)).alias("kept"),
     )
+    # A filter on the result must not be moved below the steps above: it would take all of them with
+    # it, one inside the other. The number of a partition is no constant to the optimizer, so it stays.
+    result = F.when(F.spark_partition_id() >= 0, result)
     return rows.select(*[F.col("__row").getField(c).alias(c) for c in names], result.alias(into))
 
 

@@ -56,3 +56,10 @@ def test_empty_table_and_plan(spark, sf_dir):
     assert q.quality_scored(empty).count() == 0
     plan = QUERIES["op5_quality_rules"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_filter_stays_above_the_steps(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = q.quality_kept(docs)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.split("\n") if "Filter" in line)
+    assert "lambda" not in condition and plan.index("Filter") < plan.index("Project")
