@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from mentionflow.session import checkpointed
 
 MAX_ROUNDS = 100
+ROWS_PER_TASK = 200_000
+
+
+def compacted(df: DataFrame, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, of so many rows, in no more tasks than it needs: a shuffle's files grow with its tasks."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
 
 
 def _marks(edges: DataFrame) -> tuple:
@@ -37,9 +43,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     stars = checkpointed(stars)
     before = _marks(stars)
     for _ in range(MAX_ROUNDS):
+        stars = compacted(stars, before[0])
         if not before[0]:
             break
-        stars = checkpointed(_small_star(_large_star(stars)))
+        stars = checkpointed(_small_star(compacted(_large_star(stars), 2 * before[0])))
         after = _marks(stars)
         if after == before:
             break

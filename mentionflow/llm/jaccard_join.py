@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.llm import sketch
-from mentionflow.llm.components import connected_components
+from mentionflow.llm.components import compacted, connected_components
 from mentionflow.llm.wordhash import mix, slices, words_of
 from mentionflow.session import checkpointed
 
@@ -255,6 +255,7 @@ def _products(join: Join):
     return compare
 
 
+CLASSES_PER_TASK = 2_000
 CHUNK_KINDS = 2_048
 FAMILY_BLOCK = 256
 
@@ -292,7 +293,9 @@ def _prepared(df: DataFrame, join: Join, doc_id: str, text: str) -> tuple[DataFr
     facts = checkpointed(_facts(docs, join))
     classes = checkpointed(_classes(facts))
     suspects = classes.filter("tokens is not null").select("node", "n", "tokens")
-    return facts, classes, suspects, checkpointed(_index(suspects, join))
+    suspects = compacted(suspects, suspects.count(), CLASSES_PER_TASK)
+    index = checkpointed(_index(suspects, join))
+    return facts, classes, suspects, compacted(index, index.count())
 
 
 def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,8 +311,10 @@ def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: st
     for step in range(join.star_rounds):
         new = _verified(_star_pairs(_labelled(index, labels), join, step), suspects, join)
         links = checkpointed(new if links is None else links.union(new))
+        links = compacted(links, links.count())
         labels = connected_components(links)
     entries = checkpointed(_with_major(_labelled(index, labels), "token"))
+    entries = compacted(entries, entries.count())
     long = F.col("minors") * F.col("members") > join.pair_rows
     few = _verified(_cross_pairs(entries.filter(~long), join), suspects, join)
     many = _family_links(entries.filter(long).select("token", "node", "c"), suspects, join)
