@@ -20,9 +20,9 @@ from mentionflow.llm.wordhash import mix
 
 ROWS = 2
 SEGMENT_BITS = 1 << 22
-BITS_PER_HASH = 8
-MOST_BITS = 3 << 28
-PENDING = 4 << 20  # counters listed by a task before they are handed on
+BITS_PER_HASH = 4
+MOST_BITS = 1 << 29
+PENDING = 2 << 20  # counters listed by a task before they are handed on
 _ROW_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -39,7 +39,7 @@ class Shape:
 
     def counters(self, hashes: np.ndarray, row: int) -> np.ndarray:
         spread = mix(hashes ^ _ROW_SALTS[row]) >> np.uint64(32)
-        return (spread * np.uint64(self.segments * SEGMENT_BITS)) >> np.uint64(32)
+        return ((spread * np.uint64(self.segments * SEGMENT_BITS)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _packed(places: np.ndarray) -> bytes:
@@ -68,9 +68,8 @@ def _listed(pending: list[np.ndarray], shape: Shape) -> Iterator[pa.RecordBatch]
     hashes = np.concatenate(pending) if pending else np.zeros(0, np.uint64)
     for row in range(ROWS):
         places, counts = np.unique(shape.counters(hashes, row), return_counts=True)
-        segment = places // np.uint64(SEGMENT_BITS)
-        within = (places % np.uint64(SEGMENT_BITS)).astype(np.int64)
-        cuts = np.searchsorted(segment, np.arange(shape.segments + 1, dtype=np.uint64))
+        within = (places % np.uint32(SEGMENT_BITS)).astype(np.int64)
+        cuts = np.searchsorted(places, np.arange(shape.segments + 1, dtype=np.int64) * SEGMENT_BITS)
         for s in range(shape.segments):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
@@ -123,7 +122,7 @@ def may_repeat(bits: np.ndarray, shape: Shape, hashes: np.ndarray) -> np.ndarray
     """For each hash whether it may occur twice or more."""
     result = np.ones(len(hashes), bool)
     for row in range(ROWS):
-        at = shape.counters(hashes, row) + np.uint64(row * shape.segments * SEGMENT_BITS)
+        at = shape.counters(hashes, row).astype(np.uint64) + np.uint64(row * shape.segments * SEGMENT_BITS)
         result &= (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
     return result
 

@@ -30,7 +30,7 @@ from mentionflow.llm import sketch
 from mentionflow.llm.wordhash import mix, slices, words_of
 
 WINDOW = 20
-PENDING = 1 << 20  # candidate windows held by a task before they are reduced
+PENDING = 3 << 18  # candidate windows held by a task before they are reduced
 BELOW_ALL = -(1 << 63)
 
 SEGMENT_WINDOWS = 1 << 20  # of all windows; few of them are candidates

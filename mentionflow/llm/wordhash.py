@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are processed in slices of about so many bytes (one text at least), to bound memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
