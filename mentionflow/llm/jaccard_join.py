@@ -266,7 +266,11 @@ def _family_links(entries: DataFrame, suspects: DataFrame, join: Join) -> DataFr
     Lists that share a class form a family. Its classes outside its largest component are compared,
     in blocks, with all of its classes; links alone leave a task."""
     heads = entries.groupBy("token").agg(F.min("node").alias("head"))
-    ties = entries.join(heads, "token").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ties = entries.join(heads, "token").select("node", "head").distinct()
+    # a class is tied to the least of its heads, and so are its other heads: few of these ties differ
+    least = ties.groupBy("node").agg(F.min("head").alias("b"))
+    others = ties.join(least, "node").select(F.col("head").alias("a"), "b")
+    ties = others.union(least.select(F.col("node").alias("a"), "b")).distinct()
     members = entries.groupBy("node").agg(F.first("c").alias("c")).join(connected_components(ties), "node")
     members = _with_major(members.withColumnRenamed("component", "family"), "family").join(suspects, "node")
     blocks = lambda n: F.ceil(F.col(n) / FAMILY_BLOCK)
