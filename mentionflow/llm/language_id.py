@@ -3,16 +3,19 @@
 1. Character n-grams of the highest order are counted over all learned documents: within tasks by
    hash, then by a shuffle of (language, n-gram). Lower orders need no counts of their own, as
    Kneser-Ney takes from the n-grams how many different letters come before a shorter one.
-2. A model keeps the n-grams above a count that a histogram of counts gives, at most MAX_NGRAMS in
-   all languages together, and so has a proven size. Each order is a sorted array of hashes with a
-   row of log-probabilities, a column per language, interpolated down to single letters.
-3. A text's cross-entropy per letter is summed over its n-grams; the lowest wins. A share of the
+2. A model keeps every n-gram. Up to MAX_NGRAMS in all languages together it is fitted on the driver
+   and sent to all tasks: each order is a sorted array of hashes with a row of log-probabilities, a
+   column per language, interpolated down to single letters.
+3. A larger model stays a table. A log-probability is a sum over the n-gram's suffixes and their
+   contexts: what a context leaves to the order below, and what a seen n-gram gains over that. These
+   terms are rows, computed by joins; the terms of a text are joined with them and summed.
+4. A text's cross-entropy per letter is summed over its n-grams; the lowest wins. A share of the
    learned documents is not counted but calibrates: the scale that turns differences of entropy
    into a probability, and per language the entropy above which a text is marked as rejected.
 
 A text is reduced to lower-case letters, with one space for anything between. Defined results: a
 text that is null or without a letter is ``und`` with score 0, and so is everything if nothing was
-learned; ties go to the language that is first in order; a null id counts as the empty text; rows
+learned; more than MAX_LANGUAGES languages are an error; ties go to the language that is first in order; a null id counts as the empty text; rows
 that are repeated count repeatedly; other columns don't matter.
 """
 
@@ -30,14 +33,16 @@ from mentionflow.llm.wordhash import mix, slices
 from mentionflow.session import checkpointed
 
 ORDER = 4
-MAX_NGRAMS = 400_000
-MAX_VALUES = 1 << 24  # n-grams times languages
+MAX_NGRAMS = 400_000  # of a model in memory; a larger one is a table
+MAX_VALUES = 1 << 24  # n-grams times languages, in memory
 MAX_LANGUAGES = 500
 FOLDS = 5  # fold 0 is held out
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 REJECT_SHARE = 0.999
 UNKNOWN = "und"
 PENDING = 400_000  # distinct n-grams held by a task
+CONTEXT = "<"  # leads the name of a context, which no letter equals
+OFTEN, SALTS = 1024, 64  # a term of one position in OFTEN or more is dealt to SALTS keys
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +183,10 @@ class Model:
         starts = np.concatenate([[0], ends[:-1]])
         lengths = ends - starts - (ORDER - 1)
         sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(total, axis=0, dtype=np.float64)])
-        return -(sums[starts + lengths] - sums[starts]) / lengths[:, None] if n > 0 else np.zeros((0, len(self.languages)))
+        if n <= 0:
+            return np.zeros((0, len(self.languages)))
+        # rounded, as the last digits depend on the texts before, and a limit is the entropy of some text
+        return np.round(-(sums[starts + lengths] - sums[starts]) / lengths[:, None], 9)
 
 
 def hashes_at(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -240,35 +248,138 @@ def _hash_rows(codes: np.ndarray) -> np.ndarray:
     return hashes_at(flat, np.arange(len(codes)) * codes.shape[1], codes.shape[1])
 
 
-def _learned(docs: DataFrame) -> Model | None:
+@dataclass
+class Spread:
+    """A model as a table, of any size."""
+
+    languages: list[str]
+    terms: DataFrame  # feature, salt, and the weights of the languages that have it
+    often: list[str]  # features with more than one salt
+    scale: float = 8.0
+    limits: tuple[float, ...] = ()
+
+
+def _spread(counts: DataFrame, languages: list[str]) -> Spread:
+    """The model of ``fitted`` as a table, from all counts: lang, gram, n.
+
+    A feature is an n-gram or a context; its weights are summed over a text's positions."""
+    tables = {ORDER: counts.withColumn("seen", F.col("n"))}  # n: as Kneser-Ney counts it; seen: in the texts
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.substring("gram", 2, order).alias("gram")
+        fewer = tables[order + 1].groupBy("lang", shorter).agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
+        tables[order] = checkpointed(fewer)
+    floor = -float(np.log(tables[1].select("gram").distinct().count() + 1.0))
+    below, parts = None, []
+    for order in range(1, ORDER + 1):
+        ones = tables[order].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        discount = F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.75)
+        rows = tables[order].join(F.broadcast(ones.select("lang", discount.alias("discount"))), "lang")
+        rows = rows.withColumn("context", F.substring("gram", 1, order - 1)).withColumn("suffix", F.substring("gram", 2, order - 1))
+        contexts = rows.groupBy("lang", "context", "discount").agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("seen").alias("seen")
+        )
+        left = F.log(F.col("discount") * F.col("kinds") / F.col("total"))
+        contexts = contexts.select("lang", "context", "total", "seen", left.alias("left"))
+        rows = rows.join(contexts.drop("seen"), ["lang", "context"])
+        if below is None:
+            rows = rows.withColumn("lower", F.lit(floor))
+        else:
+            rows = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("logp").alias("lower")), ["lang", "suffix"])
+        own = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
+        rows = rows.withColumn("logp", F.log(own + F.exp(F.col("left") + F.col("lower"))))
+        gain = F.col("logp") - F.col("left") - F.col("lower")
+        below = checkpointed(rows.select("lang", "gram", "seen", "logp", gain.alias("weight")))
+        parts.append(below.select("lang", F.col("gram").alias("feature"), "seen", "weight"))
+        weight = F.col("left") + (floor if order == 1 else 0.0)  # every position has the empty context
+        parts.append(contexts.select("lang", F.concat(F.lit(CONTEXT), "context").alias("feature"), "seen", weight.alias("weight")))
+    terms = parts[0]
+    for part in parts[1:]:
+        terms = terms.union(part)
+    weights = F.collect_list(F.struct("lang", "weight")).alias("weights")  # one per language at most
+    terms = checkpointed(terms.groupBy("feature").agg(F.sum("seen").alias("seen"), weights))
+    positions = counts.agg(F.sum("n")).first()[0]
+    common = F.col("seen") * OFTEN >= positions  # OFTEN n-grams and OFTEN contexts of each order at most
+    often = [r["feature"] for r in terms.filter(common).select("feature").collect()]
+    salts = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return Spread(languages, terms.select("feature", F.explode(salts).alias("salt"), "weights"), often)
+
+
+def _features(batches: Iterator[pa.RecordBatch], often: set[str]) -> Iterator[pa.RecordBatch]:
+    """How often each text has each feature."""
+    for batch in batches:
+        for part in slices(batch, "letters"):
+            ids = np.asarray(part["row"])
+            codes, ends = codes_of(part["letters"].to_pylist())
+            crossing = np.zeros(len(codes), bool)
+            for back in range(1, ORDER):
+                crossing[ends - back] = True
+            at = np.flatnonzero(~crossing)
+            text = np.searchsorted(ends, at, side="right")
+            for order in range(1, ORDER + 1):
+                for length, lead in ((order, ""), (order - 1, CONTEXT)):
+                    start = at + ORDER - order
+                    found = hashes_at(codes, start, length) if length else np.zeros(len(at), np.uint64)
+                    _, first, kind = np.unique(found, return_index=True, return_inverse=True)
+                    names = [lead + codes[i : i + length].tobytes().decode("utf-32-le") for i in start[first]]
+                    pairs, n = np.unique(text * len(names) + kind, return_counts=True)
+                    kind, row = pairs % len(names), ids[pairs // len(names)]
+                    hot = np.array([x in often for x in names])
+                    salt = np.where(hot[kind], row % SALTS, 0).astype(np.int32)
+                    feature = pa.array(names, pa.string()).take(pa.array(kind))
+                    yield pa.RecordBatch.from_arrays([pa.array(row), feature, pa.array(salt), pa.array(n)], ["row", "feature", "salt", "n"])
+
+
+def _scored_by_joins(docs: DataFrame, model: Spread, keep: list[str]) -> DataFrame:
+    """``_scored`` with a model that is a table."""
+    often = docs.sparkSession.sparkContext.broadcast(set(model.often))
+    rows = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
+    some = rows.filter("letters <> ''").select("row", "letters")
+    found = some.mapInArrow(lambda batches: _features(batches, often.value), "row long, feature string, salt int, n long")
+    terms = found.join(model.terms, ["feature", "salt"]).select("row", "n", F.explode("weights").alias("w"))
+    sums = terms.groupBy("row", F.col("w.lang").alias("name")).agg(F.sum(F.col("n") * F.col("w.weight")).alias("total"))
+    # every language has a weight of the empty context, so none is missing
+    each = F.collect_list(F.struct((-F.col("total")).alias("e"), "name")).alias("each")
+    scored = rows.join(sums.groupBy("row").agg(each), "row", "left")
+    positions = F.length("letters") + 1
+    # rounded as in memory: the last digits of a sum depend on its order
+    per_letter = lambda x: F.struct(F.round(x["e"] / positions, 9).alias("e"), x["name"].alias("name"))
+    scored = scored.withColumn("each", F.transform("each", per_letter))
+    scored = scored.withColumn("best", F.array_min("each"))
+    above = lambda x: x["e"] - F.col("best.e")
+    mass = lambda s: F.aggregate("each", F.lit(0.0), lambda total, x: total + F.exp(-s * above(x)))
+    limits = [F.lit(v) for pair in zip(model.languages, model.limits, strict=False) for v in pair]
+    rejected = F.coalesce(F.col("best.e") > F.create_map(*limits)[F.col("best.name")], F.lit(False)) if limits else F.lit(False)
+    nll = F.lit(None).cast("array<double>")
+    if "lang" in docs.columns:
+        true = F.filter("each", lambda x: x["name"] == F.col("lang"))
+        nll = F.when(F.size(true) > 0, F.array(*[s * above(F.get(true, F.lit(0))) + F.log(mass(s)) for s in SCALES]))
+    return scored.select(
+        *[f"`{c}`" for c in keep], F.coalesce("best.name", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce(1 / mass(model.scale), F.lit(0.0)).alias("score"), F.col("best.e").alias("entropy"),
+        rejected.alias("rejected"), nll.alias("nll"),
+    )
+
+
+def _learned(docs: DataFrame) -> Model | Spread | None:
     """A model from ``docs``: lang, letters."""
     rows = docs.mapInArrow(_counted, "lang string, gram string, n long")
     counts = checkpointed(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    size = F.floor(F.log2("n")).cast("int")
-    histogram = counts.groupBy("lang", size.alias("size")).count().limit(64 * MAX_LANGUAGES + 1).collect()
-    languages = sorted({r["lang"] for r in histogram})
-    if not languages:
+    sizes = counts.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if not sizes:
         return None
-    if len(languages) > MAX_LANGUAGES:
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    most = min(MAX_NGRAMS, MAX_VALUES // len(languages)) // len(languages)
-    least = []
-    for lang in languages:
-        kept, floor = 0, 63
-        for row in sorted((r for r in histogram if r["lang"] == lang), key=lambda r: -r["size"]):
-            kept += row["count"]
-            if kept > most and floor < 63:
-                break
-            floor = row["size"]
-        least.append((lang, 1 << floor))
-    bounds = F.broadcast(counts.sparkSession.createDataFrame(least, "lang string, least long"))
-    # the commonest n-grams alone may be too many if they are all equally common
-    table = counts.join(bounds, "lang").filter("n >= least").select("lang", "gram", "n").limit(2 * MAX_NGRAMS).toArrow()
+    ngrams = sum(r["count"] for r in sizes)
+    if ngrams > MAX_NGRAMS or ngrams * len(sizes) > MAX_VALUES:
+        return _spread(counts, sorted(r["lang"] for r in sizes))
+    table = counts.toArrow()
     return fitted(table["lang"].to_pylist(), table["gram"].to_pylist(), np.asarray(table["n"], np.float64))
 
 
-def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model | Spread, keep: list[str]) -> DataFrame:
     """``docs`` with lang_pred, score, entropy and rejected; ``letters`` is read, ``keep`` is kept."""
+    if isinstance(model, Spread):
+        return _scored_by_joins(docs, model, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made = ["lang_pred", "score", "entropy", "rejected", "nll"]
 
@@ -306,9 +417,11 @@ def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.mapInArrow(task, f"{fields}, lang_pred string, score double, entropy double, rejected boolean, nll array<double>")
 
 
-def _calibrated(docs: DataFrame, model: Model) -> Model:
+def _calibrated(docs: DataFrame, model: Model | Spread) -> Model | Spread:
     """``model`` with its scale and limits, from ``docs``: lang, letters."""
     rows = _scored(docs.filter("letters <> ''"), model, ["lang"]).filter("nll is not null")
+    if isinstance(model, Spread):
+        rows = checkpointed(rows)
     means = rows.agg(*[F.avg(F.col("nll")[i]).alias(f"s{i}") for i in range(len(SCALES))]).first()
     if means[0] is None:
         return model

@@ -79,3 +79,18 @@ def test_odd_rows(spark):
     assert [r.lang_pred for r in got if r.doc_id is None] == ["aa"]
     assert {r.lang_pred for r in g.identified(df.withColumn("lang", df.lang.substr(9, 1)).filter("lang is null")).collect()} <= {"und", ""}
     assert g.identified(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", ["MAX_NGRAMS", "MAX_VALUES"])
+def test_a_model_too_large_for_memory_is_the_same(spark, monkeypatch, bound):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = [(None, "the tree", None), (-1, None, "en"), (-2, "12 + 3", "fr"), (-3, "ßß 𝐀𝐁 жж", None), (-3, "a", "de")]
+    df = df.union(spark.createDataFrame(more, df.schema))
+    rows = lambda: sorted(g.identified(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.entropy or 0))
+    want = rows()
+    monkeypatch.setattr(g, bound, 500)
+    got = rows()
+    assert len(got) == len(want) == df.count()
+    for a, b in zip(got, want, strict=True):
+        assert (a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, abs=1e-3) and (a.entropy or 0) == pytest.approx(b.entropy or 0, rel=1e-4)
