@@ -39,6 +39,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 # Candidates of the structural checks.
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+# Between two lines: a break or an escape of one, with indentation and quotes about it.
+_EDGE = r"""[\x20\t"',>#*]{0,64}"""
+_PLUS = r"(?:\x20\+[\x20\t]{0,8})?\r?\n"  # strings may be added up
+LINE_BREAK = re.compile(rf"{_EDGE}(?:(?:\\+r)?\\+n(?:{_EDGE}{_PLUS})?{_EDGE}|{_PLUS}{_EDGE})")
+# How keys and PEM files begin in base64: a sequence of short or long length, OpenSSH's magic, dashes.
+KEY_START = re.compile(r"M[A-I]|b3BlbnNzaC|LS0tLS1CRUdJTi")
+KEY_LETTERS = 40
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
@@ -178,6 +186,65 @@ def confirmed_key(candidate: str) -> tuple[str, int] | None:
     return kind, b + re.match("={0,2}", candidate[b:]).end()
 
 
+def _lines(text: str, at: int, need: int) -> list[tuple[int, int]]:
+    """Spans of the lines of base64 letters from ``at`` on, until they have ``need`` letters."""
+    lines, m = [], LETTERS.match(text, at, at + need + 1)  # one more tells that the line goes on
+    while m:
+        lines.append(m.span())
+        need -= m.end() - m.start()
+        gap = LINE_BREAK.match(text, m.end()) if need > 0 else None
+        m = gap and LETTERS.match(text, gap.end(), gap.end() + need + 1)
+    return lines
+
+
+def _decoded(text: str, lines: list[tuple[int, int]]) -> bytes:
+    letters = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+    return base64.b64decode(letters[: len(letters) // 4 * 4] + {2: letters[-2:] + "==", 3: letters[-3:] + "="}.get(len(letters) % 4, ""))
+
+
+def _end(text: str, lines: list[tuple[int, int]], size: int, whole: bool) -> int | None:
+    """Where ``size`` decoded bytes end in ``text``; None if a line must end there and doesn't."""
+    left = -(-size * 4 // 3)
+    for a, b in lines:
+        if left <= b - a:
+            return None if whole and left < b - a else a + left + len(re.compile("={0,2}").match(text, a + left)[0])
+        left -= b - a
+    return None
+
+
+def keys(text: str, nested: bool = True) -> list[tuple[str, int, int]]:
+    """Encoded keys that begin anywhere in a run of letters, in lines joined in any of the known ways;
+    with ``nested`` also keys in encoded PEM files."""
+    found, at = [], 0
+    while m := KEY_START.search(text, at):
+        start, at = m.start(), m.start() + 1
+        if m[0][0] == "M":
+            size = der_size(_decoded(text, _lines(text, start, 8))[:6])
+            need = -(-size * 4 // 3) if size else 0
+            if not KEY_LETTERS <= need <= len(text) - start:
+                continue
+            lines = _lines(text, start, need)
+            kind = None if (end := _end(text, lines, size, True)) is None else key_kind(_decoded(text, lines)[:size])
+        elif m[0][0] == "b":
+            head = _decoded(text, _lines(text, start, 28))[:19]
+            if not head.startswith(b"openssh-key-v1\0") or int.from_bytes(head[15:], "big") > len(text):
+                continue
+            lines = _lines(text, start, len(text))
+            size = openssh_size(_decoded(text, lines))
+            kind, end = "openssh_key", size and _end(text, lines, size, True)
+        else:
+            lines = _lines(text, start, len(text)) if nested else []
+            inner = _decoded(text, lines).decode("latin-1")
+            inside = keys(inner, nested=False)
+            kind = inside[0][0] if inside else None
+            ends = [x[2] for x in inside] + [x.end() for x in re.finditer(r"-----END [A-Z0-9 ]+-----\s*", inner)]
+            end = _end(text, lines, max(ends), False) if inside else None
+        if kind and end:
+            found.append((kind, start, end))
+            at = end
+    return found
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret of ``text``, by start, then by kind."""
     if not text:
@@ -185,10 +252,13 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
+    known = []
     for m in BASE64_RUN.finditer(text):
         # DER keys begin with a sequence, 0x30, which is M in base64; OpenSSH keys with their magic
         if m[0][0] in "Mb" and (key := confirmed_key(m[0])):
-            found.append((key[0], m.start(), m.start() + key[1]))
+            known.append((key[0], m.start(), m.start() + key[1]))
+    found += known
+    found += [k for k in keys(text) if not any(k[1] < b and a < k[2] for _, a, b in known)]
     for m in HEX_RUN.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))

@@ -92,6 +92,23 @@ def test_structures_are_confirmed():
     assert kinds("M" * 5000) == [] and kinds("30" * 5000) == [] and kinds("eyJ" * 900 + ".aa.bb") == []
 
 
+def test_layouts_of_keys():
+    key = base64.b64encode(rsa_key()).decode()
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = "\n".join([head, *lines, foot, ""])
+    once = base64.b64encode(pem.encode()).decode()
+    found = lambda t: [(k, t[a:b]) for k, a, b in s.spans(t) if k not in s.BASE_KINDS]
+    for by in ("\\n", "\\r\\n", "\\\\n", "\n", "\r\n", "\n    ", "\n\t", '"\n  "', '\\n"\n"', "\\n' +\n  '", '",\n"'):
+        body = by.join(lines)
+        assert found(f"x: {by.join([head, *lines, foot])} end") == [("private_key", body)], by
+    assert found(f"data: {once} end") == [("private_key", once)]
+    wrapped = "\n  ".join(once[i : i + 76] for i in range(0, len(once), 76))
+    assert found(f"data:\n  {wrapped}\n  furthermore") == [("private_key", wrapped)]
+    assert found(f"xyz{key} end") == [("private_key", key)]
+    assert found("\\n".join(lines[:-1])) == [] and found("MIIE" * 5000) == [] and found("LS0tLS1CRUdJTi" * 90) == []
+
+
 def test_redaction_and_odd_rows(spark):
     text = "a token = 'abcdef0123456789abcdef0123' b"
     rows = [(1, text, "x"), (1, text, "x"), (2, None, "x"), (None, "", None), (3, "clean " * 30_000, "x")]
