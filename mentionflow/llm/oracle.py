@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express.
 
-The others are tested without SQL: secret scans (structures are decoded), BPE (against the
+The others are tested without SQL: secret scans (structures are decoded), BPE and token files (against the
 library), mixing (draws) and language identification (held-out accuracy).
 """
 
@@ -151,6 +151,92 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(len(t.w) - coalesce(k
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
 
+# CRC-32 of a string: table of the polynomial's remainders (bound as crc.t), then a fold over the UTF-8 bytes.
+CRC_TABLE = (
+    "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), "
+    "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t)"
+)
+
+
+def crc32(text: str) -> str:
+    """The checksum of the string ``text``, a column, in a query that joins ``crc``."""
+    last = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({last}, lambda c, x: xor(c // 256, crc.t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
+
+
+TRIE = f"""
+WITH {CRC_TABLE},
+ordered AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS name,
+         list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+heads AS (SELECT conv_id, p, {crc32('name')} % 4 AS h FROM ordered, crc),
+rebuilt AS (
+  SELECT x.conv_id, list_concat(coalesce(list_slice(b.p, 1, h), list_slice(x.p, 1, 0)), list_slice(x.p, h + 1, len(x.p))) AS p
+  FROM heads x LEFT JOIN ordered b ON b.conv_id = x.conv_id - x.conv_id % 20
+),
+members AS (
+  SELECT conv_id, d, list_slice(p, 1, d) AS k, d = len(p) AS ends FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, bool_and(ends) AS leaf,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY k, d
+),
+sums AS (
+  SELECT list_slice(k, 1, j) AS k, sum(leaf::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len({WORDS.format('k[d].t')}) END AS saved, unnest(range(0, d + 1)) AS j FROM nodes)
+  GROUP BY 1
+),
+children AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(c.n, 0) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums s ON s.k = x.k LEFT JOIN children c ON c.k = x.k
+     LEFT JOIN nodes up ON x.d > 0 AND up.k = list_slice(x.k, 1, x.d - 1)
+"""
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce({_FOLDED}, ''), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+),
+named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs),
+hashed AS (SELECT run, n, {crc32('name')} AS h FROM named, crc),
+slipped AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+  FROM hashed
+),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)
+),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest
+),
+ranked AS (
+  SELECT near.word, other, o.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) AS place
+  FROM near JOIN words o ON o.word = near.other
+),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+),
+paths AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL
+  SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.root WHERE f.form IS NOT NULL
+),
+ends AS (SELECT p.word, p.root FROM paths p JOIN forms f ON f.word = p.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": EMBEDDINGS,
     "op2_ngram_jaccard": JACCARD,
@@ -158,4 +244,6 @@ ORACLE: dict[str, str] = {
     "op4_warc_revisits": WARC,
     "op5_quality_rules": QUALITY,
     "op9_substring_dedup": SUBSTRINGS,
+    "op12_prefix_trie": TRIE,
+    "op13_spelling_variants": SPELLING,
 }

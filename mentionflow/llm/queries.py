@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionflow.llm import bpe, chat_format, embedding_dedup, jaccard_join, language_id, mixing, quality_rules, secret_scan, substring_dedup, warc
+from mentionflow.llm import (
+    bpe,
+    chat_format,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    prefix_trie,
+    quality_rules,
+    secret_scan,
+    spelling_variants,
+    substring_dedup,
+    token_store,
+    warc,
+)
 from mentionflow.llm.tables import table
-from mentionflow.session import scratch_path
+from mentionflow.session import removed, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def tokenizer_path() -> str:
-    """The vocabulary file of the BPE query; TOKENIZER_DIR names another folder."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+    """The vocabulary file of the queries."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Query) -> Query:
@@ -119,3 +133,24 @@ def op4_warc_revisits(spark, sf_dir):
 def op10_language_id(spark, sf_dir):
     rows = language_id.identified(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op11_token_store(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    rows = token_store.documents(token_store.read(spark, path, ids=False))
+    removed(spark, path)  # the rows are stored by now
+    return rows
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.labelled(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 4
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns, head, F.expr("conv_id - conv_id % 20")))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.grouped(table(spark, sf_dir, "documents"))

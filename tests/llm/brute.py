@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,3 +79,53 @@ def jaccard_pairs(sets):
                 key = (min(a, b), max(a, b))
                 both[key] = both.get(key, 0) + 1
     return {(a, b) for (a, b), k in both.items() if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k)}
+
+
+def rebuilt(conversations):
+    """Conversations whose first turns are those of the first of their twenty."""
+    out = {}
+    for conv, turns in conversations.items():
+        head = zlib.crc32(str(conv).encode()) % 4
+        base = conv - (abs(conv) % 20 if conv >= 0 else -(abs(conv) % 20))
+        out[conv] = conversations.get(base, [])[:head] + turns[head:]
+    return out
+
+
+def variants(rows, least_letters=7, least_count=2, ratio=10):
+    """{word: (form, root, n, n_near, form_n)} of (id, text) rows."""
+    counts = Counter()
+    for name, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if name is None else name}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_letters and n >= least_count}
+    near = near_words(words)
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= ratio * n:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return {w: (form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()}
+
+
+def near_words(words):
+    """{word: words within one edit}"""
+    near, less = {w: set() for w in words}, {}
+    for w in words:
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            less.setdefault((i, rest), []).append(w)
+            if rest in near:
+                near[w].add(rest)
+                near[rest].add(w)
+    for alike in less.values():
+        for w in alike:
+            near[w].update(x for x in alike if x != w)
+    return near
