@@ -16,21 +16,76 @@ from mentionflow.operators.lookup import bounded_values, lookup_join
 UNKNOWN = "<unk>"
 LANGUAGE = "en"
 
+# Terms that a text is searched for one by one.
+TRACKED_TERMS = 400
+
 
 def original_posts(posts: DataFrame, lang: str = LANGUAGE) -> DataFrame:
     """Posts in exactly the given language that are not reposts; NULL language is dropped."""
     return posts.where((F.col("lang") == lang) & ~F.col("is_retweet"))
 
 
-def union_sources(*sources: DataFrame) -> DataFrame:
-    """All rows of all sources, batch or streaming, duplicates kept."""
+def union_sources(*sources: DataFrame, watermark: str | None = None) -> DataFrame:
+    """All rows of all sources, batch or streaming, duplicates kept.
+
+    With ``watermark`` each source gets its own. By Spark's policy (``spark.sql.streaming.multipleWatermarkPolicy``,
+    ``min`` by default) time then goes on with the slowest of them, so a source that lags loses no
+    post; with one watermark behind the union, or the policy ``max``, the fastest sets the time.
+    """
+    if watermark is not None:
+        sources = tuple(source.withWatermark("created_at", watermark) for source in sources)
     return reduce(DataFrame.unionByName, sources)
 
 
 def tracked_posts(posts: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Posts whose text contains one of the lower-cased terms, e.g. ``@handle``."""
     low = F.lower("text")
-    return posts.where(reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in terms]))
+    found = [F.contains(low, F.lit(t)) for t in terms]
+    while len(found) > 1:  # in pairs, as a chain of hundreds is too deep for the optimizer
+        found = [reduce(Column.__or__, found[i : i + 2]) for i in range(0, len(found), 2)]
+    return posts.where(found[0])
+
+
+def _prefixes(low: Column, lengths: Mapping[str, Sequence[int]]) -> Column:
+    """The distinct strings of a text that could be terms: at every place where a first letter of a term
+    stands, what begins there, in the lengths that terms with this letter have."""
+    letters = "".join(rf"\x{{{ord(c):X}}}" for c in lengths)
+    most = max(max(found) for found in lengths.values())
+    begun = F.regexp_extract_all(low, F.lit(f"(?s)(?=([{letters}].{{0,{most - 1}}}))"), 1)
+
+    def cut(length: int) -> Column:
+        first = [c for c, found in lengths.items() if length in found]
+        long = F.filter(begun, lambda s: (F.char_length(s) >= length) & F.left(s, F.lit(1)).isin(first))
+        return F.transform(long, lambda s: F.left(s, F.lit(length)))
+
+    return F.array_distinct(F.concat(*[cut(n) for n in sorted(set().union(*lengths.values()))]))
+
+
+def tracked_by_terms(
+    posts: DataFrame, terms: DataFrame, term: str = "term", max_terms: int = TRACKED_TERMS, lookup: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Posts whose lower-cased text contains one of the terms, for lists of any length.
+
+    A short list is a search for each term. From a longer one only the lengths of its terms, by first
+    letter, are known to the plan; texts are cut at those letters into candidates of these lengths, once, and
+    candidates are joined with the terms. Both give the same rows: a text contains a term if and
+    only if the term begins at one of its letters. Null terms match nothing, an empty one every text.
+    """
+    wanted = terms.select(F.col(term).alias("_term")).where(F.col("_term").isNotNull()).distinct()
+    values = bounded_values(wanted, "_term", max_terms)
+    if values is not None:
+        return tracked_posts(posts, values) if values else posts.where(F.lit(False))
+    shapes = wanted.groupBy(F.left("_term", F.lit(1)).alias("c")).agg(F.collect_set(F.char_length("_term")).alias("n"))
+    lengths = {r["c"]: r["n"] for r in shapes.collect()}  # letters and lengths, not terms
+    if "" in lengths:
+        return posts.where(F.col("text").isNotNull())
+    candidates = posts.withColumn("_candidates", _prefixes(F.lower("text"), lengths)).where(F.size("_candidates") > 0)
+    narrow = candidates.select(F.col("id").alias("_id"), F.col("_candidates").alias("_same")).distinct()
+    cut = narrow.withColumn("_candidate", F.explode("_same"))
+    found = lookup_join(cut, wanted, F.col("_candidate"), "_term", "left_semi", F.col("_id"), **(lookup or {}))
+    found = found.select("_id", "_same").distinct()
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("_candidates") == F.col("_same"))
+    return candidates.join(found, same, "left_semi").drop("_candidates")
 
 
 def tracked_by_mention(

@@ -19,36 +19,38 @@ TOP_K = 10
 SLOTS = 4_096
 
 
-def _flat(df: DataFrame, key: str) -> DataFrame:
+def _flat(df: DataFrame, key: str, timed: bool) -> DataFrame:
+    time = [F.window_time("w").alias("window_time")] if timed else []
     return df.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "count"
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "count", *time
     )
 
 
 def direct_count(
-    rows: DataFrame, window: str = WINDOW, slide: str = SLIDE, key: str = "mention"
+    rows: DataFrame, window: str = WINDOW, slide: str = SLIDE, key: str = "mention", timed: bool = False
 ) -> DataFrame:
     """Count per window and key, each row copied into all its windows before counting."""
     grouped = rows.groupBy(F.window("created_at", window, slide).alias("w"), key)
-    return _flat(grouped.agg(F.count(F.lit(1)).alias("count")), key)
+    return _flat(grouped.agg(F.count(F.lit(1)).alias("count")), key, timed)
 
 
 def sliding_count(
-    rows: DataFrame, window: str = WINDOW, slide: str = SLIDE, key: str = "mention"
+    rows: DataFrame, window: str = WINDOW, slide: str = SLIDE, key: str = "mention", timed: bool = False
 ) -> DataFrame:
     """Count per window and key by panes: rows are counted once, in the pane they fall in,
     and only the pane counts are copied into the windows that contain the pane.
 
-    On a stream this is two chained aggregations, so it runs in append mode.
+    On a stream this is two chained aggregations, so it runs in append mode. ``timed`` keeps the
+    ``window_time`` of a window, by which a further step on the stream tells the time.
     """
     pane = gcd(micros(window), micros(slide))
     if pane == micros(window):
-        return direct_count(rows, window, slide, key)
+        return direct_count(rows, window, slide, key, timed)
     panes = rows.groupBy(F.window("created_at", from_micros(pane)).alias("pane"), key).agg(
         F.count(F.lit(1)).alias("n")
     )
     grouped = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"), key)
-    return _flat(grouped.agg(F.sum("n").alias("count")), key)
+    return _flat(grouped.agg(F.sum("n").alias("count")), key, timed)
 
 
 def zero_filled(counts: DataFrame, slide: str = SLIDE, key: str = "mention") -> DataFrame:

@@ -243,17 +243,24 @@ ORACLE: dict[str, str] = {
         FROM posts""",
     "primary_mention_large": f"""WITH {POSTS}, {SUPPLIER_LINES}, keys AS (
           SELECT substr(lower(handle), 2) AS key FROM lines UNION SELECT unnest(['click', 'view', 'purchase'])
-        ), found AS (
-          SELECT id, min(place) AS place FROM (SELECT id, mentions, unnest(range(1, len(mentions) + 1)) AS place FROM posts)
-          WHERE mentions[place] IN (SELECT key FROM keys) GROUP BY id
-        )
-        SELECT id, coalesce(mentions[place], '<unk>') AS mention FROM posts LEFT JOIN found USING (id)""",
-    "track_filter_many_terms": rf"""WITH {POSTS}, {SUPPLIER_LINES}, keys AS (
+        ), placed AS (
+          SELECT id, mentions[place] AS mention, place FROM (SELECT id, mentions, unnest(range(1, len(mentions) + 1)) AS place FROM posts)
+        ), found AS (SELECT id, min_by(mention, place) AS mention FROM placed JOIN keys ON mention = key GROUP BY id)
+        SELECT id, coalesce(found.mention, '<unk>') AS mention FROM posts LEFT JOIN found USING (id)""",
+    "track_filter_many_terms": f"""WITH {POSTS}, {SUPPLIER_LINES}, terms AS (
+          SELECT DISTINCT lower(handle) AS term FROM lines UNION SELECT unnest(['@click', '@view', '@purchase'])
+        ), pieces AS (
+          SELECT DISTINCT id, '@' || unnest(string_split(lower(text), '@')[2:]) AS piece FROM posts
+        ), cut AS (
+          SELECT DISTINCT id, left(piece, n) AS term FROM pieces, (SELECT DISTINCT length(term) AS n FROM terms) WHERE n <= length(piece)
+        ), found AS (SELECT DISTINCT id FROM cut JOIN terms USING (term))
+        SELECT id, lang FROM posts JOIN found USING (id)""",
+    "track_filter_mentions": rf"""WITH {POSTS}, {SUPPLIER_LINES}, keys AS (
           SELECT substr(lower(handle), 2) AS key FROM lines UNION SELECT unnest(['click', 'view', 'purchase'])
         ), found AS (
           SELECT id, lower(unnest(regexp_extract_all(text, '(?:^|[^\w@])@(\w+)', 1))) AS mention FROM posts
-        )
-        SELECT id, lang FROM posts WHERE id IN (SELECT id FROM found WHERE mention IN (SELECT key FROM keys))""",
+        ), hits AS (SELECT DISTINCT id FROM found JOIN keys ON mention = key)
+        SELECT id, lang FROM posts JOIN hits USING (id)""",
     "track_filter": f"""WITH {POSTS}
         SELECT id, lang FROM posts
         WHERE contains(lower(text), '@click') OR contains(lower(text), '@view')
@@ -436,6 +443,15 @@ ORACLE: dict[str, str] = {
         once AS (SELECT DISTINCT id, created_at, text, cat, polarity FROM scored),
         placed AS ({sliding('once', *TUMBLING)})
         SELECT unnest(string_split(value, chr(10))) AS value FROM ({SENTIMENT_REPORT})""",
+    "stream_offsets": with_counts(
+        DAILY,
+        f""", more AS ({counts(TUMBLING)}),
+        n AS (SELECT (SELECT count(*) FROM counts) + (SELECT count(*) FROM more) AS n)
+        SELECT 'top-counts' AS topic, n AS rows, n AS offsets, CAST(0 AS BIGINT) AS min_offset, n - 1 AS max_offset FROM n""",
+    ),
+    "stream_lagging_source": with_counts(DAILY, COUNT_MESSAGES),
+    "stream_early_counts": with_counts(DAILY, ALL_COUNTS),
+    "stream_zero_fill": zero_filled("1 hour", "15 minutes", 4),
     "stream_recount": with_counts(
         DAILY,
         """SELECT window_end, lower(mention) AS handle, CAST(sum(count) AS BIGINT) AS count

@@ -26,6 +26,7 @@ from mentionflow.sources import dictionary, labelled
 from mentionflow.sources.messages import read_messages, stream_messages
 from mentionflow.sources.posts import readable_posts, stream_posts, unreadable_posts
 from mentionflow.streaming import jobs as streams
+from mentionflow.streaming import zero_fill
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +181,14 @@ def primary_mention_large(spark, sf_dir):
 
 @query
 def track_filter_many_terms(spark, sf_dir):
+    """Beyond any list that is searched term by term; both sides of its join are shuffled."""
+    terms = large_dictionary(spark, sf_dir).select(F.col("handle").alias("term"))
+    return posts.tracked_by_terms(fixtures.posts(spark, sf_dir), terms, "term", 0, NO_BROADCAST).select("id", "lang")
+
+
+@query
+def track_filter_mentions(spark, sf_dir):
+    """Posts that mention one of many handles as a whole word."""
     handles = large_dictionary(spark, sf_dir)
     return posts.tracked_by_mention(fixtures.posts(spark, sf_dir), handles, 0, NO_BROADCAST).select("id", "lang")
 
@@ -526,6 +535,21 @@ def offset_range(spark, sf_dir):
     return messages.offset_range(read_messages(spark, path))
 
 
+@query
+def stream_offsets(spark, sf_dir):
+    """Offsets of what streams write themselves: of counts in a message table, from two runs, the second
+    of them with a repeated batch. Rows, distinct offsets and their range show that none is missing or twice there."""
+    path, checkpoint = scratch_path(spark, "messages"), scratch_path(spark, "checkpoint")
+    counts = streams.window_counts(ended_post_stream(spark, sf_dir, maxFilesPerTrigger="1"), fixtures.keys(spark), DAY, QUARTER)
+    streams.run_bounded([streams.start_counts(counts, path, checkpoint, streams.AVAILABLE_NOW)])
+    more = windows.sliding_count(mentions(spark, sf_dir), DAY, DAY)
+    for _ in range(2):
+        streams.count_output(path)(more, 1_000)
+    found = read_messages(spark, path)
+    facts = found.groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("offset").alias("offsets"))
+    return facts.join(messages.offset_range(found), "topic")
+
+
 # Labels and evaluation
 
 
@@ -650,7 +674,7 @@ def posneg_rollup_period(spark, sf_dir):
 # pass the last window, and its own windows stay open.
 
 
-def ended_post_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ended_post_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     last = fixtures.table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("m"))
     values = {
         "id": F.lit(-1), "lang": F.lit(posts.LANGUAGE), "created_at": F.expr("m + INTERVAL 2 DAYS"),
@@ -661,7 +685,7 @@ def ended_post_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     path = scratch_path(spark, "last-post")
     last.select(*fields).write.parquet(path)
-    return posts.union_sources(fixtures.post_stream(spark, sf_dir), stream_posts(spark, path))
+    return posts.union_sources(fixtures.post_stream(spark, sf_dir), stream_posts(spark, path, **options))
 
 
 def run_count_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -759,7 +783,67 @@ def stream_recount(spark, sf_dir):
     files.write_messages(messages.count_messages(counts), path=source)
     started = streams.start_recount(
         stream_messages(spark, source, messages.COUNT_TOPIC), out,
-        scratch_path(spark, "checkpoint"), keep="366 days", trigger=streams.AVAILABLE_NOW,
+        scratch_path(spark, "checkpoint"), trigger=streams.AVAILABLE_NOW,
     )
     streams.run_bounded([started])
     return plain(streams.latest_recount(spark, out))
+
+
+# Sources that are behind, open windows, empty windows
+
+
+def lagging_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two streams of half the posts each, read file by file. The first has its posts in its first file; the
+    second has them in four, in the order of time, and is days behind until it ends."""
+    every = fixtures.posts(spark, sf_dir)
+    at = F.unix_micros("created_at")
+    first, last = every.agg(F.min(at), F.max(at)).first()
+    quarter = (last - first) // 4 + 1
+    ended = every.where(at == last).limit(1).withColumns(
+        {"id": F.lit(-1).cast("long"), "lang": F.lit(posts.LANGUAGE), "is_retweet": F.lit(False),
+         "created_at": F.timestamp_micros(F.lit(last + 2 * 86_400_000_000)), "mentions": F.array(F.lit("click"))}
+    )
+    sources = []
+    for half, parts in ((0, 1), (1, 4)):
+        path = scratch_path(spark, "posts")
+        mine = every.where(F.col("id") % 2 == half)
+        for part in range(parts):
+            rows = mine if parts == 1 else mine.where(F.floor((at - first) / quarter) == part)
+            rows.coalesce(1).write.mode("append").parquet(path)
+        ended.coalesce(1).write.mode("append").parquet(path)
+        sources.append(stream_posts(spark, path, maxFilesPerTrigger="1"))
+    return sources
+
+
+@query
+def stream_lagging_source(spark, sf_dir):
+    """Each source has its own watermark, so the posts of the one that is behind are counted."""
+    both = posts.union_sources(*lagging_sources(spark, sf_dir), watermark=streams.WATERMARK)
+    path, checkpoint = scratch_path(spark, "messages"), scratch_path(spark, "checkpoint")
+    counts = streams.window_counts(both, fixtures.keys(spark), DAY, QUARTER, watermark=None)
+    streams.run_bounded([streams.start_counts(counts, path, checkpoint, streams.AVAILABLE_NOW)])
+    return plain(read_messages(spark, path).drop("offset", "part", "parts"))
+
+
+@query
+def stream_early_counts(spark, sf_dir):
+    """Counts of a stream that stops long before the watermark passes its last windows."""
+    path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
+    feed = fixtures.post_stream(spark, sf_dir)
+    started = streams.start_early_counts(
+        feed, fixtures.keys(spark), path, checkpoint, DAY, QUARTER, compact_every=1, trigger=streams.AVAILABLE_NOW
+    )
+    streams.run_bounded([started])
+    return plain(streams.early_counts(spark, path))
+
+
+@query
+def stream_zero_fill(spark, sf_dir):
+    """Counts of a stream with zeros, up to the last window of the posts."""
+    path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
+    feed = ended_post_stream(spark, sf_dir)
+    counts = streams.window_counts(feed, fixtures.keys(spark), "1 hour", "15 minutes", timed=True)
+    filled = zero_fill.zero_filled_stream(counts, "15 minutes", expiry="40 days")
+    streams.run_bounded([streams.start_table(filled, path, checkpoint, streams.AVAILABLE_NOW)])
+    last = mentions(spark, sf_dir).agg(F.max("created_at")).scalar()
+    return plain(spark.read.parquet(path).where(F.col("window_start") <= last))

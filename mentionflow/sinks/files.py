@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionflow.functions.labels import to_symbol
@@ -45,6 +45,13 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """Micro-batches below ``path`` that are written whole."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch_id=*/_SUCCESS")
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
+
+
 def export_labelled(labelled: DataFrame, path: str, label: str, text: str, mode: str = "errorifexists") -> None:
     """Label symbol and text as JSON lines."""
     rows = labelled.select(to_symbol(F.col(label)).alias("polarity"), F.col(text).alias("text"))

@@ -11,14 +11,14 @@ from mentionflow.schemas import MESSAGES
 
 def read_messages(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
     """All messages of a message table."""
-    found = spark.read.schema(MESSAGES).parquet(path)
+    found = spark.read.schema(MESSAGES).parquet(path).select(*MESSAGES.names)
     return found if topic is None else found.where(F.col("topic") == topic)
 
 
 def stream_messages(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
     """Messages of a message table as they arrive. A query over them with a checkpoint and an
     availableNow trigger takes what is there, and the next run goes on where it stopped."""
-    found = spark.readStream.schema(MESSAGES).parquet(path)
+    found = spark.readStream.schema(MESSAGES).parquet(path).select(*MESSAGES.names)
     return found if topic is None else found.where(F.col("topic") == topic)
 
 

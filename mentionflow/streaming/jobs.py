@@ -23,16 +23,21 @@ from mentionflow.operators.messages import count_messages, decoded_counts, senti
 from mentionflow.operators.posts import counted_mentions, original_posts
 from mentionflow.operators.sentiment import scored_mentions, sentiment_groups
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, direct_count, sliding_count
+from mentionflow.session import ROCKSDB
+from mentionflow.sinks import upserts
 from mentionflow.sinks.files import batch_path, write_messages, write_text
 from mentionflow.functions.times import micros
-from mentionflow.session import removed
+from mentionflow.sinks.ledger import with_offsets
 from mentionflow.sinks.reports import in_report_order, sentiment_report, top_k_report
 
 BATCH_INTERVAL = "1 minute"
 REFRESH_INTERVAL = "5 seconds"
 WATERMARK = "10 minutes"
 MAX_RUN_SECONDS = 5 * 60 * 60
-RECOUNT_KEPT = "7 days"
+DRAIN_SECONDS = 60.0
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+COUNT_KEYS = ("window_start", "window_end", "mention")
+RECOUNT_KEYS = ("window_end", "handle")
 
 SCORED_MENTIONS = T.StructType(
     [
@@ -57,15 +62,32 @@ def every(interval: str = BATCH_INTERVAL) -> dict:
 AVAILABLE_NOW = {"availableNow": True}
 
 
+def drain(queries: Sequence[StreamingQuery], max_seconds: float = DRAIN_SECONDS, poll_seconds: float = 0.05) -> None:
+    """Stop each query when its running micro-batch has ended, or ``max_seconds`` are over. One that
+    starts its next batch at once is stopped as that one begins."""
+    deadline = time.monotonic() + max_seconds
+    at_start = {query.id: (query.lastProgress or {}).get("batchId") for query in queries}
+    waiting = list(queries)
+    while waiting:
+        for query in list(waiting):
+            ended = (query.lastProgress or {}).get("batchId") != at_start[query.id]
+            if not query.isActive or not query.status["isTriggerActive"] or ended or time.monotonic() > deadline:
+                query.stop()
+                waiting.remove(query)
+        if waiting:
+            time.sleep(poll_seconds)
+
+
 def run_bounded(
-    queries: Sequence[StreamingQuery], max_seconds: float = MAX_RUN_SECONDS, poll_seconds: float = 0.5
-) -> None:
+    queries: Sequence[StreamingQuery], max_seconds: float = MAX_RUN_SECONDS, poll_seconds: float = 0.5,
+    drain_seconds: float = DRAIN_SECONDS,
+) -> None:
     """Run the queries until all have ended, one has failed, ``max_seconds`` are over or the
     process is asked to stop (SIGTERM, SIGINT), and stop them in any case.
 
     All queries are watched together; the failure of one is raised at once. The time limit and
-    a signal are regular ends. Signals are only handled when called from the main thread, and
-    earlier handlers are put back.
+    a signal are regular ends: running micro-batches may take up to ``drain_seconds`` to finish.
+    Signals are only handled when called from the main thread, and earlier handlers are put back.
     """
     deadline = time.monotonic() + max_seconds
     stop = threading.Event()
@@ -81,6 +103,7 @@ def run_bounded(
                     raise query.exception()
             left = deadline - time.monotonic()
             if not any(active) or left <= 0 or stop.wait(min(poll_seconds, left)):
+                drain(queries, drain_seconds)
                 return
     finally:
         for query in queries:
@@ -105,27 +128,72 @@ def window_counts(
     keys: DataFrame,
     window: str = WINDOW,
     slide: str = SLIDE,
-    watermark: str = WATERMARK,
+    watermark: str | None = WATERMARK,
     fold_case: bool = False,
     panes: bool = True,
+    timed: bool = False,
 ) -> DataFrame:
-    """Streaming counts per window and mention of a stream of posts."""
-    timed = posts.withWatermark("created_at", watermark)
-    mentions = counted_mentions(original_posts(timed), keys, fold_case)
-    return (sliding_count if panes else direct_count)(mentions, window, slide)
+    """Streaming counts per window and mention of a stream of posts. ``watermark`` is None where the
+    sources have their own."""
+    marked = posts if watermark is None else posts.withWatermark("created_at", watermark)
+    mentions = counted_mentions(original_posts(marked), keys, fold_case)
+    return (sliding_count if panes else direct_count)(mentions, window, slide, timed=timed)
 
 
 def start_counts(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write count messages of closed windows to a message table."""
-    writer = count_messages(counts).writeStream.outputMode("append").format("parquet")
+    """Write count messages of closed windows, with offsets, to a message table."""
+    return start_outputs(counts, [count_output(path)], checkpoint, trigger)
+
+
+def start_early_counts(
+    posts: DataFrame, keys: DataFrame, path: str, checkpoint: str, window: str = WINDOW, slide: str = SLIDE,
+    watermark: str | None = WATERMARK, fold_case: bool = False, compact_every: int = upserts.COMPACT_EVERY,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Counts of windows as they grow: every micro-batch upserts the windows it has changed, so
+    ``early_counts`` shows open windows too, and closed ones with their last count."""
+    counts = window_counts(posts, keys, window, slide, watermark, fold_case, panes=False)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upserts.upsert(batch, path, batch_id, COUNT_KEYS, compact_every)
+
     return (
-        writer.option("path", path)
+        counts.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or every()))
         .start()
     )
 
 
+def early_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all windows so far."""
+    return upserts.current(spark, path, COUNT_KEYS)
+
+
+def start_table(
+    rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, state_provider: str = ROCKSDB
+) -> StreamingQuery:
+    """Append rows to a table; for steps with timers, which need the RocksDB state store."""
+    with_state = rows.sparkSession.conf
+    before = with_state.get(STATE_PROVIDER, None)
+    with_state.set(STATE_PROVIDER, state_provider)
+    try:
+        return (
+            rows.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or every()))
+            .start()
+        )
+    finally:  # a started query keeps the settings that it has found
+        if before is None:
+            with_state.unset(STATE_PROVIDER)
+        else:
+            with_state.set(STATE_PROVIDER, before)
+
+
 def start_count_topic(counts: DataFrame, checkpoint: str, trigger: dict | None = None, **options: str) -> StreamingQuery:
     """The same to a broker; needs the Kafka connector on the class path."""
     writer = to_topic(count_messages(counts)).writeStream.format("kafka")
@@ -162,7 +230,10 @@ def start_outputs(
 
 def count_output(path: str, fmt: str = "parquet", **options: str) -> Output:
     def write(counts: DataFrame, batch_id: int) -> None:
-        write_messages(count_messages(counts), fmt, batch_path(path, batch_id), "overwrite", **options)
+        built = count_messages(counts)
+        if fmt != "kafka":  # a broker has its own offsets
+            built = with_offsets(built, path, batch_id)
+        write_messages(built, fmt, batch_path(path, batch_id), "overwrite", **options)
 
     return write
 
@@ -266,33 +337,24 @@ def sentiment_report_output(table: str, path: str, window: str = WINDOW, slide:
 
 
 def start_recount(
-    messages: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, keep: str = RECOUNT_KEPT,
-    trigger: dict | None = None,
+    messages: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, keep: str | None = None,
+    compact_every: int = upserts.COMPACT_EVERY, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Counts per handle and window from count messages, refreshed every few seconds.
 
-    Each micro-batch writes a snapshot, the one before with what has changed, without windows
-    that ended more than ``keep`` before the newest, and removes all but the last two. So
-    neither a snapshot nor the number of folders grows for ever. A window older than the
-    watermark is not counted any more.
+    Each micro-batch writes what has changed; ``latest_recount`` merges. Every ``compact_every`` batches the
+    table is written whole, and then windows that ended more than ``keep`` before the newest go; by default
+    all stay. A window older than the watermark is not counted any more.
     """
     counts = decoded_counts(messages, latest_window=False).withWatermark("window_end", watermark)
-    refreshed = counts.groupBy("window_end", "handle").agg(F.sum("count").alias("count"))
-    kept = micros(keep)
+    refreshed = counts.groupBy(*RECOUNT_KEYS).agg(F.sum("count").alias("count"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = [n for n in _snapshots(spark, path) if n < batch_id]
-        rows = batch
-        if earlier:
-            before = spark.read.schema(batch.schema).parquet(batch_path(path, max(earlier)))
-            rows = batch.unionByName(before.join(batch, ["window_end", "handle"], "left_anti"))
+    def kept(rows: DataFrame) -> DataFrame:
         newest = rows.agg(F.max(F.unix_micros("window_end"))).first()[0]
-        if newest is not None:
-            rows = rows.where(F.unix_micros("window_end") > newest - kept)
-        rows.write.mode("overwrite").parquet(batch_path(path, batch_id))
-        for n in sorted(earlier)[:-1]:
-            removed(spark, batch_path(path, n))
+        return rows if newest is None else rows.where(F.unix_micros("window_end") > newest - micros(keep))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upserts.upsert(batch, path, batch_id, RECOUNT_KEYS, compact_every, None if keep is None else kept)
 
     return (
         refreshed.writeStream.outputMode("update")
@@ -303,14 +365,6 @@ def start_recount(
     )
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
-    """Batches below ``path`` that are written whole."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch_id=*/_SUCCESS")
-    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
-    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found or []]
-
-
 def latest_recount(spark: SparkSession, path: str) -> DataFrame:
-    """The counts of the newest snapshot."""
-    newest = max(_snapshots(spark, path))
-    return spark.read.parquet(batch_path(path, newest)).select("window_end", "handle", "count")
+    """The counts as last refreshed."""
+    return upserts.current(spark, path, RECOUNT_KEYS).select("window_end", "handle", "count")

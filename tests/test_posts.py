@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,27 @@ def test_track_terms_and_text_mentions(frame):
     assert posts.with_mentions(frame).where("id = 1").first().mentions == ["United"]
 
 
+@pytest.mark.parametrize("n_terms", [0, 1, 400, 4000])
+def test_lists_of_any_length_find_what_a_search_finds(spark, n_terms):
+    rng = random.Random(n_terms)
+    texts = ["see @click now", "@clickbait", "me@click.com", "@CLICK", "click", "@cl ick", "@@click", None, "", "x @Ä\n@ü@b", "\U0001f389@f\U0001f389 x", "#tag"]
+    texts += ["".join(rng.choices("ab@ #", k=rng.randint(0, 30))) for _ in range(300)]
+    rows = [post(i % 290, text=t) for i, t in enumerate(texts)]  # some ids stand for several posts
+    frame = spark.createDataFrame(rows, POSTS)
+    words = ["@click", "@ä", "@ü@b", "\n@ü", "@f\U0001f389", "#t", "b@", "aa", "@ab"]
+    words += ["@" + "".join(rng.choices("ab", k=rng.randint(2, 14))) for _ in range(n_terms)]
+    words = words[:n_terms]
+    terms = spark.createDataFrame([(w,) for w in [*words, None]], "term string")
+    expected = sorted(i % 290 for i, t in enumerate(texts) if t is not None and any(w in t.lower() for w in words))
+    assert not n_terms or expected
+    for limit, lookup in ((400, None), (0, None), (0, {"max_rows": 0})):
+        found = posts.tracked_by_terms(frame, terms, max_terms=limit, lookup=lookup)
+        assert found.columns == frame.columns
+        assert sorted(r.id for r in found.collect()) == expected
+    every = posts.tracked_by_terms(frame, terms.union(spark.createDataFrame([("",)], "term string")), max_terms=0)
+    assert every.count() == len([t for t in texts if t is not None])
+
+
 def test_union_keeps_duplicates(frame):
     assert posts.union_sources(frame, frame, frame).count() == 18
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from mentionflow.functions.scoring import lexicon_scorer
 from mentionflow.operators import messages, posts, sentiment, windows
 from mentionflow.schemas import POSTS
+from mentionflow.sinks import files, ledger
 from mentionflow.sources.messages import read_messages, stream_messages
 from mentionflow.sources.posts import read_posts, stream_posts
-from mentionflow.streaming import jobs
+from mentionflow.streaming import jobs, zero_fill
 from tests.test_posts import post
 
 START = dt.datetime(2024, 1, 1, 23, 40)
@@ -95,7 +96,10 @@ def test_counts_over_several_runs_equal_the_batch(spark, feed, keys, tmp_path, p
     drain()
     batch = windows.direct_count(posts.counted_mentions(feed.batch(), keys))
     expected = messages.count_messages(batch)
-    assert bag(read_messages(spark, out).drop("offset")) == bag(expected)
+    found = read_messages(spark, out)
+    assert bag(found.select(*expected.columns)) == bag(expected)
+    offsets = sorted(r.offset for r in found.select("offset").collect())
+    assert offsets == list(range(len(offsets)))  # over three runs, none missing and none twice
 
 
 def test_late_posts_are_dropped_once_their_window_is_out(spark, feed, keys, tmp_path):
@@ -206,7 +210,34 @@ def test_consumer_takes_what_is_there_and_goes_on_from_there(spark, keys, tmp_pa
     for n in range(3):
         send(("bob", 1))
         assert drain() == {"ann": 13, "bob": 5 + n}
-    assert len(list((tmp_path / "out").glob("batch_id=*"))) <= 2
+
+
+def test_recounts_are_deltas_that_are_compacted(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("messages", "out", "c"))
+    schema = "window_start timestamp, window_end timestamp, mention string, count long"
+
+    def drain(day, *rows, **options):
+        end = START + dt.timedelta(days=day)
+        frame = spark.createDataFrame([(end - dt.timedelta(minutes=5), end, m, c) for m, c in rows], schema)
+        messages.count_messages(frame).write.mode("append").parquet(source)
+        stream = stream_messages(spark, source, messages.COUNT_TOPIC)
+        run(jobs.start_recount(stream, out, checkpoint, trigger=jobs.AVAILABLE_NOW, compact_every=4, **options))
+        return {(r.window_end.day, r.handle): r["count"] for r in jobs.latest_recount(spark, out).collect()}
+
+    drain(0, *[(f"m{i}", 1) for i in range(500)])
+    first = START.day
+    for n in range(1, 4):
+        found = drain(0, ("m1", n))
+    assert found[first, "m1"] == 7 and len(found) == 500
+    deltas = sorted((tmp_path / "out" / "delta").glob("batch_id=*"))
+    assert spark.read.parquet(str(deltas[-1])).count() <= 1 and (tmp_path / "out" / "base").exists()
+    whole = drain(30, ("late", 5))  # months of windows stay by default
+    assert len(whole) == 501 and max(whole.values()) == 7
+    for _ in range(8):
+        kept = drain(30, ("late", 1), keep="7 days")
+    assert [handle for _, handle in kept] == ["late"]
+    assert len(list((tmp_path / "out" / "delta").glob("batch_id=*"))) <= 10
+    assert len(list((tmp_path / "out" / "base").glob("batch_id=*"))) <= 2
 
 
 def test_a_reader_can_start_once_the_table_has_rows(spark, feed, keys, tmp_path):
@@ -307,3 +338,130 @@ def test_a_failing_query_is_raised_and_the_others_stopped(spark, feed, keys, tmp
     with pytest.raises(Exception, match="no sink"):
         jobs.run_bounded([bad, good], 60)
     assert not good.isActive
+
+
+def test_offsets_of_repeated_and_mixed_batches(spark, tmp_path):
+    path = str(tmp_path / "out")
+
+    def send(batch_id, *topics):
+        rows = [(topic, f"{topic}{i}", "v") for topic, n in topics for i in range(n)]
+        frame = spark.createDataFrame(rows, "topic string, key string, value string").repartition(3)
+        numbered = ledger.with_offsets(frame, path, batch_id)
+        numbered.write.mode("overwrite").parquet(files.batch_path(path, batch_id))
+
+    def ranges():
+        found = spark.read.parquet(path)
+        return {
+            r.topic: (r.min_offset, r.max_offset, found.where(F.col("topic") == r.topic).select("offset").distinct().count())
+            for r in messages.offset_range(found).collect()
+        }
+
+    send(0, ("a", 5), ("b", 2))
+    send(1, ("a", 3))
+    send(1, ("a", 3))
+    assert ranges() == {"a": (0, 7, 8), "b": (0, 1, 2)}
+    send(4)
+    for n in range(5, 20):
+        send(n, ("b", 1), ("c", 1))
+    assert ranges() == {"a": (0, 7, 8), "b": (0, 16, 17), "c": (0, 14, 15)}
+    assert len(list((tmp_path / "out" / "_offsets").glob("batch_id=*"))) <= ledger.ENTRIES_KEPT + 1
+
+
+def lagging(spark, tmp_path):
+    """Two folders read file by file; the second is half an hour behind."""
+    sources, rows = [], []
+    for n, parts in (("a", [(60, 120)]), ("b", [(0, 10), (10, 30), (30, 90)])):
+        path = str(tmp_path / n)
+        for low, high in parts:
+            mine = [timed_post(1000 * len(rows) + m, START + dt.timedelta(minutes=m), mentions=["ann"]) for m in range(low, high, 2)]
+            rows += mine
+            spark.createDataFrame(mine, POSTS).coalesce(1).write.mode("append").parquet(path)
+        end = timed_post(-1, START + dt.timedelta(days=2), mentions=["ann"])
+        spark.createDataFrame([end], POSTS).coalesce(1).write.mode("append").parquet(path)
+        sources.append(stream_posts(spark, path, maxFilesPerTrigger="1"))
+    return sources, spark.createDataFrame(rows, POSTS)
+
+
+@pytest.mark.parametrize("policy", ["min", "max"])
+def test_a_source_that_is_behind_sets_the_time(spark, keys, tmp_path, policy):
+    sources, batch = lagging(spark, tmp_path)
+    name = "spark.sql.streaming.multipleWatermarkPolicy"
+    spark.conf.set(name, policy)
+    try:
+        both = posts.union_sources(*sources, watermark="10 minutes")
+        counts = jobs.window_counts(both, keys, "5 minutes", "5 minutes", watermark=None)
+        run(jobs.start_counts(counts, str(tmp_path / "out"), str(tmp_path / "c"), jobs.AVAILABLE_NOW))
+    finally:
+        spark.conf.unset(name)
+    found = messages.decoded_counts(read_messages(spark, str(tmp_path / "out")), latest_window=False)
+    expected = windows.direct_count(posts.counted_mentions(posts.original_posts(batch), keys), "5 minutes", "5 minutes")
+    total, every = (df.agg(F.sum("count")).first()[0] for df in (found, expected))
+    assert every == batch.count()
+    assert total == every if policy == "min" else total < every  # by max, what is behind is late
+
+
+def test_early_counts_follow_every_batch(spark, feed, keys, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+
+    def drain():
+        run(jobs.start_early_counts(feed.stream(), keys, out, checkpoint, compact_every=2, trigger=jobs.AVAILABLE_NOW))
+        return bag(jobs.early_counts(spark, out).select("window_start", "window_end", "mention", "count"))
+
+    def expected(rows):
+        batch = posts.original_posts(spark.createDataFrame(rows, POSTS))
+        return bag(windows.direct_count(posts.counted_mentions(batch, keys)))
+
+    assert drain() == expected(feed.rows[: len(feed.rows) // 2])
+    feed.add(feed.second)
+    assert drain() == expected(feed.rows)
+    assert drain() == expected(feed.rows)
+
+
+def test_zeros_come_out_as_time_goes_on(spark, feed, keys, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+
+    def drain(expiry):
+        counts = jobs.window_counts(feed.stream(), keys, "5 minutes", "5 minutes", timed=True)
+        run(jobs.start_table(zero_fill.zero_filled_stream(counts, "5 minutes", expiry=expiry), out, checkpoint, jobs.AVAILABLE_NOW))
+        return bag(spark.read.parquet(out))
+
+    drain("3 hours")
+    feed.add(feed.second)
+    drain("3 hours")
+    feed.end()
+    found = drain("3 hours")
+    counts = windows.direct_count(posts.counted_mentions(feed.batch(), keys), "5 minutes", "5 minutes")
+    batch = bag(windows.zero_filled(counts, "5 minutes"))
+    last = max(r[0] for r in batch)
+    assert Counter({r: n for r, n in found.items() if r[0] <= last}) == batch
+    after = [r for r in found if r[0] > last]
+    assert after and all(r[3] == 0 for r in after) and max(found.values()) == 1
+    for mention in {r[2] for r in batch}:  # forgotten three hours after its last count
+        seen = max(r[0] for r in batch if r[2] == mention and r[3] > 0)
+        assert max(r[0] for r in found if r[2] == mention) == seen + dt.timedelta(hours=3)
+
+
+def test_a_stop_lets_the_running_batch_end(spark, feed, keys, tmp_path):
+    out = str(tmp_path / "out")
+    began, ended = [], []
+
+    def slow(batch, batch_id):
+        began.append(batch_id)
+        time.sleep(3)
+        batch.write.mode("overwrite").parquet(files.batch_path(out, batch_id))
+        ended.append(batch_id)
+
+    counts = jobs.window_counts(feed.stream(), keys)
+    query = jobs.start_outputs(counts, [slow], str(tmp_path / "c"), jobs.every("1 hour"))
+    while not began:
+        time.sleep(0.05)
+    jobs.run_bounded([query], max_seconds=0.2)
+    assert not query.isActive and ended == began
+    assert files.written_batches(spark, out) == ended
+    feed.add(feed.second)
+    again = jobs.start_outputs(counts, [slow], str(tmp_path / "c"), jobs.every("1 hour"))
+    while len(began) == len(ended):
+        time.sleep(0.05)
+    at = time.monotonic()
+    jobs.run_bounded([again], max_seconds=0.1, drain_seconds=0.5)  # a bound that is too short for it
+    assert not again.isActive and time.monotonic() - at < 30
