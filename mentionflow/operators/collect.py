@@ -38,6 +38,25 @@ def _with_blocks(rows: DataFrame, window_ms: int, slide_ms: int, block_ms: int)
     return rows.withColumn("_block", F.explode(blocks))
 
 
+def _below(items: Column, bound: Column) -> Column:
+    """How many of the items, sorted by ``at``, lie before ``bound``: a binary search in the row."""
+    n = F.size(items)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), n.alias("high"))
+
+    def halved(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        before = F.get(items, middle)["at"] < bound
+        open_ = low < high
+        return F.struct(
+            F.when(open_ & before, middle + 1).otherwise(low).alias("low"),
+            F.when(open_ & ~before, middle).otherwise(high).alias("high"),
+        )
+
+    return F.aggregate(steps, start, halved, lambda range_: range_["low"])
+
+
 def _crowded(rows: DataFrame, size_by: Sequence[str], max_records: int, max_bytes: int) -> DataFrame:
     """(group, parts) for the groups with more rows or bytes of text than fit into one array."""
     size = F.sum(F.octet_length("text")) if "text" in rows.columns else F.lit(0)
@@ -67,8 +86,8 @@ def sliding_collect(
     that fits into one array is one row, a larger one is split by post into ``parts`` rows.
 
     A record is shuffled once per block of windows, not once per window: a block is four
-    window lengths of window starts, so a record goes to 1.2 blocks or so, and the
-    windows of a block are cut from its array afterwards.
+    window lengths of window starts, so a record goes to 1.2 blocks or so. Its array is sorted by
+    time, once; a window is the slice between two bounds that are found by binary search.
 
     Sizes are counted beforehand, per block and key. For a key that is costly to compute,
     ``size_by`` names cheaper columns to count by, or none; then the parts come out smaller.
@@ -95,25 +114,23 @@ def sliding_collect(
     gathered = (
         sized.withColumn("part", F.pmod(spread, F.col("_parts")).cast("int"))
         .groupBy("_block", key, "part", "_parts")
-        .agg(gather(item).alias("_items"))
-    )
-    starts = F.transform(
-        F.sequence(F.lit(0), F.lit(per_block - 1)), lambda n: F.col("_block") + n * slide_ms
+        .agg(F.sort_array(gather(item)).alias("_items"))
     )
     cuts = F.transform(
-        starts,
-        lambda s: F.struct(
-            s.alias("start"),
-            F.filter("_items", lambda i: (i["at"] >= s) & (i["at"] < s + window_ms)).alias("items"),
+        F.sequence(F.lit(0), F.lit(per_block - 1)),
+        lambda n: F.struct(
+            (F.col("_block") + n * slide_ms).alias("start"),
+            _below(F.col("_items"), F.col("_block") + n * slide_ms).alias("low"),
+            _below(F.col("_items"), F.col("_block") + n * slide_ms + window_ms).alias("high"),
         ),
     )
     return gathered.select(
-        key, "part", "_parts", F.explode(F.filter(cuts, lambda c: F.size(c["items"]) > 0)).alias("_cut")
+        key, "part", "_parts", "_items", F.explode(F.filter(cuts, lambda c: c["low"] < c["high"])).alias("_cut")
     ).select(
         F.timestamp_millis("_cut.start").alias("window_start"),
         F.timestamp_millis(F.col("_cut.start") + window_ms).alias("window_end"),
         key,
         "part",
         F.col("_parts").alias("parts"),
-        F.sort_array(F.transform("_cut.items", lambda i: i["record"])).alias("records"),
+        F.sort_array(F.slice("_items.record", F.col("_cut.low") + 1, F.col("_cut.high") - F.col("_cut.low"))).alias("records"),
     )

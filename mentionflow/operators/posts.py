@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from mentionflow.functions.text import mentions_in
 from mentionflow.functions.times import epoch_millis
+from mentionflow.operators.bloom import bloom_filter
 from mentionflow.operators.lookup import bounded_values, lookup_join
+from mentionflow.session import checkpointed
 
 # The mention of a post without a known one, and the language kept.
 UNKNOWN = "<unk>"
@@ -83,7 +85,8 @@ def tracked_by_terms(
     narrow = candidates.select(F.col("id").alias("_id"), F.col("_candidates").alias("_same")).distinct()
     cut = narrow.withColumn("_candidate", F.explode("_same"))
     found = lookup_join(cut, wanted, F.col("_candidate"), "_term", "left_semi", F.col("_id"), **(lookup or {}))
-    found = found.select("_id", "_same").distinct()
+    found = checkpointed(found.select("_id", "_same").distinct())
+    candidates = candidates.where(bloom_filter(found, "_id")(F.col("id")))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("_candidates") == F.col("_same"))
     return candidates.join(found, same, "left_semi").drop("_candidates")
 
@@ -130,7 +133,8 @@ def with_hits(
     handle that a post repeats is in it once.
 
     With a small dictionary this is a filter within each row. With a larger one the distinct
-    mention arrays, without texts, are matched and their hits joined back. ``max_rows`` is the
+    mention arrays, without texts, are matched and their hits, which are stored, joined back; a Bloom
+    filter of their ids drops most other posts before their texts are shuffled. ``max_rows`` is the
     size up to which it is small; ``lookup`` holds the bounds of the join beyond.
     """
     handles = F.array_sort(F.array_distinct(F.transform("mentions", F.lower)))
@@ -143,8 +147,10 @@ def with_hits(
     exploded = narrow.select("_id", "_mentions", F.explode(F.array_distinct("_mentions")).alias("mention"))
     found = lookup_join(exploded, keys, F.lower("mention"), "handle_key", "left_semi", F.col("_id"), **(lookup or {}))
     hits = found.groupBy("_id", "_mentions").agg(F.array_sort(F.collect_set(F.lower("mention"))).alias("hits"))
+    hits = checkpointed(hits)
+    matched = posts.where(bloom_filter(hits, "_id")(F.col("id")))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mentions") == F.col("_mentions"))
-    return posts.join(hits, same).drop("_id", "_mentions")
+    return matched.join(hits, same).drop("_id", "_mentions")
 
 
 def keyed_by_mention(posts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -28,15 +28,19 @@ def lexicon_weights(lexicon: DataFrame, max_rows: int = LITERAL_ROWS) -> Mapping
 
 
 def score_by_lexicon_table(
-    df: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "text", **bounds: int
+    df: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "text", max_literals: int = LITERAL_ROWS, **bounds: int
 ) -> DataFrame:
-    """(id, score), a row per row of ``df``, with a lexicon of any size, by joining words with it.
+    """(id, score), a row per row of ``df``, with a lexicon of any size.
 
-    Texts are not shuffled: words, and per text its id, a hash of the text and sentence numbers
-    are. Rows with the same id and text are scored together and come back as often as they are
+    A lexicon of up to ``max_literals`` words becomes part of the plan, and a text is scored within its
+    row. With a larger one words are joined: texts are not shuffled, but words, and per text its id, a
+    hash of the text and sentence numbers, are. Rows with the same id and text are scored together and come back as often as they are
     there. A word that is listed twice counts with its least weight.
     """
     once = lexicon.groupBy("word").agg(F.min("weight").alias("weight"))
+    weights = lexicon_weights(once, max_literals)
+    if weights is not None:
+        return df.select(F.col(id_col), lexicon_scorer(weights)(F.col(text)).alias("score"))
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     parts = rows.select(
         "_id", "_hash", (F.length("_text") == 0).alias("_empty"), F.posexplode_outer(sentences(F.col("_text"))).alias("_at", "_part")

@@ -312,13 +312,9 @@ ORACLE: dict[str, str] = {
     "counts_descending": f"""WITH {MENTIONS}
         SELECT mention, count(*) AS count FROM mentions GROUP BY mention ORDER BY 2 DESC, 1""",
     "sliding_collect_dedup": f"""WITH {SCORED}, placed AS ({sliding('scored', *MIN5)})
-        SELECT window_start, window_end, mention, count(*) AS n, min(id) AS first_id,
-               max(id) AS last_id, CAST(sum(id) AS BIGINT) AS sum_id
-        FROM placed GROUP BY ALL""",
+        SELECT window_start, window_end, mention, id, cat, polarity FROM placed""",
     "collect_by_category": f"""WITH {SCORED_POSTS}, placed AS ({sliding('scored_posts', *DAILY)})
-        SELECT window_start, window_end, cat, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_id,
-               round(sum(polarity), 4) AS sum_polarity, CAST(sum(length(text)) AS BIGINT) AS chars
-        FROM placed GROUP BY ALL""",
+        SELECT window_start, window_end, cat, id, polarity, CAST(length(text) AS INTEGER) AS chars FROM placed""",
     "clean_text": f"WITH {POSTS} SELECT id, {CLEAN.format('text')} AS text FROM posts",
     "unclean_rows": f"""WITH {POSTS}
         SELECT 'before' AS step, count(*) FILTER (event_type = 'purchase') AS bad_rows,
@@ -359,6 +355,15 @@ ORACLE: dict[str, str] = {
                CAST(floor(epoch_us(created_at) / 1000) AS BIGINT) AS created_at,
                length(text) AS chars, mention, cat, round(polarity, 6) AS polarity
         FROM placed""",
+    "sentiment_message_texts": f"""WITH {SCORED}, placed AS ({sliding('scored', *TUMBLING)}),
+        records AS (
+          SELECT mention, window_start, id, CAST(json_object(
+                   'tweet', json_object('id', id, 'created_at', CAST(floor(epoch_us(created_at) / 1000) AS BIGINT), 'text', text),
+                   'mention', mention, 'cat', cat, 'polarity', polarity) AS VARCHAR) AS record
+          FROM placed
+        )
+        SELECT mention AS key, window_start, 0 AS part, 1 AS parts, '[' || string_agg(record, ',' ORDER BY id) || ']' AS value
+        FROM records GROUP BY ALL""",
     "flatten_messages": f"""WITH {SCORED}
         SELECT mention, cat, polarity, id AS tweet_id,
                make_timestamp(CAST(floor(epoch_us(created_at) / 1000) AS BIGINT) * 1000)

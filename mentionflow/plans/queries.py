@@ -327,15 +327,8 @@ def counts_descending(spark, sf_dir):
 @query
 def sliding_collect_dedup(spark, sf_dir):
     groups = sentiment.sentiment_groups(scored(spark, sf_dir))
-    ids = groups.select(
-        "window_start", "window_end", "mention", F.explode("records.tweet.id").alias("id")
-    )
-    return plain(
-        ids.groupBy("window_start", "window_end", "mention").agg(
-            F.count("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
-            F.sum("id").alias("sum_id"),
-        )
-    )
+    narrow = F.transform("records", lambda r: F.struct(r["tweet"]["id"].alias("id"), r["cat"].alias("cat"), r["polarity"].alias("polarity")))
+    return plain(groups.select("window_start", "window_end", "mention", F.inline(narrow)))
 
 
 @query
@@ -344,14 +337,10 @@ def collect_by_category(spark, sf_dir):
         english(spark, sf_dir).select("id", "created_at", "text"), lexicon_scorer()
     )
     groups = sentiment.category_groups(rows, DAY, QUARTER)
-    lines = groups.select("window_start", "window_end", "cat", F.explode("records").alias("r"))
-    return plain(
-        lines.groupBy("window_start", "window_end", "cat").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("r.id").alias("sum_id"),
-            F.round(F.sum("r.polarity"), 4).alias("sum_polarity"),
-            F.sum(F.length("r.text")).alias("chars"),
-        )
-    )
+    narrow = F.transform(
+        "records", lambda r: F.struct(r["id"].alias("id"), r["polarity"].alias("polarity"), F.length(r["text"]).alias("chars"))
+    )
+    return plain(groups.select("window_start", "window_end", "cat", F.inline(narrow)))
 
 
 # Text and scores
@@ -402,8 +391,9 @@ def text_score_lexicon_table(spark, sf_dir):
 
 @query
 def text_score_lexicon_repeated(spark, sf_dir):
-    rows = documents(spark, sf_dir)
-    return sentiment.score_by_lexicon_table(rows.union(rows), fixtures.lexicon(spark).union(fixtures.lexicon(spark)))
+    """The same with copies of rows and words, by a join as for a lexicon too large for a plan."""
+    rows, words = documents(spark, sf_dir), fixtures.lexicon(spark)
+    return sentiment.score_by_lexicon_table(rows.union(rows), words.union(words), max_literals=0)
 
 
 @query
@@ -470,6 +460,13 @@ def sentiment_messages(spark, sf_dir):
     )
 
 
+@query
+def sentiment_message_texts(spark, sf_dir):
+    """The messages as they are sent: the JSON texts themselves."""
+    groups = sentiment.sentiment_groups(scored(spark, sf_dir), DAY, DAY)
+    return plain(messages.sentiment_messages(groups).select("key", "window_start", "part", "parts", "value"))
+
+
 @query
 def flatten_messages(spark, sf_dir):
     groups = sentiment.sentiment_groups(scored(spark, sf_dir), DAY, DAY)

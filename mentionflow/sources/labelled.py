@@ -60,7 +60,10 @@ def labelled_jdbc(
     partitions: int = 1,
     **properties: str,
 ) -> DataFrame:
-    """Label and text of a database table; ``split_on`` reads ranges of a column in parallel."""
+    """Label and text of a database table; ``split_on`` reads ranges of a column in parallel, and
+    needs the ``bounds`` of its values."""
+    if split_on is not None and bounds is None:
+        raise ValueError("split_on needs bounds: the smallest and the largest value of the column")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
     if split_on is not None:
         low, high = bounds

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -79,3 +80,12 @@ def test_many_copies_of_one_post_stay_whole(spark):
 def test_posts_before_1970(spark):
     df = spark.sql("SELECT 1L id, 'a' mention, TIMESTAMP '1969-12-31 23:59:30' created_at")
     assert members(collect.sliding_collect(df, record())) == direct(df, True)
+
+
+def test_bounds_by_binary_search(spark):
+    rng = random.Random(2)
+    rows = [(n, sorted(rng.randint(-5, 20) for _ in range(n)), b) for n in (0, 1, 2, 3, 7, 8, 100) for b in range(-7, 23)]
+    df = spark.createDataFrame(rows, "n int, at array<long>, bound long")
+    items = df.withColumn("items", F.transform("at", lambda a: F.struct(a.alias("at"))))
+    for r in items.select("at", "bound", collect._below(F.col("items"), F.col("bound")).alias("found")).collect():
+        assert r.found == sum(a < r.bound for a in r.at)

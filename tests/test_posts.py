@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mentionflow.operators import lookup, posts
+from mentionflow.operators import bloom, lookup, posts
 from mentionflow.schemas import POSTS
 from mentionflow.sources.posts import readable_posts, unreadable_posts
 from mentionflow.sinks import reports
@@ -105,6 +105,30 @@ def test_large_dictionaries_give_the_same_rows(frame):
     assert sorted(r.id for r in tracked.collect()) == sorted(r.id for r in posts.tracked_by_mention(frame, handles).collect())
 
 
+@pytest.mark.parametrize("most_bits", [1 << 23, 1 << 10])
+def test_a_bloom_filter_keeps_every_key(spark, most_bits):
+    keys = spark.range(0, 3000, 3).union(spark.sql("SELECT CAST(NULL AS LONG)")).withColumnRenamed("id", "k")
+    may_have = bloom.bloom_filter(keys, "k", most_bits)
+    rows = spark.range(3000).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    passed = {r.id for r in rows.where(may_have(F.col("id"))).collect()}
+    assert passed >= {None, *range(0, 3000, 3)}
+    assert most_bits == 1 << 10 or len(passed) < 1001 + 100
+    none = bloom.bloom_filter(keys.limit(0), "k")
+    assert rows.where(none(F.col("id"))).count() == 0
+
+
+def test_texts_without_a_hit_are_not_shuffled(spark):
+    rows = [post(i, mentions=[f"h{i}"], text="long text " * 50) for i in range(2000)]
+    frame = spark.createDataFrame(rows, POSTS).repartition(2)
+    keys = spark.createDataFrame([(f"h{i}",) for i in range(0, 2000, 100)], "handle_key string")
+    found = posts.with_hits(frame, keys, 0, {"max_rows": 0})
+    assert sorted(r.id for r in found.select("id").collect()) == list(range(0, 2000, 100))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan.split("Join Inner")[1].lower()  # texts meet the filter below the join
+    passed = posts.bloom_filter(found.select("id"), "id")
+    assert frame.where(passed(F.col("id"))).count() < 60
+
+
 def test_unreadable_posts_are_routed_apart(spark):
     texts = ['{"id": 1, "text": "a"}', "{broken", "", "17", "null", None, '{"id": "x"}', '{"id": 2, "other": 1}', "[1]"]
     raw = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, offset long")

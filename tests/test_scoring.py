@@ -7,6 +7,7 @@ import re
 
 from mentionflow.functions import labels, scoring
 from mentionflow.operators import sentiment
+from mentionflow.sources.labelled import labelled_jdbc
 
 WEIGHTS = {"good": 1, "great": 2, "bad": -1, "awful": -2}
 
@@ -59,7 +60,7 @@ def test_lexicon_table_equals_column_scorer_broadcast_and_salted(spark):
     scorer = scoring.lexicon_scorer(WEIGHTS)
     expected = {r.id: r.score for r in sentiment.score_text(df, scorer=scorer, name="score").collect()}
     for bounds in ({}, {"max_rows": 1}):
-        found = sentiment.score_by_lexicon_table(df, lexicon, **bounds).collect()
+        found = sentiment.score_by_lexicon_table(df, lexicon, max_literals=0, **bounds).collect()
         assert found[0].asDict().keys() == {"id", "score"} and {r.id: r.score for r in found} == expected
     assert sentiment.lexicon_weights(lexicon) == WEIGHTS
     assert sentiment.lexicon_weights(lexicon, max_rows=2) is None
@@ -71,11 +72,24 @@ def test_lexicon_table_scores_repeated_rows_and_words_once(spark, bounds):
     df = spark.createDataFrame(rows, "id long, text string")
     lexicon = spark.createDataFrame(list(WEIGHTS.items()) * 2, "word string, weight int")
     expected = sentiment.score_text(df, scorer=scoring.lexicon_scorer(WEIGHTS), name="score")
-    found = sentiment.score_by_lexicon_table(df, lexicon, **bounds)
+    found = sentiment.score_by_lexicon_table(df, lexicon, max_literals=0, **bounds)
     key = lambda df: sorted(((r.id, r.score) for r in df.collect()), key=str)
     assert key(found) == key(expected)
 
 
+def test_ranges_of_a_database_table_need_bounds(spark):
+    with pytest.raises(ValueError, match="bounds"):
+        labelled_jdbc(spark, "jdbc:none:", split_on="id")
+
+
+def test_a_small_lexicon_is_scored_within_the_row(spark):
+    texts = spark.createDataFrame([(1, "Good. bad bad!"), (2, None), (3, ""), (4, "..."), (5, "good good good")], "id long, text string")
+    words = spark.createDataFrame([("good", 1), ("bad", -1), ("bad", -2)], "word string, weight int")
+    within, joined = (sentiment.score_by_lexicon_table(texts, words, max_literals=n) for n in (2000, 0))
+    assert sorted(map(tuple, within.collect())) == sorted(map(tuple, joined.collect()))
+    assert "Exchange" not in within._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
     folder = str(tmp_path)
 
