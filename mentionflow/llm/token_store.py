@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mentionflow.llm import range_coder
+from mentionflow.llm.pieces import distinct_pieces, gathered
 from mentionflow.llm.wordhash import slices
 from mentionflow.session import checkpointed
 
@@ -62,22 +63,6 @@ class PieceEncoder:
         )
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.begins = np.zeros(256, bool)  # bytes that begin a character which is no white space
-        self.begins[0x21:0x7F] = self.begins[0xC3:0xE0] = self.begins[0xE4:0xF5] = True
-
-    def _pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """(pieces, number of the first piece of each text and behind the last)"""
-        texts = texts.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        cut = np.zeros(len(data) + 1, bool)
-        if self.cuttable and len(data):
-            cut[: len(data) - 1] = (data[:-1] == 0x20) & self.begins[data[1:]]
-        cut[offsets] = True
-        cuts = np.flatnonzero(cut)
-        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data))
-        return pieces.dictionary_encode(), np.searchsorted(cuts, offsets)
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, packed."""
@@ -92,17 +77,8 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's)"""
-        pieces, first = self._pieces(texts)
-        if not len(pieces):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        packed = self._known(pieces.dictionary.to_pylist())
-        sizes = np.array([len(p) >> 2 for p in packed], np.int64)
-        ids = np.frombuffer(b"".join(packed), "<u4")
-        at = pieces.indices.to_numpy()
-        lengths = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
-        return ids[np.repeat(shift, lengths) + np.arange(ends[-1])], np.diff(ends[first])
+        pieces, first = distinct_pieces(texts, self.cuttable)
+        return gathered(self._known(pieces.dictionary.to_pylist()), pieces, first)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
