@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of any length kept
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 # Candidates of the structural checks.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 # Between two lines: a break or an escape of one, with indentation and quotes about it.
 _EDGE = r"""[\x20\t"',>#*]{0,64}"""
@@ -47,8 +47,13 @@ LINE_BREAK = re.compile(rf"{_EDGE}(?:(?:\\+r)?\\+n(?:{_EDGE}{_PLUS})?{_EDGE}|{_P
 # How keys and PEM files begin in base64: a sequence of short or long length, OpenSSH's magic, dashes.
 KEY_START = re.compile(r"M[A-I]|b3BlbnNzaC|LS0tLS1CRUdJTi")
 KEY_LETTERS = 40
+KEY_BYTES = 1 << 16  # far more than keys of any kind in use have
+KEY_PARTS = (b"\x02", b"\x30")  # a key begins with a version or with its algorithm
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+PADDING = re.compile("={0,2}")
+PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----\s*")
+OPENSSH = b"openssh-key-v1\0"
 
 SCHEMA = T.ArrayType(
     T.StructType([
@@ -133,10 +138,9 @@ def der_size(data: bytes) -> int | None:
 
 def openssh_size(data: bytes) -> int | None:
     """How many bytes a private key in OpenSSH's framing takes: magic, then length-prefixed strings."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(OPENSSH):
         return None
-    at, strings = len(magic), 3  # cipher, key derivation, its options
+    at, strings = len(OPENSSH), 3  # cipher, key derivation, its options
     for part in (0, 1):
         for _ in range(strings):
             at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -162,89 +166,113 @@ def signed_token(text: str) -> bool:
     return bool(signature) != (first["alg"].lower() == "none")
 
 
-def confirmed_key(candidate: str) -> tuple[str, int] | None:
-    """The kind of key that a run of base64 letters begins with, and where in the run it ends.
-
-    The run may hold further lines; the key must end where one of them does."""
-    lines = [m.span() for m in re.finditer(r"[^\r\n=]+", candidate)]
-    letters = "".join(candidate[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
-    usable = letters[: len(letters) - (len(letters) % 4 == 1)]
-    data = base64.b64decode(usable + "=" * (-len(usable) % 4))
-    kind, size = "openssh_key", openssh_size(data)
-    if size is None:
-        kind, size = None, der_size(data)
-    if size is None or size > len(data):
-        return None
-    left = -(-size * 4 // 3)
-    for a, b in lines:
-        left -= b - a
-        if left <= 0:
-            break
-    kind = kind or key_kind(data[:size])
-    if left or kind is None:
-        return None
-    return kind, b + re.match("={0,2}", candidate[b:]).end()
-
-
-def _lines(text: str, at: int, need: int) -> list[tuple[int, int]]:
-    """Spans of the lines of base64 letters from ``at`` on, until they have ``need`` letters."""
-    lines, m = [], LETTERS.match(text, at, at + need + 1)  # one more tells that the line goes on
-    while m:
-        lines.append(m.span())
-        need -= m.end() - m.start()
-        gap = LINE_BREAK.match(text, m.end()) if need > 0 else None
-        m = gap and LETTERS.match(text, gap.end(), gap.end() + need + 1)
-    return lines
-
-
-def _decoded(text: str, lines: list[tuple[int, int]]) -> bytes:
-    letters = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
-    return base64.b64decode(letters[: len(letters) // 4 * 4] + {2: letters[-2:] + "==", 3: letters[-3:] + "="}.get(len(letters) % 4, ""))
-
-
-def _end(text: str, lines: list[tuple[int, int]], size: int, whole: bool) -> int | None:
-    """Where ``size`` decoded bytes end in ``text``; None if a line must end there and doesn't."""
-    left = -(-size * 4 // 3)
-    for a, b in lines:
-        if left <= b - a:
-            return None if whole and left < b - a else a + left + len(re.compile("={0,2}").match(text, a + left)[0])
-        left -= b - a
-    return None
+class _Run:
+    """Letters of base64 in lines that belong together, from the first start of a key in them on. They are
+    decoded once for each place that a group of four may begin at, however many keys seem to begin there."""
+
+    def __init__(self, text: str, at: int) -> None:
+        self.text, self.lines = text, []
+        m = LETTERS.match(text, at)
+        while m:
+            self.lines.append(m.span())
+            gap = LINE_BREAK.match(text, m.end())
+            m = gap and LETTERS.match(text, gap.end())
+        self.first = [0]  # number of the first letter of each line
+        for a, b in self.lines:
+            self.first.append(self.first[-1] + b - a)
+        self.letters = "".join(text[a:b] for a, b in self.lines).replace("-", "+").replace("_", "/")
+        self.decoded: dict[int, bytes] = {}
+        self.inner: dict[int, tuple[list, list]] = {}
+
+    def number(self, at: int) -> int | None:
+        """The number of the letter at ``at`` in the text."""
+        line = bisect_right(self.lines, (at, len(self.text))) - 1
+        if line < 0 or at >= self.lines[line][1]:
+            return None
+        return self.first[line] + at - self.lines[line][0]
+
+    def bytes_from(self, letter: int) -> tuple[bytes, int]:
+        """(what the letters encode, and where in it what ``letter`` begins is)"""
+        shift = letter % 4
+        if shift not in self.decoded:
+            letters = self.letters[shift:]
+            rest = {2: letters[-2:] + "==", 3: letters[-3:] + "="}.get(len(letters) % 4, "")
+            self.decoded[shift] = base64.b64decode(letters[: len(letters) // 4 * 4] + rest)
+        return self.decoded[shift], (letter - shift) // 4 * 3
+
+    def pem(self, letter: int) -> tuple[list, list]:
+        """(keys, ends of PEM texts) in the text that the letters encode, from that beginning on."""
+        data, at = self.bytes_from(letter)
+        shift = letter % 4
+        if shift not in self.inner:
+            inner = data.decode("latin-1")
+            self.inner[shift] = keys(inner, nested=False), [m.end() for m in PEM_END.finditer(inner)]
+        found, ends = self.inner[shift]
+        return [k for k in found if k[1] >= at], [e for e in ends if e > at]
+
+    def end(self, letter: int, size: int, whole: bool) -> int | None:
+        """Where ``size`` bytes encoded from ``letter`` on end in the text; None if a line must end there
+        and doesn't."""
+        last = letter + -(-size * 4 // 3)
+        if last > self.first[-1]:
+            return None
+        line = bisect_right(self.first, last - 1) - 1
+        a, b = self.lines[line]
+        at = a + last - self.first[line]
+        if whole and at < b:
+            return None
+        return at + len(PADDING.match(self.text, at)[0])
 
 
 def keys(text: str, nested: bool = True) -> list[tuple[str, int, int]]:
     """Encoded keys that begin anywhere in a run of letters, in lines joined in any of the known ways;
     with ``nested`` also keys in encoded PEM files."""
-    found, at = [], 0
+    found, at, run = [], 0, None
     while m := KEY_START.search(text, at):
         start, at = m.start(), m.start() + 1
+        letter = None if run is None else run.number(start)
+        if letter is None:
+            run, letter = _Run(text, start), 0
+        data, place = run.bytes_from(letter)
+        kind = end = None
         if m[0][0] == "M":
-            size = der_size(_decoded(text, _lines(text, start, 8))[:6])
-            need = -(-size * 4 // 3) if size else 0
-            if not KEY_LETTERS <= need <= len(text) - start:
+            size = der_size(data[place : place + 6])
+            if not size or size > KEY_BYTES or -(-size * 4 // 3) < KEY_LETTERS:
                 continue
-            lines = _lines(text, start, need)
-            kind = None if (end := _end(text, lines, size, True)) is None else key_kind(_decoded(text, lines)[:size])
-        elif m[0][0] == "b":
-            head = _decoded(text, _lines(text, start, 28))[:19]
-            if not head.startswith(b"openssh-key-v1\0") or int.from_bytes(head[15:], "big") > len(text):
+            length = data[place + 1]
+            if data[(first := place + 2 + (length & 0x7F if length & 0x80 else 0)) : first + 1] not in KEY_PARTS:
                 continue
-            lines = _lines(text, start, len(text))
-            size = openssh_size(_decoded(text, lines))
-            kind, end = "openssh_key", size and _end(text, lines, size, True)
-        else:
-            lines = _lines(text, start, len(text)) if nested else []
-            inner = _decoded(text, lines).decode("latin-1")
-            inside = keys(inner, nested=False)
-            kind = inside[0][0] if inside else None
-            ends = [x[2] for x in inside] + [x.end() for x in re.finditer(r"-----END [A-Z0-9 ]+-----\s*", inner)]
-            end = _end(text, lines, max(ends), False) if inside else None
+            if (end := run.end(letter, size, True)) is not None:
+                kind = key_kind(data[place : place + size])
+        elif m[0][0] == "b":
+            if data.startswith(OPENSSH, place) and (size := openssh_size(data[place : place + KEY_BYTES])) is not None:
+                kind, end = "openssh_key", run.end(letter, size, True)
+        elif nested:
+            inside, ends = run.pem(letter)
+            if inside:
+                kind, end = inside[0][0], run.end(letter, max([k[2] for k in inside] + ends) - place, False)
         if kind and end:
             found.append((kind, start, end))
             at = end
     return found
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of three parts with dots between them, the first of which begins like a JSON object."""
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at, i = m.start(), 0
+        while i + 2 < len(parts):
+            begin = parts[i].find("eyJ")
+            if 0 <= begin <= len(parts[i]) - 11 and len(parts[i + 1]) >= 2:
+                size = sum(map(len, parts[i : i + 3])) + 2
+                if signed_token(text[at + begin : at + size]):
+                    yield at + begin, at + size
+                at, i = at + size + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret of ``text``, by start, then by kind."""
     if not text:
@@ -252,18 +280,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    known = []
-    for m in BASE64_RUN.finditer(text):
-        # DER keys begin with a sequence, 0x30, which is M in base64; OpenSSH keys with their magic
-        if m[0][0] in "Mb" and (key := confirmed_key(m[0])):
-            known.append((key[0], m.start(), m.start() + key[1]))
-    found += known
-    found += [k for k in keys(text) if not any(k[1] < b and a < k[2] for _, a, b in known)]
+    found += keys(text)
     for m in HEX_RUN.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))
     if "eyJ" in text:
-        found += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if signed_token(m[0])]
+        found += [("signed_token", *span) for span in signed_tokens(text)]
     rank = KINDS.index
     return sorted(set(found), key=lambda s: (s[1], rank(s[0]), s[2]))
 

@@ -3,6 +3,9 @@ import hashlib
 import json
 import random
 import re
+import time
+
+import pytest
 
 from mentionflow.llm import secret_scan as s
 from mentionflow.llm.queries import QUERIES
@@ -43,10 +46,11 @@ def base(text):
     return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
 
 
-def test_documents_equal_brute_force(spark, sf_dir):
+def test_documents_equal_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smaller table holds no secret
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op6_secret_scan"](spark, sf_dir).collect()
-    assert len(rows) == len(texts)
+    assert len(rows) == len(texts) and any(r.spans for r in rows)
     for r in rows:
         want = base(texts[r.doc_id])
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
@@ -120,3 +124,31 @@ def test_redaction_and_odd_rows(spark):
     assert all(r.secrets == [] for r in rows if r.doc_id != 1) and len(rows) == 5
     assert [r.text for r in rows if r.doc_id == 2] == [None] and s.redact("clean") == "clean"
     assert s.scanned(df.limit(0)).count() == 0
+
+
+STARTS = [
+    "LS0tLS1CRUdJTi", "MIIf", "MI", "MH", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n", "MIIf/wIBADAN", "MHcCAQ",
+    "b3BlbnNzaC", "b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi\n", "eyJ", "eyJhbGci.", "30820", "token = ", "AKIA",
+]
+
+
+@pytest.mark.parametrize("start", STARTS)
+def test_time_follows_the_length_of_a_text(start):
+    def seconds(size):
+        text = start * (size // len(start))
+        began = time.process_time()
+        s.spans(text)
+        return time.process_time() - began
+
+    assert min(seconds(1_000_000) for _ in range(2)) < 4  # each start alone would decode all that follows
+
+
+def test_tokens_within_dotted_words():
+    def part(x):
+        return base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'a'})}.c2ln"
+    for text, at in ((f"a.b.{token}", 4), (f"x{token}.more", 1), (f"eyJ.{token} {token}", 4), (f"..{token}", 2)):
+        found = [x for x in s.spans(text) if x[0] == "signed_token"]
+        assert found[0] == ("signed_token", at, at + len(token))
+    assert len([x for x in s.spans(f"{token}.{token}") if x[0] == "signed_token"]) == 2
