@@ -159,6 +159,18 @@ def _compared(near: Near):
     return product
 
 
+def _same_ids(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b): ties from ids that several vectors share to the classes of all of them."""
+    mine = rows.filter("usable").select("vec_id", "of")
+    key = F.xxhash64("of")
+    several = mine.groupBy("vec_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low != high").select("vec_id")
+    several = checkpointed(several)
+    if not several.head(1):
+        return rows.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).limit(0)
+    classes = vectors.select(F.struct("label", "v").alias("of"), F.col("id").alias("b"))
+    return mine.join(several, "vec_id").join(classes, "of").select(F.col("vec_id").alias("a"), "b").distinct()
+
+
 def grouped(
     df: DataFrame, near: Near = Near(), vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label"
 ) -> DataFrame:
@@ -175,7 +187,8 @@ def grouped(
     found = checkpointed(dealt.groupBy(*cell, "i", "j").applyInArrow(_compared(near), "id long, links long, root long"))
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_same_ids(rows, vectors))
+    labels = connected_components(edges)
     # ids that several vectors share, being repeated, join their groups
     named = vectors.select("label", "v", "id", "copies").join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = named.select(

@@ -64,3 +64,11 @@ def test_odd_rows(spark):
     again = e.grouped(spark.createDataFrame(rows[:2] * 2 + [(None, [1.0, 0.0], 1, "x")], schema)).collect()
     assert sorted((str(r.vec_id), str(r.component_id)) for r in again) == [("1", "1"), ("1", "1"), ("2", "1"), ("2", "1"), ("None", "None")]
     assert e.grouped(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_an_id_with_several_vectors_joins_their_groups(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (8, c, "x"), (8, c, "x"), (9, c, "y"), (8, b, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {(r.vec_id, r.component_id) for r in e.grouped(df).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 9)}
