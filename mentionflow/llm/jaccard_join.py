@@ -302,6 +302,18 @@ def _prepared(df: DataFrame, join: Join, doc_id: str, text: str) -> tuple[DataFr
     return facts, classes, suspects, compacted(index, index.count())
 
 
+def _same_ids(facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): ties between the classes of ids that several texts share."""
+    mine = facts.filter("n > 0 and id is not null").select("id", "k1", "k2")
+    several = mine.groupBy("id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("k1", "k2")])
+    several = checkpointed(several.filter("min_k1 != max_k1 or min_k2 != max_k2").select("id"))
+    if not several.head(1):
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    nodes = mine.join(several, "id").distinct().join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
+    least = nodes.groupBy("id").agg(F.min("node").alias("a"))
+    return nodes.join(least, "id").filter("node != a").select("a", F.col("node").alias("b"))
+
+
 def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The whole join: (a, b), a < b, for every linked pair of different sets, by their least ids."""
     _, _, suspects, index = _prepared(df, join, doc_id, text)
@@ -322,7 +334,7 @@ def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: st
     long = F.col("minors") * F.col("members") > join.pair_rows
     few = _verified(_cross_pairs(entries.filter(~long), join), suspects, join)
     many = _family_links(entries.filter(long).select("token", "node", "c"), suspects, join)
-    labels = connected_components(links.union(few).union(many))
+    labels = connected_components(links.union(few).union(many).union(_same_ids(facts, classes)))
     nodes = classes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the name of a component is its least real id, not a hash
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

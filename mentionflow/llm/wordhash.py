@@ -1,9 +1,10 @@
 """Words of whole Arrow texts and hashes of runs of words, computed on the UTF-8 bytes.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. All separators are ASCII, so words can be cut from the bytes.
-A word's hash is a polynomial over a random number per byte, modulo 2**64, and the hash of a run
-of words is a polynomial over word hashes, mixed at the end. Two keys with separate constants
-give 128 bits where a run is identified by its hash alone.
+A word's hash is a sum of numbers, one for each byte and its place in the word, all bits of them
+mixed: a plain polynomial modulo 2**64 would give words that alternate in a certain way the same hash under
+any key. The hash of a run of words is a polynomial over word hashes, mixed at the end; runs are short.
+Two keys with separate constants give 128 bits where a run is identified by its hash alone.
 """
 
 from __future__ import annotations
@@ -42,17 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(max(n, 1), np.uint64)
-    out[0], filled = 1, 1
-    while filled < n:
-        step = np.uint64(pow(int(base), filled, 1 << 64))
-        take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * step
-        filled += take
-    return out
-
-
 @dataclass
 class Words:
     """Words of some texts: ``first[i]:first[i + 1]`` are the words of text i."""
@@ -67,15 +57,17 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, key: int) -> np.ndarray:
-        table, multiplier, _ = KEYS[key]
+        table, step, _ = KEYS[key]
         n = len(self.data)
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        begin = np.zeros(n, np.int64)
+        begin[self.start] = self.start
+        place = (np.arange(n) - np.maximum.accumulate(begin)).astype(np.uint64)  # of a byte in its word
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.data] * _powers(multiplier, n), out=sums[1:])
-        back = _powers(pow(int(multiplier), -1, 1 << 64), n)
+        np.cumsum(mix(table[self.data] + place * step), out=sums[1:])
         length = (self.end - self.start).astype(np.uint64)
-        return mix((sums[self.end] - sums[self.start]) * back[self.start] + length)
+        return mix(sums[self.end] - sums[self.start] + length)
 
     def runs(self, size: int, key: int) -> tuple[np.ndarray, np.ndarray]:
         """(word index of the start, hash) of each run of ``size`` words within one text."""

@@ -6,6 +6,7 @@ from mentionflow.llm import jaccard_join
 from mentionflow.llm.components import connected_components
 from mentionflow.llm.queries import QUERIES
 from tests.llm import brute
+from tests.llm.test_substring_dedup import alternating
 
 
 def want_of(rows):
@@ -79,3 +80,18 @@ def test_components(spark):
     want = brute.components({x for p in pairs for x in p}, pairs)
     used = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == {n: c for n, c in want.items() if n in used}
+
+
+def test_alternating_words_are_not_shared(spark):
+    one, other = alternating("ab", 9), alternating("ba", 9)
+    rows = [(1, f"{one} b c d e"), (2, f"{other} b c d e"), (3, f"{one} b c d e")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_an_id_with_several_texts_joins_their_groups(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(12)) for x in "abcd"}
+    rows = [(3, texts["a"]), (5, texts["a"]), (5, texts["b"]), (7, texts["b"]), (8, texts["c"]), (8, None), (9, texts["d"]), (8, texts["d"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.grouped(df).filter("n_shingles > 0").collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8)}

@@ -1,8 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pytest
+
 from mentionflow.llm import substring_dedup
 from mentionflow.llm.queries import QUERIES
+from mentionflow.llm.wordhash import words_of
 from tests.llm import brute
 
 
@@ -34,3 +38,22 @@ def test_odd_rows(spark):
         assert (got[i].dedup.n_words, got[i].dedup.kept) == (n, " ".join(kept)), rows[i]
         assert got[i].text == rows[i][1]
     assert substring_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def alternating(letters, bits):
+    """The word of 2^bits letters that a number of ones, even or odd, gives at each place."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", [9, 12])
+def test_words_that_alternate_have_hashes_of_their_own(spark, bits):
+    one, other = alternating("ab", bits), alternating("ba", bits)
+    words = words_of(pa.array([f"{one} {other} {one}"]))
+    for key in (0, 1):
+        first, second, third = words.hashes(key)
+        assert first == third != second
+    text = " ".join([one] + ["w"] * 25)
+    rows = [(1, text), (2, text.replace(one, other)), (3, " ".join(["v"] * 3 + [one, *"abcdefghijklmnopqrs"])), (4, " ".join([other, *"abcdefghijklmnopqrs"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.dedup.n_words, r.dedup.kept.split(" ") if r.dedup.kept else []) for r in substring_dedup.deduplicated(df).collect()}
+    assert got == {d: x for (d, _), x in zip(rows, brute.substring_kept(rows), strict=True)}
