@@ -314,6 +314,10 @@ def _same_ids(facts: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(least, "id").filter("node != a").select("a", F.col("node").alias("b"))
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The whole join: (a, b), a < b, for every linked pair of different sets, by their least ids."""
     _, _, suspects, index = _prepared(df, join, doc_id, text)
@@ -323,18 +327,19 @@ def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
 def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``df``: doc_id, n_shingles and component_id, the least id reachable by links."""
     facts, classes, suspects, index = _prepared(df, join, doc_id, text)
-    links, labels = None, None
+    labels = None
     for step in range(join.star_rounds):
+        # components so far are stars of a class and its name, so earlier links needn't be run through again
         new = _verified(_star_pairs(_labelled(index, labels), join, step), suspects, join)
-        links = checkpointed(new if links is None else links.union(new))
-        links = compacted(links, links.count())
-        labels = connected_components(links)
+        links = checkpointed(new if labels is None else new.union(_stars(labels)))
+        labels = connected_components(compacted(links, links.count()))
     entries = checkpointed(_with_major(_labelled(index, labels), "token"))
     entries = compacted(entries, entries.count())
     long = F.col("minors") * F.col("members") > join.pair_rows
     few = _verified(_cross_pairs(entries.filter(~long), join), suspects, join)
     many = _family_links(entries.filter(long).select("token", "node", "c"), suspects, join)
-    labels = connected_components(links.union(few).union(many).union(_same_ids(facts, classes)))
+    links = _stars(labels).union(few).union(many).union(_same_ids(facts, classes))
+    labels = connected_components(links)
     nodes = classes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the name of a component is its least real id, not a hash
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
