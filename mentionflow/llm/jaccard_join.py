@@ -226,6 +226,22 @@ def _cross_pairs(entries: DataFrame, join: Join) -> DataFrame:
     return pairs.filter("matches >= m")
 
 
+def _spanned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each end of the links (a, b) to the least end it is connected with: no more than ends."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, least = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        lower = least.copy()
+        np.minimum.at(lower, x, least[y])
+        np.minimum.at(lower, y, least[x])
+        lower = lower[lower]
+        if np.array_equal(lower, least):
+            break
+        least = lower
+    moved = least != np.arange(len(names))
+    return names[least[moved]], names[moved]
+
+
 def _products(join: Join):
     """Compares a block of minors with a block of a family by chunked products of their sets."""
 
@@ -250,7 +266,8 @@ def _products(join: Join):
         i, j = np.nonzero(linked)
         # one link from a class to each component is enough
         _, first = np.unique(np.stack([i, parts[others][j]]), axis=1, return_index=True)
-        return pa.table({"a": nodes[rows][i[first]], "b": nodes[others][j[first]]})
+        a, b = _spanned(nodes[rows][i[first]], nodes[others][j[first]])
+        return pa.table({"a": a, "b": b})
 
     return compare
 
