@@ -3,12 +3,13 @@
 1. Character n-grams of the highest order are counted over all learned documents: within tasks by
    hash, then by a shuffle of (language, n-gram). Lower orders need no counts of their own, as
    Kneser-Ney takes from the n-grams how many different letters come before a shorter one.
-2. A model keeps every n-gram. Up to MAX_NGRAMS in all languages together it is fitted on the driver
-   and sent to all tasks: each order is a sorted array of hashes with a row of log-probabilities, a
-   column per language, interpolated down to single letters.
-3. A larger model stays a table. A log-probability is a sum over the n-gram's suffixes and their
+2. A model keeps every n-gram. The log-probability of an n-gram is a sum over its suffixes and their
    contexts: what a context leaves to the order below, and what a seen n-gram gains over that. These
-   terms are rows, computed by joins; the terms of a text are joined with them and summed.
+   terms are rows, computed by joins, of a number that the corpus sets.
+3. They are written to the shared folder as segments by the leading bits of their hashes: sorted arrays
+   of hashes, and for each the weights of the languages that have it. The session hands the files to
+   every executor, where workers map them, so pages are shared and read as needed: one path at any size.
+   A worker holds the sums of the n-grams it met lately, HELD numbers at most.
 4. A text's cross-entropy per letter is summed over its n-grams; the lowest wins. A share of the
    learned documents is not counted but calibrates: the scale that turns differences of entropy
    into a probability, and per language the entropy above which a text is marked as rejected.
@@ -22,28 +23,30 @@ that are repeated count repeatedly; other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.llm.wordhash import mix, slices
-from mentionflow.session import checkpointed
+from mentionflow.session import checkpointed, scratch_path
 
 ORDER = 4
-MAX_NGRAMS = 400_000  # of a model in memory; a larger one is a table
-MAX_VALUES = 1 << 24  # n-grams times languages, in memory
 MAX_LANGUAGES = 500
 FOLDS = 5  # fold 0 is held out
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 REJECT_SHARE = 0.999
 UNKNOWN = "und"
 PENDING = 400_000  # distinct n-grams held by a task
-CONTEXT = "<"  # leads the name of a context, which no letter equals
-OFTEN, SALTS = 1024, 64  # a term of one position in OFTEN or more is dealt to SALTS keys
+SEGMENT_ROWS = 1 << 20  # weights in a segment of the model, about
+HELD = 1 << 22  # log-probabilities that a worker holds,
+RUN = 1 << 21  # and those of n-grams scored at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_CONTEXT = np.uint64(0xA24BAED4963EE407)
 
 
 def fold(doc_id: Column) -> Column:
@@ -112,19 +115,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-@dataclass
-class Level:
-    """n-grams of one order: sorted hashes, log-probabilities, and what their contexts leave over."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    left: np.ndarray  # log of the mass that a context leaves to the order below, 0 if it was not seen
-
-    def __post_init__(self) -> None:
-        self.starts = tuple(_starts(k) for k in (self.keys, self.contexts))
-
-
 def _starts(keys: np.ndarray) -> tuple[int, np.ndarray]:
     bits = max(1, int(len(keys)).bit_length())
     return bits, np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
@@ -147,48 +137,6 @@ def lookup(keys: np.ndarray, starts: tuple[int, np.ndarray], wanted: np.ndarray)
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    levels: list[Level]  # of orders 1 to ORDER
-    floor: float  # log-probability of a letter never seen
-    scale: float = 8.0
-    limits: tuple[float, ...] = ()
-
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Cross-entropy per letter, in nats: a row per text, a column per language."""
-        codes, ends = codes_of(texts)
-        n = len(codes) - ORDER + 1
-        top = self.levels[-1]
-        place = lookup(top.keys, top.starts[0], hashes(codes, ORDER))
-        total = top.logp[place]
-        rest = np.flatnonzero(place < 0)
-        total[rest] = 0
-        for order in range(ORDER, 0, -1):  # what is not found goes on one order below
-            if not len(rest):
-                break
-            level = self.levels[order - 1]
-            skip = ORDER - order
-            if order < ORDER:
-                grams = hashes_at(codes, rest + skip, order)
-                place = lookup(level.keys, level.starts[0], grams)
-                found = place >= 0
-                total[rest[found]] += level.logp[place[found]]
-                rest = rest[~found]
-            if order > 1:
-                context = lookup(level.contexts, level.starts[1], hashes_at(codes, rest + skip, order - 1))
-                seen = context >= 0
-                total[rest[seen]] += level.left[context[seen]]
-        total[rest] += self.levels[0].left[0] + self.floor  # the empty context
-        starts = np.concatenate([[0], ends[:-1]])
-        lengths = ends - starts - (ORDER - 1)
-        sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(total, axis=0, dtype=np.float64)])
-        if n <= 0:
-            return np.zeros((0, len(self.languages)))
-        # rounded, as the last digits depend on the texts before, and a limit is the entropy of some text
-        return np.round(-(sums[starts + lengths] - sums[starts]) / lengths[:, None], 9)
-
-
 def hashes_at(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     total = codes[at].astype(np.uint64) + np.uint64(order)
     for j in range(1, order):
@@ -197,90 +145,44 @@ def hashes_at(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return mix(total)
 
 
-def fitted(langs: list[str], grams: list[str], counts: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney models from counts of n-grams of the highest order."""
-    languages = sorted(set(langs))
-    column = np.searchsorted(np.array(languages), np.array(langs))
-    codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    tables = {}  # order: (codes, counts by language)
-    unique, inverse = np.unique(codes, axis=0, return_inverse=True)
-    table = np.zeros((len(unique), len(languages)))
-    np.add.at(table, (inverse.reshape(-1), column), counts)
-    tables[ORDER] = unique, table
-    for order in range(ORDER - 1, 0, -1):
-        above, table = tables[order + 1]
-        unique, inverse = np.unique(above[:, 1:], axis=0, return_inverse=True)
-        fewer = np.zeros((len(unique), len(languages)))
-        np.add.at(fewer, inverse.reshape(-1), table > 0)  # how many letters come before it
-        tables[order] = unique, fewer
-    floor = -np.log(len(tables[1][0]) + 1.0)
-    below = np.full((1, len(languages)), np.exp(floor))
-    below_keys = None
-    levels = []
-    for order in range(1, ORDER + 1):
-        unique, table = tables[order]
-        contexts, of = np.unique(unique[:, :-1], axis=0, return_inverse=True) if order > 1 else (np.zeros((1, 0), np.uint32), np.zeros(len(unique), int))
-        of = of.reshape(-1)
-        once, twice = (table == 1).sum(axis=0), (table == 2).sum(axis=0)
-        discount = np.where(once * twice > 0, once / np.maximum(once + 2 * twice, 1), 0.75)
-        total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
-        np.add.at(total, of, table)
-        np.add.at(kinds, of, table > 0)
-        seen = total > 0
-        left = np.where(seen, discount * kinds / np.where(seen, total, 1), 1.0)
-        own = np.maximum(table - discount, 0) / np.where(seen, total, 1)[of]
-        if below_keys is None:
-            lower = np.broadcast_to(below, table.shape)
-        else:
-            lower = below[np.searchsorted(below_keys, _hash_rows(unique[:, 1:]))]
-        p = own + left[of] * lower
-        keys = _hash_rows(unique)
-        by = np.argsort(keys)
-        context_keys = _hash_rows(contexts) if order > 1 else np.zeros(1, np.uint64)
-        cby = np.argsort(context_keys)
-        levels.append(Level(keys[by], np.log(p[by]).astype(np.float32), context_keys[cby], np.log(left[cby]).astype(np.float32)))
-        below, below_keys = p[by], keys[by]
-    return Model(languages, levels, float(floor))
+def keys_at(codes: np.ndarray, at: np.ndarray, length: int, context: bool) -> np.ndarray:
+    """Key of the n-gram, or of the context, of some length that starts at each place."""
+    found = hashes_at(codes, at, length) if length else np.zeros(len(at), np.uint64)
+    return found ^ _CONTEXT if context else found
 
 
-def _hash_rows(codes: np.ndarray) -> np.ndarray:
-    flat = np.ascontiguousarray(codes).reshape(-1)
-    return hashes_at(flat, np.arange(len(codes)) * codes.shape[1], codes.shape[1])
+# --- the model: terms as rows, then sorted arrays in files ---------------------------------------------
 
 
 @dataclass
-class Spread:
-    """A model as a table, of any size."""
-
+class Model:
     languages: list[str]
-    terms: DataFrame  # feature, salt, and the weights of the languages that have it
-    often: list[str]  # features with more than one salt
+    files: tuple[str, ...]  # names of the files, as the session hands them to executors
+    bits: int  # leading bits of a key that tell its segment
     scale: float = 8.0
     limits: tuple[float, ...] = ()
 
 
-def _spread(counts: DataFrame, languages: list[str]) -> Spread:
-    """The model of ``fitted`` as a table, from all counts: lang, gram, n.
+def _terms(counts: DataFrame) -> DataFrame:
+    """(lang, gram, length, context, weight) of the model, from all counts: lang, gram, n.
 
-    A feature is an n-gram or a context; its weights are summed over a text's positions."""
-    tables = {ORDER: counts.withColumn("seen", F.col("n"))}  # n: as Kneser-Ney counts it; seen: in the texts
+    The log-probability of an n-gram in a language is the sum of the weights of its suffixes and of
+    their contexts: what a context leaves to the order below, and what a seen n-gram gains over that."""
+    tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
         shorter = F.substring("gram", 2, order).alias("gram")
-        fewer = tables[order + 1].groupBy("lang", shorter).agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
-        tables[order] = checkpointed(fewer)
-    floor = -float(np.log(tables[1].select("gram").distinct().count() + 1.0))
+        tables[order] = checkpointed(tables[order + 1].groupBy("lang", shorter).agg(F.count("*").alias("n")))
+    floor = -float(np.log(tables[1].select("gram").distinct().count() + 1.0))  # of a letter never seen
     below, parts = None, []
     for order in range(1, ORDER + 1):
         ones = tables[order].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
         discount = F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.75)
-        rows = tables[order].join(F.broadcast(ones.select("lang", discount.alias("discount"))), "lang")
+        rows = tables[order].join(F.broadcast(ones.select("lang", discount.alias("discount"))), "lang")  # a row per language
         rows = rows.withColumn("context", F.substring("gram", 1, order - 1)).withColumn("suffix", F.substring("gram", 2, order - 1))
-        contexts = rows.groupBy("lang", "context", "discount").agg(
-            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("seen").alias("seen")
-        )
+        contexts = rows.groupBy("lang", "context", "discount").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         left = F.log(F.col("discount") * F.col("kinds") / F.col("total"))
-        contexts = contexts.select("lang", "context", "total", "seen", left.alias("left"))
-        rows = rows.join(contexts.drop("seen"), ["lang", "context"])
+        contexts = contexts.select("lang", "context", "total", left.alias("left"))
+        rows = rows.join(contexts, ["lang", "context"])
         if below is None:
             rows = rows.withColumn("lower", F.lit(floor))
         else:
@@ -288,103 +190,183 @@ def _spread(counts: DataFrame, languages: list[str]) -> Spread:
         own = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
         rows = rows.withColumn("logp", F.log(own + F.exp(F.col("left") + F.col("lower"))))
         gain = F.col("logp") - F.col("left") - F.col("lower")
-        below = checkpointed(rows.select("lang", "gram", "seen", "logp", gain.alias("weight")))
-        parts.append(below.select("lang", F.col("gram").alias("feature"), "seen", "weight"))
+        below = checkpointed(rows.select("lang", "gram", "logp", gain.alias("weight")))
+        parts.append(below.select("lang", "gram", F.lit(order).alias("length"), F.lit(False).alias("context"), "weight"))
         weight = F.col("left") + (floor if order == 1 else 0.0)  # every position has the empty context
-        parts.append(contexts.select("lang", F.concat(F.lit(CONTEXT), "context").alias("feature"), "seen", weight.alias("weight")))
+        parts.append(contexts.select("lang", F.col("context").alias("gram"), F.lit(order - 1).alias("length"), F.lit(True).alias("context"), weight.alias("weight")))
     terms = parts[0]
     for part in parts[1:]:
         terms = terms.union(part)
-    weights = F.collect_list(F.struct("lang", "weight")).alias("weights")  # one per language at most
-    terms = checkpointed(terms.groupBy("feature").agg(F.sum("seen").alias("seen"), weights))
-    positions = counts.agg(F.sum("n")).first()[0]
-    common = F.col("seen") * OFTEN >= positions  # OFTEN n-grams and OFTEN contexts of each order at most
-    often = [r["feature"] for r in terms.filter(common).select("feature").collect()]
-    salts = F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return Spread(languages, terms.select("feature", F.explode(salts).alias("salt"), "weights"), often)
+    return checkpointed(terms)
 
 
-def _features(batches: Iterator[pa.RecordBatch], often: set[str]) -> Iterator[pa.RecordBatch]:
-    """How often each text has each feature."""
+def _keyed(batches: Iterator[pa.RecordBatch], languages: list[str], bits: int) -> Iterator[pa.RecordBatch]:
+    """(segment, key, lang, weight) of terms; a segment holds the keys of some leading bits."""
+    index = {x: i for i, x in enumerate(languages)}
     for batch in batches:
-        for part in slices(batch, "letters"):
-            ids = np.asarray(part["row"])
-            codes, ends = codes_of(part["letters"].to_pylist())
-            crossing = np.zeros(len(codes), bool)
-            for back in range(1, ORDER):
-                crossing[ends - back] = True
-            at = np.flatnonzero(~crossing)
-            text = np.searchsorted(ends, at, side="right")
-            for order in range(1, ORDER + 1):
-                for length, lead in ((order, ""), (order - 1, CONTEXT)):
-                    start = at + ORDER - order
-                    found = hashes_at(codes, start, length) if length else np.zeros(len(at), np.uint64)
-                    _, first, kind = np.unique(found, return_index=True, return_inverse=True)
-                    names = [lead + codes[i : i + length].tobytes().decode("utf-32-le") for i in start[first]]
-                    pairs, n = np.unique(text * len(names) + kind, return_counts=True)
-                    kind, row = pairs % len(names), ids[pairs // len(names)]
-                    hot = np.array([x in often for x in names])
-                    salt = np.where(hot[kind], row % SALTS, 0).astype(np.int32)
-                    feature = pa.array(names, pa.string()).take(pa.array(kind))
-                    yield pa.RecordBatch.from_arrays([pa.array(row), feature, pa.array(salt), pa.array(n)], ["row", "feature", "salt", "n"])
-
-
-def _scored_by_joins(docs: DataFrame, model: Spread, keep: list[str]) -> DataFrame:
-    """``_scored`` with a model that is a table."""
-    often = docs.sparkSession.sparkContext.broadcast(set(model.often))
-    rows = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
-    some = rows.filter("letters <> ''").select("row", "letters")
-    found = some.mapInArrow(lambda batches: _features(batches, often.value), "row long, feature string, salt int, n long")
-    terms = found.join(model.terms, ["feature", "salt"]).select("row", "n", F.explode("weights").alias("w"))
-    sums = terms.groupBy("row", F.col("w.lang").alias("name")).agg(F.sum(F.col("n") * F.col("w.weight")).alias("total"))
-    # every language has a weight of the empty context, so none is missing
-    each = F.collect_list(F.struct((-F.col("total")).alias("e"), "name")).alias("each")
-    scored = rows.join(sums.groupBy("row").agg(each), "row", "left")
-    positions = F.length("letters") + 1
-    # rounded as in memory: the last digits of a sum depend on its order
-    per_letter = lambda x: F.struct(F.round(x["e"] / positions, 9).alias("e"), x["name"].alias("name"))
-    scored = scored.withColumn("each", F.transform("each", per_letter))
-    scored = scored.withColumn("best", F.array_min("each"))
-    above = lambda x: x["e"] - F.col("best.e")
-    mass = lambda s: F.aggregate("each", F.lit(0.0), lambda total, x: total + F.exp(-s * above(x)))
-    limits = [F.lit(v) for pair in zip(model.languages, model.limits, strict=False) for v in pair]
-    rejected = F.coalesce(F.col("best.e") > F.create_map(*limits)[F.col("best.name")], F.lit(False)) if limits else F.lit(False)
-    nll = F.lit(None).cast("array<double>")
-    if "lang" in docs.columns:
-        true = F.filter("each", lambda x: x["name"] == F.col("lang"))
-        nll = F.when(F.size(true) > 0, F.array(*[s * above(F.get(true, F.lit(0))) + F.log(mass(s)) for s in SCALES]))
-    return scored.select(
-        *[f"`{c}`" for c in keep], F.coalesce("best.name", F.lit(UNKNOWN)).alias("lang_pred"),
-        F.coalesce(1 / mass(model.scale), F.lit(0.0)).alias("score"), F.col("best.e").alias("entropy"),
-        rejected.alias("rejected"), nll.alias("nll"),
-    )
-
+        grams = np.array(batch["gram"].to_pylist(), object)
+        length, context = np.asarray(batch["length"]), np.asarray(batch["context"])
+        keys = np.zeros(len(grams), np.uint64)
+        for n, of_context in {(int(n), bool(c)) for n, c in zip(length, context, strict=True)}:
+            mine = np.flatnonzero((length == n) & (context == of_context))
+            codes = np.frombuffer("".join(grams[mine]).encode("utf-32-le"), np.uint32)
+            keys[mine] = keys_at(codes, np.arange(len(mine)) * n, n, of_context)
+        langs = pa.array([index[x] for x in batch["lang"].to_pylist()], pa.int32())
+        segment = pa.array(_segment(keys, bits).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([segment, pa.array(keys.view(np.int64)), langs, batch["weight"]], ["segment", "key", "lang", "weight"])
+
+
+def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """One segment as bytes: three numbers (segment, keys, weights), keys, end of each key's weights,
+    weights, languages; padded so that the next segment is aligned after the line feed of a text file."""
+    keys, langs = np.asarray(table["key"]).view(np.uint64), np.asarray(table["lang"], np.int32)
+    by = np.lexsort((langs, keys))
+    unique, sizes = np.unique(keys, return_counts=True)
+    head = np.array([table["segment"][0].as_py(), len(unique), len(keys)], np.int64)
+    arrays = [head, unique, np.cumsum(sizes).astype(np.int64), np.asarray(table["weight"], np.float64)[by], langs[by]]
+    data = b"".join(x.tobytes() for x in arrays)
+    return pa.table({"data": pa.array([data + b" " * ((7 - len(data)) % 8)], pa.binary())})
+
+
+def _written(terms: DataFrame, languages: list[str]) -> Model:
+    """The model's sorted arrays in files of the shared folder, which executors fetch and map.
+
+    The files stay, as a task on a new executor fetches them again."""
+    spark = terms.sparkSession
+    bits = max(0, int(terms.count() - 1) // SEGMENT_ROWS).bit_length()
+    keyed = terms.mapInArrow(lambda batches: _keyed(batches, languages, bits), "segment int, key long, lang int, weight double")
+    path = scratch_path(spark, "languages")
+    packed = keyed.groupBy("segment").applyInArrow(_packed, "data binary")
+    packed.select(F.col("data").cast("string").alias("value")).write.option("compression", "none").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
+    files = sorted(r["path"] for r in files.collect() if r["length"])  # a row per file
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return Model(languages, tuple(file.rsplit("/", 1)[1] for file in files), bits)
+
+
+# --- scoring -------------------------------------------------------------------------------------------
+
+
+class Scorer:
+    """Log-probabilities from mapped segments; those of n-grams met lately are held as whole rows."""
+
+    def __init__(self, paths: list[str], bits: int, languages: int) -> None:
+        self.bits, self.languages = bits, languages
+        self.segments: dict[int, tuple[np.ndarray, ...]] = {}
+        for path in paths:
+            data, at = np.memmap(path, np.uint8, "r"), 0
+            while at < len(data):
+                segment, n, weights = (int(x) for x in data[at : at + 24].view(np.int64))
+                at += 24
+                arrays = []
+                for kind, size in ((np.uint64, n), (np.int64, n), (np.float64, weights), (np.int32, weights)):
+                    end = at + size * np.dtype(kind).itemsize
+                    arrays.append(np.asarray(data[at:end].view(kind)))
+                    at = end
+                at += (7 - at) % 8 + 1
+                self.segments[segment] = tuple(arrays)
+        self._hold(np.zeros(0, np.uint64), np.zeros((0, languages)))
+
+    def _hold(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        self.keys, self.rows, self.starts = keys, rows, _starts(keys)
+
+    def _add(self, out: np.ndarray, keys: np.ndarray) -> None:
+        segment = _segment(keys, self.bits)
+        by = np.argsort(segment, kind="stable")
+        cuts = np.flatnonzero(np.diff(segment[by], prepend=-1, append=-1))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = by[low:high]
+            found = self.segments.get(int(segment[mine[0]]))
+            if found is None:
+                continue
+            known, ends, weights, langs = found
+            place = np.searchsorted(known, keys[mine])
+            hit = known[np.minimum(place, len(known) - 1)] == keys[mine]
+            row, place = mine[hit], place[hit]
+            first = np.where(place > 0, ends[place - 1], 0)
+            sizes = ends[place] - first
+            each = np.repeat(np.arange(len(row)), sizes)
+            spot = np.arange(len(each)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+            out[row[each], langs[spot]] += weights[spot]  # a language has one weight of a key
+
+    def computed(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the n-grams that start at these places, a column per language."""
+        out = np.zeros((len(at), self.languages))
+        for order in range(1, ORDER + 1):
+            start = at + (ORDER - order)
+            self._add(out, keys_at(codes, start, order - 1, True))
+            self._add(out, keys_at(codes, start, order, False))
+        return out
+
+    def logs(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same, held for the next time."""
+        wanted = hashes_at(codes, at, ORDER)
+        place = lookup(self.keys, self.starts, wanted)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            fresh, first = np.unique(wanted[missing], return_index=True)
+            keys, rows = self.keys, self.rows
+            if (len(keys) + len(fresh)) * self.languages > HELD:  # only what is needed now stays
+                used = np.unique(place[place >= 0])
+                keys, rows = keys[used], rows[used]
+            spots = np.searchsorted(keys, fresh)
+            self._hold(np.insert(keys, spots, fresh), np.insert(rows, spots, self.computed(codes, at[missing[first]]), axis=0))
+            place = lookup(self.keys, self.starts, wanted)
+        return self.rows[place]
 
-def _learned(docs: DataFrame) -> Model | Spread | None:
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Cross-entropy per letter, in nats: a row per text, a column per language."""
+        codes, ends = codes_of(texts)
+        lengths = np.diff(ends, prepend=0) - (ORDER - 1)
+        most = max(1, RUN // self.languages)
+        sums, run, size = np.zeros((len(texts), self.languages)), [], 0
+
+        def add() -> None:
+            text, start, sizes = (np.array(x) for x in zip(*run, strict=True))
+            offsets = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(start - offsets, sizes)
+            np.add.at(sums, text, np.add.reduceat(self.logs(codes, at), offsets, axis=0))
+
+        for i, (end, length) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
+            for done in range(0, length, most):  # long texts in pieces, cut from their start
+                piece = min(most, length - done)
+                if size + piece > most:
+                    add()
+                    run, size = [], 0
+                run.append((i, end - length - (ORDER - 1) + done, piece))
+                size += piece
+        if run:
+            add()
+        # rounded, as a limit is the entropy of some text
+        return np.round(-sums / lengths[:, None], 9)
+
+
+@lru_cache(maxsize=1)
+def _scorer(files: tuple[str, ...], bits: int, languages: int) -> Scorer:
+    return Scorer([SparkFiles.get(f) for f in files], bits, languages)
+
+
+def _learned(docs: DataFrame) -> Model | None:
     """A model from ``docs``: lang, letters."""
     rows = docs.mapInArrow(_counted, "lang string, gram string, n long")
     counts = checkpointed(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    sizes = counts.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if not sizes:
-        return None
-    if len(sizes) > MAX_LANGUAGES:
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    ngrams = sum(r["count"] for r in sizes)
-    if ngrams > MAX_NGRAMS or ngrams * len(sizes) > MAX_VALUES:
-        return _spread(counts, sorted(r["lang"] for r in sizes))
-    table = counts.toArrow()
-    return fitted(table["lang"].to_pylist(), table["gram"].to_pylist(), np.asarray(table["n"], np.float64))
+    return _written(_terms(counts), languages) if languages else None
 
 
-def _scored(docs: DataFrame, model: Model | Spread, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``docs`` with lang_pred, score, entropy and rejected; ``letters`` is read, ``keep`` is kept."""
-    if isinstance(model, Spread):
-        return _scored_by_joins(docs, model, keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     made = ["lang_pred", "score", "entropy", "rejected", "nll"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        scorer = _scorer(model.files, model.bits, len(model.languages))
         names, limits = np.array(model.languages, object), np.array(model.limits)
         for batch in batches:
             for part in slices(batch, "letters"):
@@ -394,7 +376,7 @@ def _scored(docs: DataFrame, model: Model | Spread, keep: list[str]) -> DataFram
                 pred, score, entropy, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
                 nll: list = [None] * n
                 if len(some):
-                    found = model.entropies([texts[i] for i in some])
+                    found = scorer.entropies([texts[i] for i in some])
                     best = np.argmin(found, axis=1)
                     above = found - found.min(axis=1, keepdims=True)
                     pred[some], entropy[some] = names[best], found.min(axis=1)
@@ -417,18 +399,15 @@ def _scored(docs: DataFrame, model: Model | Spread, keep: list[str]) -> DataFram
     return docs.mapInArrow(task, f"{fields}, lang_pred string, score double, entropy double, rejected boolean, nll array<double>")
 
 
-def _calibrated(docs: DataFrame, model: Model | Spread) -> Model | Spread:
+def _calibrated(docs: DataFrame, model: Model) -> Model:
     """``model`` with its scale and limits, from ``docs``: lang, letters."""
-    rows = _scored(docs.filter("letters <> ''"), model, ["lang"]).filter("nll is not null")
-    if isinstance(model, Spread):
-        rows = checkpointed(rows)
+    rows = checkpointed(_scored(docs.filter("letters <> ''"), model, ["lang"]).filter("nll is not null"))
     means = rows.agg(*[F.avg(F.col("nll")[i]).alias(f"s{i}") for i in range(len(SCALES))]).first()
     if means[0] is None:
         return model
-    model.scale = SCALES[int(np.argmin(np.array(means, float)))]
+    scale = SCALES[int(np.argmin(np.array(means, float)))]
     limits = dict(rows.filter("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("entropy", REJECT_SHARE, 10_000)).collect())
-    model.limits = tuple(float(limits.get(x, np.inf)) for x in model.languages)
-    return model
+    return replace(model, scale=scale, limits=tuple(float(limits.get(x, np.inf)) for x in model.languages))
 
 
 def identified(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -132,7 +132,7 @@ def op4_warc_revisits(spark, sf_dir):
 @query
 def op10_language_id(spark, sf_dir):
     rows = language_id.identified(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "held_out", "lang_pred", "score")
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query
