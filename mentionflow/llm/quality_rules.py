@@ -4,6 +4,10 @@ Words are ``[^\\x20\\x09-\\x0D]+``. Everything is computed inside a row with arr
 there is no shuffle, no user function, and a document of any length is one pass over its words
 (the search for repeated windows sorts only documents that have one).
 
+A feature is null, and no rule on it fails, where it says nothing about the text: stop words are known
+for languages in Latin script, so a text whose word characters are for the most part letters of other
+scripts has no ``stop_word_ratio``; one in a script written without blanks has no ``mean_word_length``.
+
 Defined results: a null or empty text has no words and fails ``n_words``; null ids, repeated rows
 and other columns pass through; an input column that has the name of the result is replaced.
 """
@@ -32,11 +36,13 @@ TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 WIDE_SYMBOLS = "[#*$%&|<>!{}\\[\\]=~^_@\\\\]"
 MARKS = ".,;:!?()\"'«»“”"
+OTHER_SCRIPTS = "[\\p{L}\\p{M}&&[^\\p{IsLatin}]]"
+WITHOUT_BLANKS = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes if its feature lies between ``least`` and ``most``, both included."""
+    """A document passes if its feature lies between ``least`` and ``most``, both included, or is null."""
 
     feature: str
     least: float | None = None
@@ -114,6 +120,8 @@ def quality_scored(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
         n_words >= WINDOW,
         F.transform(F.sequence(F.lit(1), n_words - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
+    beyond_ascii = F.octet_length(body) > F.length(body)
+    counted = lambda letters: F.when(beyond_ascii, F.regexp_count(body, F.lit(letters))).otherwise(0).cast("long")
     stop = F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(STOP_WORDS))
     rows = rows.select(
         "__row", "__words",
@@ -122,6 +130,8 @@ def quality_scored(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("__symbols"),
         F.regexp_count(body, F.lit(WIDE_SYMBOLS)).cast("long").alias("__wide"),
         F.size(stop).cast("long").alias("__stop"),
+        counted(OTHER_SCRIPTS).alias("__other"),
+        counted(WITHOUT_BLANKS).alias("__joined"),
         lines.alias("__lines"),
         runs.alias("__runs"),
     )
@@ -130,7 +140,7 @@ def quality_scored(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
     several = F.size(hashes) > F.size(F.array_distinct(hashes))
     paired = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     rows = rows.select(
-        "__row", "__words", "__n", "__chars", "__symbols", "__wide", "__stop",
+        "__row", "__words", "__n", "__chars", "__symbols", "__wide", "__stop", "__other", "__joined",
         F.size("__lines").cast("long").alias("__n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"),
         F.when(several, F.sort_array(paired)).alias("__sorted"),
@@ -139,10 +149,11 @@ def quality_scored(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
     positions = _repeated_positions(words, F.col("__sorted"))
     repeat = F.when(F.col("__sorted").isNull(), F.lit(0).cast("long")).otherwise(_covered(positions))
     at_least_one = F.greatest(F.col("__n"), F.lit(1))
+    mostly = lambda count: 2 * F.col(count) > F.col("__chars")
     ratios = F.struct(
-        (F.col("__chars") / at_least_one).alias("mean_word_length"),
+        F.when(~mostly("__joined"), F.col("__chars") / at_least_one).alias("mean_word_length"),
         (F.col("__wide") / at_least_one).alias("symbol_ratio"),
-        (F.col("__stop") / at_least_one).alias("stop_word_ratio"),
+        F.when(~mostly("__other"), F.col("__stop") / at_least_one).alias("stop_word_ratio"),
         (F.col("__dup") / F.greatest(F.col("__n_lines"), F.lit(1))).alias("dup_line_ratio"),
         (F.col("__n") / F.greatest(F.col("__n_lines"), F.lit(1))).alias("words_per_line"),
     )

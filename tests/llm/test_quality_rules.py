@@ -41,6 +41,26 @@ def test_rules_are_compiled_from_the_table(spark):
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+CLEAN = {
+    "ru": "Старый дом стоял на берегу реки и каждый вечер его окна светились тёплым светом а соседи приходили пить чай и говорить о погоде",
+    "el": "Το παλιό σπίτι στεκόταν στην όχθη του ποταμού και κάθε βράδυ τα παράθυρα φώτιζαν ενώ οι γείτονες έρχονταν για τσάι και κουβέντα εκεί",
+    "ar": "كان البيت القديم يقف على ضفة النهر وفي كل مساء كانت نوافذه تضيء بنور دافئ وكان الجيران يأتون لشرب الشاي والحديث عن الطقس",
+    "ko": "오래된 집은 강가에 서 있었고 매일 저녁 창문은 따뜻한 빛으로 빛났으며 이웃들은 차를 마시고 날씨에 대해 이야기하러 찾아왔다 그리고 아이들은 마당에서 늦게까지 놀았다",
+    "hi": "पुराना घर नदी के किनारे खड़ा था और हर शाम उसकी खिड़कियाँ गर्म रोशनी से चमकती थीं और पड़ोसी चाय पीने आते थे",
+    "zh": " ".join(["古老的房子矗立在河岸边每天傍晚窗户都透出温暖的灯光", "邻居们来喝茶聊天谈论天气和收成直到夜深"] + [f"第{x}个孩子在院子里玩耍直到天黑才回家吃饭" for x in "一二三四五六七八九十甲乙丙丁戊己庚辛"]),
+}
+
+
+def test_clean_texts_of_other_scripts_stay(spark):
+    latin = "zorb quix vant plim " * 2 + " ".join(f"blorp{i} krandt{i}" for i in range(20))  # no word of any language
+    rows = [*CLEAN.items(), ("none", latin), ("mixed", latin + " дом река"), ("junk", " ".join(f"дом{i}###" for i in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.quality for r in q.quality_scored(df).collect()}
+    assert [(x, got[x].failed, got[x].base_failed) for x in CLEAN] == [(x, [], False) for x in CLEAN]
+    assert got["none"].failed == got["mixed"].failed == ["stop_word_ratio"]
+    assert "symbol_ratio" in got["junk"].failed and not got["junk"].kept
+
+
 def test_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     rows = QUERIES["op5_quality_rules"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
