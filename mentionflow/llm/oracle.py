@@ -116,6 +116,8 @@ counts AS (
   SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          length(regexp_replace(text, '[^#*$%&|<>!{{}}\[\]=~^_@\\]', '', 'g')) AS wide,
+         length(regexp_replace(text, '[^\p{{L}}\p{{M}}]|\p{{Latin}}', '', 'g')) AS other,
+         length(regexp_replace(text, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]', '', 'g')) AS joined,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
          len(list_filter(w, lambda x: lower(trim(x, {quoted(MARKS)})) IN ({_STOP}))) AS stop
   FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id
@@ -126,7 +128,8 @@ judged AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND word_chars / n BETWEEN 2.0 AND 15.0 AND wide / n <= 0.15 AND stop / n >= 0.02
+       NOT base_failed AND (2 * joined > word_chars OR word_chars / n BETWEEN 2.0 AND 15.0) AND wide / n <= 0.15
+         AND (2 * other > word_chars OR stop / n >= 0.02)
          AND n_dup_lines / l <= 0.5 AND n_words / l >= 2.0 AS kept
 FROM judged
 """
