@@ -9,6 +9,8 @@ from mentionflow.session import checkpointed
 
 MAX_ROUNDS = 100
 ROWS_PER_TASK = 200_000
+HOT_ROWS = 100
+HOT_NODES = 100
 
 
 def compacted(df: DataFrame, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -20,18 +22,30 @@ def _marks(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): ``edges``, of so many rows, with the least neighbour of u.
+
+    Nodes of more than a hundredth of all rows are fewer than ``HOT_NODES``, so their least
+    neighbours are broadcast and their edges stay where they are; other edges are shuffled."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    crowded = F.col("n") > max(HOT_ROWS, rows // HOT_NODES)
+    hot = least.filter(crowded).select("u", F.col("m").alias("hot"))
+    marked = edges.join(F.broadcast(hot), "u", "left")
+    rest = marked.filter("hot is null").select("u", "v").join(least.filter(~crowded).select("u", "m"), "u")
+    return marked.filter("hot is not null").select("u", "v", F.col("hot").alias("m")).union(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour instead."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _with_least(both, 2 * rows).filter("v > u")
+    return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_least(edges, rows).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,7 +60,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         stars = compacted(stars, before[0])
         if not before[0]:
             break
-        stars = checkpointed(_small_star(compacted(_large_star(stars), 2 * before[0])))
+        stars = checkpointed(_small_star(compacted(_large_star(stars, before[0]), 2 * before[0]), before[0]))
         after = _marks(stars)
         if after == before:
             break

@@ -82,6 +82,17 @@ def test_components(spark):
     assert got == {n: c for n, c in want.items() if n in used}
 
 
+def test_components_of_stars_and_chains(spark):
+    """Nodes with most of all edges, at either end of the order, and tied rows."""
+    least = [(0, n) for n in range(1, 1500)]
+    largest = [(9999, n) for n in range(2000, 3500)]
+    chain = [(n, n + 1) for n in range(4000, 4300)]
+    pairs = least + largest + chain + [(1499, 2000), (7, 7), (4100, 4100), *least[:50]]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == brute.components({x for p in pairs for x in p}, pairs)
+    assert len(set(got.values())) == 2
+
+
 def test_alternating_words_are_not_shared(spark):
     one, other = alternating("ab", 9), alternating("ba", 9)
     rows = [(1, f"{one} b c d e"), (2, f"{other} b c d e"), (3, f"{one} b c d e")]
