@@ -199,3 +199,23 @@ def test_samples_have_the_asked_size(spark):
     df = spark.range(100)
     assert posts.first_rows(df).count() == 5
     assert posts.random_rows(df, 15, seed=1).distinct().count() == 15
+
+
+def test_large_lists_shuffle_only_what_the_list_may_hold(spark, monkeypatch):
+    moved = []
+
+    def lookup_join(rows, *rest, **bounds):
+        moved.append(rows)
+        return lookup.lookup_join(rows, *rest, **bounds)
+
+    monkeypatch.setattr(posts, "lookup_join", lookup_join)
+    text = "@known " + " ".join(f"cab{n} @user{n}" for n in range(300))
+    frame = spark.createDataFrame([(n, text if n % 2 else "@other", n) for n in range(6)], "id long, text string, n int")
+    terms = spark.createDataFrame([("@known",), ("cabinet7890",)], "term string")
+    handles = spark.createDataFrame([("known",), ("nobody",)], "handle_key string")
+    none = {"max_rows": 0}
+    for found in (posts.tracked_by_terms(frame, terms, max_terms=0, lookup=none), posts.tracked_by_mention(frame, handles, 0, none)):
+        assert sorted(r.id for r in found.collect()) == [1, 3, 5]
+    for rows in moved:  # of hundreds of candidates and mentions a text, without arrays of all of them
+        assert "array" not in {t.split("<")[0] for _, t in rows.dtypes}
+        assert rows.count() < 3 * 20
