@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import random
@@ -145,3 +146,16 @@ def test_binary_predictions_leave_nan_out(values, X):
 def test_label_symbols(values, X):
     rows = ["positive", "POS", "Negative", "neutral", "", "apositive"]
     assert values("string", rows, labels.to_symbol(X)) == ["+", "+", "-", "=", "=", "="]
+
+
+def test_scorer_sees_texts_of_a_batch_together(values, X, monkeypatch):
+    monkeypatch.setattr(scoring, "SLICE_BYTES", 16)
+    parts = ["good", "bad", "goods", "'bad", "GOOD", "é", ".", "!?", " ", "\n", "\U0001f389", "️", "\U0001f800", "x"]
+    chosen = random.Random(3)
+    texts = ["".join(chosen.choices(parts, k=chosen.randint(0, 9))) for _ in range(500)] + [None, "", " "]
+    wanted = values("string", texts, scoring.mean_class(X, scoring.sentence_classes(X, WEIGHTS)))
+    scorer = scoring.lexicon_scorer(WEIGHTS)
+    assert values("string", texts, scorer(X)) == wanted
+    lowered = pa.array([None if t is None else t.lower() for t in texts]).slice(3)
+    means = scoring._Lexicon(WEIGHTS).means(lowered).to_pylist()
+    assert [0.0 if t == "" else m for t, m in zip(texts[3:], means, strict=True)] == wanted[3:]
