@@ -21,11 +21,13 @@ def write_messages(
     else:
         # like a broker's offsets, these order the messages of a write and tell them apart
         numbered = messages if "offset" in messages.columns else messages.withColumn("offset", F.monotonically_increasing_id())
-        numbered.write.format(fmt).mode(mode).options(**options).save(path)
+        # windows overlap, so their messages repeat texts, which only a codec with a wide view makes small
+        compact = {"compression": "zstd"} if fmt == "parquet" else {}
+        numbered.write.format(fmt).mode(mode).options(**{**compact, **options}).save(path)
 
 
-def write_text(lines: DataFrame, path: str, mode: str = "append") -> None:
-    lines.select("value").write.mode(mode).text(path)
+def write_text(lines: DataFrame, path: str, mode: str = "append", **options: str) -> None:
+    lines.select("value").write.mode(mode).options(**options).text(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
