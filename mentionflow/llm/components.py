@@ -18,8 +18,13 @@ def compacted(df: DataFrame, rows: int, rows_per_task: int = ROWS_PER_TASK) -> D
     return df.coalesce(max(1, -(-rows // rows_per_task)))
 
 
-def _marks(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """(rows, whether they are stars: each u has one edge and is no other's v). Stars of least nodes don't change any more."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    rows, moving = nodes.agg(F.sum("out"), F.max((F.col("out") > 0) & (F.col("out") + F.col("into") > 1))).first()
+    return rows or 0, not moving
 
 
 def _with_least(edges: DataFrame, rows: int) -> DataFrame:
@@ -55,16 +60,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes; ids may be any longs, and null ends and loops are left out."""
     stars = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     stars = checkpointed(stars)
-    before = _marks(stars)
     for _ in range(MAX_ROUNDS):
-        stars = compacted(stars, before[0])
-        if not before[0]:
+        rows, settled = _state(stars)
+        stars = compacted(stars, rows)
+        if settled:
             break
-        stars = checkpointed(_small_star(compacted(_large_star(stars, before[0]), 2 * before[0]), before[0]))
-        after = _marks(stars)
-        if after == before:
-            break
-        before = after
+        large = checkpointed(compacted(_large_star(stars, rows), 2 * rows))  # stored, as the next step reads it several times
+        stars = checkpointed(compacted(_small_star(large, rows), rows))
     else:
         raise RuntimeError("components did not settle")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionflow.llm import sketch
@@ -288,7 +288,7 @@ def _family_links(entries: DataFrame, suspects: DataFrame, join: Join) -> DataFr
     least = ties.groupBy("node").agg(F.min("head").alias("b"))
     others = ties.join(least, "node").select(F.col("head").alias("a"), "b")
     ties = others.union(least.select(F.col("node").alias("a"), "b")).distinct()
-    members = entries.groupBy("node").agg(F.first("c").alias("c")).join(connected_components(ties), "node")
+    members = entries.groupBy("node").agg(F.first("c").alias("c")).join(connected_components(checkpointed(ties)), "node")
     members = _with_major(members.withColumnRenamed("component", "family"), "family").join(suspects, "node")
     blocks = lambda n: F.ceil(F.col(n) / FAMILY_BLOCK)
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
@@ -331,6 +331,10 @@ def _same_ids(facts: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(least, "id").filter("node != a").select("a", F.col("node").alias("b"))
 
 
+MOST_WORDS = 1 << 18
+IDS_PER_WORD = 4
+
+
 def _stars(labels: DataFrame) -> DataFrame:
     return labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -347,14 +351,16 @@ def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: st
     labels = None
     for step in range(join.star_rounds):
         # components so far are stars of a class and its name, so earlier links needn't be run through again
-        new = _verified(_star_pairs(_labelled(index, labels), join, step), suspects, join)
+        # stored, as plans of all steps at once would take much of the driver's memory
+        pairs = checkpointed(_star_pairs(_labelled(index, labels), join, step))
+        new = _verified(pairs, suspects, join)
         links = checkpointed(new if labels is None else new.union(_stars(labels)))
         labels = connected_components(compacted(links, links.count()))
     entries = checkpointed(_with_major(_labelled(index, labels), "token"))
     entries = compacted(entries, entries.count())
     long = F.col("minors") * F.col("members") > join.pair_rows
-    few = _verified(_cross_pairs(entries.filter(~long), join), suspects, join)
-    many = _family_links(entries.filter(long).select("token", "node", "c"), suspects, join)
+    few = checkpointed(_verified(checkpointed(_cross_pairs(entries.filter(~long), join)), suspects, join))
+    many = checkpointed(_family_links(entries.filter(long).select("token", "node", "c"), suspects, join))
     links = _stars(labels).union(few).union(many).union(_same_ids(facts, classes))
     labels = connected_components(links)
     nodes = classes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -368,10 +374,36 @@ def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: st
     )
 
 
+def _without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not an ``__id`` of ``gone``; null keys stay.
+
+    Two bits of a word mark each id of ``gone``, and the words, ``MOST_WORDS`` at most, are broadcast. Rows without
+    the marks stay where they are; only others, with their texts, are shuffled to be compared exactly."""
+    words, ids = 1, gone.count()
+    while words < min(MOST_WORDS, ids // IDS_PER_WORD):
+        words *= 2
+
+    def bits(of: Column) -> Column:
+        first, second = (F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(of, F.lit(n)), F.lit(64)).cast("int")) for n in (1, 2))
+        return first.bitwiseOR(second)
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(words))
+
+    marks = gone.groupBy(place(F.col("__id")).alias("__at")).agg(F.bit_or(bits(F.col("__id"))).alias("__marks"))
+    rows = df.withColumns({"__id": key, "__at": place(key)}).join(F.broadcast(marks), "__at", "left")
+    own = bits(F.col("__id"))
+    marked = F.coalesce(F.col("__marks").bitwiseAND(own) == own, F.lit(False))
+    unsure = rows.filter(marked).join(gone, "__id", "left_anti")
+    return rows.filter(~marked).drop("__id", "__at", "__marks").union(unsure.drop("__id", "__at", "__marks"))
+
+
 def representatives(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose id names their component, with the columns of ``df``.
 
     Rows without an id are kept, as nothing tells which of them to keep."""
-    keep = grouped(df, join, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = df.join(keep, F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left")
-    return rows.filter(F.col("__kept").isNotNull() | F.col(f"`{doc_id}`").isNull()).drop("__kept")
+    least = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    named = grouped(df, join, doc_id, text).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(least).alias("kept"))
+    gone = checkpointed(named.filter("not kept").select("__id"))
+    key = F.col(f"`{doc_id}`").cast("long")
+    return _without(df.filter(key.isNotNull() | F.col(f"`{doc_id}`").isNull()), key, gone)

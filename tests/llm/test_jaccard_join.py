@@ -2,9 +2,10 @@ import random
 
 import pytest
 
-from mentionflow.llm import jaccard_join
+from mentionflow.llm import components, jaccard_join
 from mentionflow.llm.components import connected_components
 from mentionflow.llm.queries import QUERIES
+from mentionflow.session import checkpointed
 from tests.llm import brute
 from tests.llm.test_substring_dedup import alternating
 
@@ -106,3 +107,36 @@ def test_an_id_with_several_texts_joins_their_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard_join.grouped(df).filter("n_shingles > 0").collect()}
     assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8)}
+
+
+@pytest.mark.parametrize("most_words", [1, 1 << 18])
+def test_rows_that_stay_are_not_shuffled_with_their_texts(spark, monkeypatch, most_words):
+    """Texts are shuffled only where a row's id may be one that goes."""
+    monkeypatch.setattr(jaccard_join, "MOST_WORDS", most_words)
+    monkeypatch.setattr(jaccard_join, "IDS_PER_WORD", 1)
+    texts = [" ".join(f"t{i % 3 if i % 2 else i}w{j}" for j in range(9)) for i in range(4000)]
+    rows = [*enumerate(texts), (None, texts[0]), (None, None), (1, None), (7, None), (7, texts[7])]
+    df = spark.createDataFrame(rows, "`doc.id` long, text string").repartition(3)
+    got = jaccard_join.representatives(df, doc_id="doc.id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "rightHint=(strategy=broadcast)" in plan
+    sets, want = want_of([(i, t) for i, t in enumerate(texts)])
+    stay = sorted((i, t) for i, t in rows if i is not None and t is not None and (want[i] == i or i == 7))
+    found = [tuple(r) for r in got.collect()]
+    assert got.columns == df.columns
+    assert sorted(r for r in found if r[0] is not None and r[1] is not None) == stay
+    assert sum(r[0] is None for r in found) == 2 and (7, None) in found and len(set(want.values())) < len(texts)
+
+
+def test_components_store_what_they_read_again_in_few_tasks(spark, monkeypatch):
+    """Plans and tasks of a round are held by the driver: stars that are settled take no round, others few tasks."""
+    stored = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: stored.append(df) or checkpointed(df))
+    settled = [(n % 7, n) for n in range(7, 300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(settled, "a long, b long")).collect()}
+    assert got == {n: n % 7 for n in range(300)} and len(stored) == 1
+    stored.clear()
+    moving = [(n, n + 1) for n in range(20)] + [(n % 7 + 100, n + 100) for n in range(7, 300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(moving, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), **{n + 100: n % 7 + 100 for n in range(300)}}
+    assert len(stored) > 2 and all(df.rdd.getNumPartitions() == 1 for df in stored[1:])
