@@ -53,13 +53,13 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return moved.union(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge to another.
 
     Each round is stored in the shared folder. Rounds grow with the logarithm of the number of
-    nodes; ids may be any longs, and null ends and loops are left out."""
+    nodes; ids may be any longs, and null ends and loops are left out. ``rows``: a bound of the edges, if known."""
     stars = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    stars = checkpointed(stars)
+    stars = checkpointed(stars if rows is None else compacted(stars, rows))
     for _ in range(MAX_ROUNDS):
         rows, settled = _state(stars)
         stars = compacted(stars, rows)

@@ -277,18 +277,19 @@ CHUNK_KINDS = 2_048
 FAMILY_BLOCK = 256
 
 
-def _family_links(entries: DataFrame, suspects: DataFrame, join: Join) -> DataFrame:
+def _family_links(entries: DataFrame, suspects: DataFrame, join: Join, rows: int) -> DataFrame:
     """Links between components within these lists, without a row per pair.
 
     Lists that share a class form a family. Its classes outside its largest component are compared,
-    in blocks, with all of its classes; links alone leave a task."""
+    in blocks, with all of its classes; links alone leave a task. ``rows``: a bound of the entries."""
     heads = entries.groupBy("token").agg(F.min("node").alias("head"))
     ties = entries.join(heads, "token").select("node", "head").distinct()
     # a class is tied to the least of its heads, and so are its other heads: few of these ties differ
     least = ties.groupBy("node").agg(F.min("head").alias("b"))
     others = ties.join(least, "node").select(F.col("head").alias("a"), "b")
     ties = others.union(least.select(F.col("node").alias("a"), "b")).distinct()
-    members = entries.groupBy("node").agg(F.first("c").alias("c")).join(connected_components(checkpointed(ties)), "node")
+    families = connected_components(checkpointed(compacted(ties, rows)), rows=rows)
+    members = entries.groupBy("node").agg(F.first("c").alias("c")).join(families, "node")
     members = _with_major(members.withColumnRenamed("component", "family"), "family").join(suspects, "node")
     blocks = lambda n: F.ceil(F.col(n) / FAMILY_BLOCK)
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
@@ -308,22 +309,37 @@ def _classes(facts: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.coalesce("least", "k1"))
 
 
-def _prepared(df: DataFrame, join: Join, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(facts, classes, classes that may link, index)."""
+@dataclass(frozen=True)
+class _Prepared:
+    facts: DataFrame
+    n_facts: int
+    classes: DataFrame
+    suspects: DataFrame  # classes that may link
+    n_suspects: int
+    index: DataFrame
+    n_index: int
+
+
+def _prepared(df: DataFrame, join: Join, doc_id: str, text: str) -> _Prepared:
+    """What is stored before the join. A stored part is a file and its checksum, so frames of known size
+    have no more parts than their rows need."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     facts = checkpointed(_facts(docs, join))
-    classes = checkpointed(_classes(facts))
+    n_facts = facts.count()
+    classes = checkpointed(compacted(_classes(facts), n_facts, CLASSES_PER_TASK))
     suspects = classes.filter("tokens is not null").select("node", "n", "tokens")
-    suspects = compacted(suspects, suspects.count(), CLASSES_PER_TASK)
+    n_suspects = suspects.count()
+    suspects = compacted(suspects, n_suspects, CLASSES_PER_TASK)
     index = checkpointed(_index(suspects, join))
-    return facts, classes, suspects, compacted(index, index.count())
+    n_index = index.count()
+    return _Prepared(facts, n_facts, classes, suspects, n_suspects, compacted(index, n_index), n_index)
 
 
-def _same_ids(facts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): ties between the classes of ids that several texts share."""
+def _same_ids(facts: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """(a, b): ties between the classes of ids that several texts share. ``rows``: of ``facts``."""
     mine = facts.filter("n > 0 and id is not null").select("id", "k1", "k2")
     several = mine.groupBy("id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("k1", "k2")])
-    several = checkpointed(several.filter("min_k1 != max_k1 or min_k2 != max_k2").select("id"))
+    several = checkpointed(compacted(several.filter("min_k1 != max_k1 or min_k2 != max_k2").select("id"), rows))
     if not several.head(1):
         return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     nodes = mine.join(several, "id").distinct().join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
@@ -341,28 +357,34 @@ def _stars(labels: DataFrame) -> DataFrame:
 
 def linked_pairs(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The whole join: (a, b), a < b, for every linked pair of different sets, by their least ids."""
-    _, _, suspects, index = _prepared(df, join, doc_id, text)
-    return _verified(_cross_pairs(_with_major(_labelled(index, None), "token"), join), suspects, join)
+    p = _prepared(df, join, doc_id, text)
+    return _verified(_cross_pairs(_with_major(_labelled(p.index, None), "token"), join), p.suspects, join)
 
 
 def grouped(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``df``: doc_id, n_shingles and component_id, the least id reachable by links."""
-    facts, classes, suspects, index = _prepared(df, join, doc_id, text)
+    p = _prepared(df, join, doc_id, text)
+    facts, classes, suspects, index = p.facts, p.classes, p.suspects, p.index
     labels = None
     for step in range(join.star_rounds):
         # components so far are stars of a class and its name, so earlier links needn't be run through again
         # stored, as plans of all steps at once would take much of the driver's memory
-        pairs = checkpointed(_star_pairs(_labelled(index, labels), join, step))
-        new = _verified(pairs, suspects, join)
+        pairs = checkpointed(compacted(_star_pairs(_labelled(index, labels), join, step), p.n_index))
+        new = compacted(_verified(pairs, suspects, join), p.n_suspects, CLASSES_PER_TASK)
         links = checkpointed(new if labels is None else new.union(_stars(labels)))
-        labels = connected_components(compacted(links, links.count()))
-    entries = checkpointed(_with_major(_labelled(index, labels), "token"))
-    entries = compacted(entries, entries.count())
+        n_links = links.count()
+        labels = connected_components(compacted(links, n_links), rows=n_links)
+    entries = checkpointed(compacted(_with_major(_labelled(index, labels), "token"), p.n_index))
+    n_entries = entries.count()
+    entries = compacted(entries, n_entries)
     long = F.col("minors") * F.col("members") > join.pair_rows
-    few = checkpointed(_verified(checkpointed(_cross_pairs(entries.filter(~long), join)), suspects, join))
-    many = checkpointed(_family_links(entries.filter(long).select("token", "node", "c"), suspects, join))
-    links = _stars(labels).union(few).union(many).union(_same_ids(facts, classes))
-    labels = connected_components(links)
+    pairs = checkpointed(_cross_pairs(entries.filter(~long), join))
+    n_pairs = pairs.count()
+    few = checkpointed(compacted(_verified(compacted(pairs, n_pairs), suspects, join), n_pairs, CLASSES_PER_TASK))
+    many = checkpointed(_family_links(entries.filter(long).select("token", "node", "c"), suspects, join, n_entries))
+    links = _stars(labels).union(few).union(many).union(_same_ids(facts, classes, p.n_facts))
+    # stars have an edge of each class at most, and ids no more than rows
+    labels = connected_components(links, rows=2 * p.n_facts + n_pairs + many.count())
     nodes = classes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the name of a component is its least real id, not a hash
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -404,6 +426,6 @@ def representatives(df: DataFrame, join: Join = Join(), doc_id: str = "doc_id",
     Rows without an id are kept, as nothing tells which of them to keep."""
     least = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     named = grouped(df, join, doc_id, text).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(least).alias("kept"))
-    gone = checkpointed(named.filter("not kept").select("__id"))
+    gone = checkpointed(compacted(named.filter("not kept").select("__id"), df.count()))
     key = F.col(f"`{doc_id}`").cast("long")
     return _without(df.filter(key.isNotNull() | F.col(f"`{doc_id}`").isNull()), key, gone)

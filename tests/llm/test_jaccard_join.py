@@ -140,3 +140,31 @@ def test_components_store_what_they_read_again_in_few_tasks(spark, monkeypatch):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(moving, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **{n + 100: n % 7 + 100 for n in range(300)}}
     assert len(stored) > 2 and all(df.rdd.getNumPartitions() == 1 for df in stored[1:])
+
+
+def test_what_a_join_stores_has_no_more_parts_than_its_rows_need(spark, monkeypatch):
+    """Each part is a file, for which a task may start a process: they don't grow with the partitions of a shuffle."""
+    parts = []
+
+    def stored(df):
+        out = checkpointed(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for module in (components, jaccard_join):
+        monkeypatch.setattr(module, "checkpointed", stored)
+    rows = near_copies(4)
+    want = want_of(rows)[1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(r.doc_id for r in jaccard_join.representatives(df).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted({c for c in want.values()})
+    # candidate pairs and links of families keep theirs, as their work grows faster than their rows
+    assert len(parts) > 9 and sum(n > 2 for n in parts) <= 2, parts
