@@ -1,8 +1,8 @@
 """Token ids of a corpus as binary files: compressed blocks in the order of the documents.
 
 1. Documents are range-partitioned by id and sorted; a partition becomes a file, a shard. Texts are
-   cut before blanks that begin a word, and each distinct piece of a slice is encoded once by the
-   tokenizers library; pieces seen before come from a bounded cache.
+   cut into pieces, most of them one word (``pieces``), and each distinct piece of a slice is encoded once by the
+   tokenizers library; pieces seen before come from a bounded table.
 2. The ids of a shard, an end id behind each document, are cut into blocks of fixed length that are
    coded on their own (``range_coder``). A block names its shard and number and the documents it
    holds ids of, so that it can be read alone, and carries checksums of its bytes and of its ids.
@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mentionflow.llm import range_coder
-from mentionflow.llm.pieces import distinct_pieces, gathered
+from mentionflow.llm.pieces import ID_BYTES, SLICE_BYTES, Cuts, PieceTable, packed_array, parts_of
 from mentionflow.llm.wordhash import slices
 from mentionflow.session import checkpointed
 
 SEPARATOR = "\x1e#TidEnd"  # all letters differ, so it can't begin within itself
 MAGIC = b"TIDS"
-CACHED_PIECES = 300_000  # of each of two generations
+CACHED_PIECES = 300_000
+CACHED_SIZE = 16 << 20  # likewise: bytes of pieces and ids, as a text that can't be cut is one piece
 END_ID = 2
 # magic, crc of what follows, shard, block, ids, alphabet, documents, place of the first id in its document, crc of ids
 _HEAD = struct.Struct("<4sIIQIIIQI")
@@ -59,26 +60,20 @@ class PieceEncoder:
         # byte-level words never go on behind a blank that follows them, so a text may be cut there
         self.cuttable = (
             cut["normalizer"] is None and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
-            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in cut["added_tokens"])
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in cut["added_tokens"])
         )
-        self.fresh: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, packed."""
-        if len(self.fresh) > CACHED_PIECES:
-            self.fresh, self.old = {}, self.fresh
-        found = [self.fresh.get(p) or self.old.get(p) for p in pieces]
-        new = [i for i, ids in enumerate(found) if ids is None]
-        for i, encoding in zip(new, self.tokenizer.encode_batch_fast([pieces[i] for i in new], add_special_tokens=False), strict=True):
-            found[i] = np.array(encoding.ids, "<u4").tobytes()
-        self.fresh.update(zip(pieces, found, strict=True))
-        return found
+        self.table = PieceTable(self._pieces, Cuts(t["content"] for t in cut["added_tokens"]) if self.cuttable else None)
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Packed ids of distinct pieces."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        return packed_array(np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's)"""
-        pieces, first = distinct_pieces(texts, self.cuttable)
-        return gathered(self._known(pieces.dictionary.to_pylist()), pieces, first)
+        ids, offsets = parts_of(self.table.encode(texts, CACHED_PIECES, CACHED_SIZE))
+        return ids.view("<u4"), np.diff(offsets) // ID_BYTES
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -180,7 +175,7 @@ def write(
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, sizes = encoder.encode(part["text"])
                 yield part["id"].to_pylist(), np.insert(ids, np.cumsum(sizes), end_id).astype(np.uint32), sizes + 1
 
