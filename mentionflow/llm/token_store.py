@@ -43,6 +43,7 @@ SEPARATOR = "\x1e#TidEnd"  # all letters differ, so it can't begin within itself
 MAGIC = b"TIDS"
 CACHED_PIECES = 300_000
 CACHED_SIZE = 16 << 20  # likewise: bytes of pieces and ids, as a text that can't be cut is one piece
+JOINED_PIECES = 256  # pieces of a text for the library
 END_ID = 2
 # magic, crc of what follows, shard, block, ids, alphabet, documents, place of the first id in its document, crc of ids
 _HEAD = struct.Struct("<4sIIQIIIQI")
@@ -60,15 +61,41 @@ class PieceEncoder:
         # byte-level words never go on behind a blank that follows them, so a text may be cut there
         self.cuttable = (
             cut["normalizer"] is None and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
-            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in cut["added_tokens"])
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in cut["added_tokens"])
         )
         self.table = PieceTable(self._pieces, Cuts(t["content"] for t in cut["added_tokens"]) if self.cuttable else None)
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)  # bytes of each id; its letters stand for bytes
+        for token, n in self.tokenizer.get_vocab().items():
+            if n < len(self.lengths):
+                self.lengths[n] = len(token)
+        for n, token in self.tokenizer.get_added_tokens_decoder().items():
+            if n < len(self.lengths):
+                self.lengths[n] = len(token.content.encode())
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's)"""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes
 
     def _pieces(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
-        """Packed ids of distinct pieces."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
-        sizes = np.array([len(ids) for ids in found], np.int64)
-        return packed_array(np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), sizes)
+        """Packed ids of distinct pieces. A call of the library costs more than a word, so pieces that could be
+        cut apart again are joined, and the lengths of the tokens tell whose they are."""
+        if self.table.cuts is None or not len(pieces):
+            return packed_array(*self._library(pieces.to_pylist()))
+        order = self.table.cuts.joinable_first(pieces)
+        data, ends = parts_of(pieces.take(pa.array(order)))
+        starts = ends[:-1][~self.table.cuts.joints(data, ends)]
+        starts = np.unique(np.concatenate([starts, ends[:-1:JOINED_PIECES], ends[-1:]])).astype(np.int64)
+        joined = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data))
+        ids, _ = self._library(joined.to_pylist())
+        behind = np.cumsum(self.lengths.take(ids, mode="clip"))
+        last = np.searchsorted(behind, ends[1:])
+        if not len(ids) or behind[-1] != ends[-1] or not np.array_equal(behind[last], ends[1:]):  # not all bytes have ids
+            return packed_array(*self._library(pieces.to_pylist()))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return packed_array(ids, np.diff(last + 1, prepend=0)).take(pa.array(back))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's)"""

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -135,3 +136,41 @@ def test_query_equals_the_library(spark, library, sf_dir):
     got = QUERIES["op11_token_store"](spark, sf_dir)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, got.collect())) == sorted(brute(library, rows))
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together(library):
+    """A call of the library costs more than a word; before, each of 3,000 was a text of its own."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_store.PieceEncoder(f.read())
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    rng = random.Random(15)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randint(3, 9))) for _ in range(30)) for _ in range(100)]
+    ids, sizes = encoder.encode(pa.array(texts))
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+    assert encoder.tokenizer.texts < 150
+
+
+def test_bytes_without_ids_are_left_out_by_the_library():
+    spec = {
+        "version": "1.0", "truncation": None, "padding": None, "normalizer": None, "post_processor": None, "decoder": None, "added_tokens": [],
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False,
+                  "byte_fallback": False, "vocab": {"a": 0, "b": 1, "Ġ": 2, "ab": 3, "Ġa": 4}, "merges": [["a", "b"], ["Ġ", "a"]]},
+    }
+    library, encoder = Tokenizer.from_str(json.dumps(spec)), token_store.PieceEncoder(json.dumps(spec))
+    for texts in (["ab ab a", "b ba"], ["abc cab", "c", "cc c", "a cb"], ["c"], [""]):
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, sizes = encoder.encode(pa.array(texts))
+        assert encoder.cuttable and sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
