@@ -78,7 +78,7 @@ def _listed(pending: list[np.ndarray], shape: Shape) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _ROWS_ARROW.types, strict=True)], schema=_ROWS_ARROW)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     counters, segment = np.zeros(SEGMENT_BITS, np.uint8), None
     for batch in batches:
         for s, once, twice in zip(*(batch[c].to_pylist() for c in ("segment", "once", "twice")), strict=True):
@@ -86,12 +86,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counters[places] = np.minimum(counters[places] + 1, 2)
             counters[_unpacked(twice)] = 2
     if segment is not None:
-        packed = pa.compress(np.packbits(counters > 1).tobytes(), codec="zstd", asbytes=True)
+        packed = pa.compress(np.packbits(counters >= least).tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "twice"])
 
 
-def repeated_bits(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shape: Shape) -> np.ndarray:
-    """The bits of counters that reached two, over all hashes that ``hashes_of`` gives for ``df``.
+def repeated_bits(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shape: Shape, least: int = 2) -> np.ndarray:
+    """The bits of counters that reached two, or ``least``, over all hashes that ``hashes_of`` gives for ``df``.
 
     The result, at most MOST_BITS bits, is gathered on the driver to be broadcast."""
 
@@ -107,7 +107,7 @@ def repeated_bits(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[
         yield from _listed(pending, shape)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _merged(batches)
+        yield from _merged(batches, least)
 
     rows = df.mapInArrow(task, _ROWS_SCHEMA)
     merged = rows.groupBy("segment").applyInArrow(merge, "segment int, twice binary")

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from mentionflow.llm import components, jaccard_join
+from mentionflow.llm import components, jaccard_join, partners, sketch
 from mentionflow.llm.components import connected_components
 from mentionflow.llm.queries import QUERIES
 from mentionflow.session import checkpointed
@@ -168,3 +169,32 @@ def test_what_a_join_stores_has_no_more_parts_than_its_rows_need(spark, monkeypa
     assert got == sorted({c for c in want.values()})
     # candidate pairs and links of families keep theirs, as their work grows faster than their rows
     assert len(parts) > 9 and sum(n > 2 for n in parts) <= 2, parts
+
+
+def filled(df, hashes_of, shape, *least, real=sketch.repeated_bits):
+    """The bits of a sketch that holds far more shingles than bits: every one may repeat."""
+    return real(df, hashes_of, shape, *least) if least else np.full(sketch.ROWS * shape.segments * sketch.SEGMENT_BITS // 8, 255, np.uint8)
+
+
+def test_a_full_sketch_does_not_store_documents_without_a_partner(spark, monkeypatch):
+    """Before, all shingles of all documents were stored and indexed once the sketch was full."""
+    monkeypatch.setattr(sketch, "repeated_bits", filled)
+    rows = near_copies(11)
+    alone = [(1000 + i, " ".join(f"a{i}w{j}" for j in range(40)) + " common0 common1 common2 common3 common4 common5 common6") for i in range(300)]
+    copies = [(2000 + i, text) for i, (_, text) in enumerate(alone[:100])]
+    df = spark.createDataFrame(rows + alone + copies, "doc_id long, text string").repartition(3)
+    p = jaccard_join._prepared(df, jaccard_join.Join(), "doc_id", "text")
+    assert p.n_suspects <= len(rows)
+    want = want_of(rows + alone + copies)[1]
+    assert {r.doc_id: r.component_id for r in jaccard_join.grouped(df).collect()} == want
+
+
+@pytest.mark.parametrize(("pending", "docs", "marks"), [(50, 60_000, 30), (2 << 20, 3, 2 << 20)])
+def test_partners_are_found_across_lists_and_buckets(spark, monkeypatch, pending, docs, marks):
+    for name, value in (("PENDING", pending), ("MOST_DOCS", docs), ("BUCKET_MARKS", marks)):
+        monkeypatch.setattr(partners, name, value)
+    rows = near_copies(21) + [(500 + i, text) for i, text in enumerate(["", None, "one", "One", "a b c d e f", "a b c d e f g"])]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(4)
+    sets, want = want_of([(i, t or "") for i, t in rows])
+    got = jaccard_join.grouped(df).collect()
+    assert len(got) == len(rows) + 5 and {r.doc_id: r.component_id for r in got} == want
