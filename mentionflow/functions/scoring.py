@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mentionflow.functions.text import clean, lower_words, sentences
 
@@ -182,13 +183,13 @@ def lexicon_scorer(weights: Mapping[str, int] = DEFAULT_WEIGHTS) -> Scorer:
     """The mean of the ``sentence_classes`` of a text."""
     weights = dict(weights)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = _Lexicon(weights)
         for lowered in batches:
             yield lexicon.means(lowered)
 
-    return lambda text: F.when(F.length(text) == 0, F.lit(0.0)).otherwise(score(F.lower(text)))
+    return lambda text: F.when(F.length(text) == 0, F.lit(0.0)).otherwise(score(F.lower(clean(text))))
 
 
 _MODELS: dict[str, Callable] = {}

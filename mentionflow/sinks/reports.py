@@ -11,6 +11,7 @@ from mentionflow.functions.times import micros
 from mentionflow.operators.collect import windowed
 from mentionflow.operators.windows import SLIDE, TOP_K, WINDOW, top_k
 from mentionflow.session import checkpointed
+from mentionflow.sinks.ordered import in_order, packed, unpacked
 
 # Fixed values of the layouts.
 RULE = "_" * 72
@@ -50,23 +51,32 @@ def sentiment_report(
     window: str = WINDOW,
     slide: str = SLIDE,
     ends: tuple | None = None,
+    keep: bool = True,
 ) -> DataFrame:
     """The lines of the sentiment report, one row each, to be put ``in_report_order``.
 
     Input: posts with ``created_at``, ``id``, ``text``, ``polarity`` and ``cat``; ``ends`` keeps
     only the windows that end between its two timestamps. A line is a row of its own, so no
-    window or category has to fit into one task. The scored posts are checkpointed first, as the
-    headings and the sort read them again; Spark drops the checkpoint with the result.
+    window or category has to fit into one task. The scored posts are checkpointed first, in packed blocks, as the
+    headings and the sort read them again; Spark drops the checkpoint with the result. ``keep`` is
+    False for posts that are as quick to read again from where they are.
     """
     needed = scored.select("created_at", "id", "text", "polarity", F.coalesce("cat", F.lit("null")).alias("cat"))
-    placed = windowed(checkpointed(needed), window, slide)
-    if ends is not None:
-        placed = placed.where(F.col("window_end").between(*ends))
+    narrow = needed.drop("text")
+    if keep:
+        blocks = checkpointed(packed(needed))
+        needed, narrow = unpacked(blocks, needed.schema), unpacked(blocks, needed.schema, narrow.columns)
+
+    def in_windows(rows: DataFrame) -> DataFrame:
+        placed = windowed(rows, window, slide)
+        return placed if ends is None else placed.where(F.col("window_end").between(*ends))
+
+    placed = in_windows(needed)
     posts = placed.select(
         "window_start", "window_end", "cat", F.lit(1).alias("level"), "polarity", "id",
         F.concat(F.lit("    "), sentiment_line(F.col("polarity"), F.col("text"))).alias("value"),
     )
-    sections = placed.select("window_start", "window_end", "cat").distinct()
+    sections = checkpointed(in_windows(narrow).select("window_start", "window_end", "cat").distinct())
     none = F.lit(None)
 
     def heading(frame: DataFrame, category: Column, value: Column) -> DataFrame:
@@ -88,9 +98,7 @@ def in_report_order(lines: DataFrame) -> DataFrame:
     range of equal lines can be shared by many tasks."""
     section = F.when(F.col("cat") == "", 0).when(F.col("cat") == "+", 1)
     section = section.when(F.col("cat") == "=", 2).when(F.col("cat") == "-", 3).otherwise(4)
-    return lines.withColumn("_copy", F.spark_partition_id()).orderBy(
-        "window_start", section, "level", F.desc("polarity"), "id", "_copy"
-    ).select("value")
+    return in_order(lines.withColumns({"section": section, "copy": F.spark_partition_id()}))
 
 
 def prediction_line() -> Column:

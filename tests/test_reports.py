@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from mentionflow.sinks import files, reports
+from mentionflow.session import checkpointed
+from mentionflow.sinks import files, ordered, reports
 
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 5)
 RULE = "_" * 72
@@ -47,3 +49,33 @@ def test_report_of_some_windows_only(spark):
     lines = reports.sentiment_report(sentiment_frame(spark), slide="5 minutes", ends=ends)
     assert lines.where(F.contains("value", F.lit("later"))).count() == 0
     assert lines.where(F.contains("value", F.lit("best"))).count() == 1
+
+
+def test_lines_are_packed_and_sorted_as_spark_sorts_them(spark, monkeypatch):
+    """Texts are neither stored nor shuffled as they are, and partitions follow the bytes of text."""
+    stored = []
+    monkeypatch.setattr(reports, "checkpointed", lambda df: stored.append(df.columns) or checkpointed(df))
+    monkeypatch.setattr(ordered, "PART_BYTES", 4_000)
+    monkeypatch.setattr(ordered, "PACK_BYTES", 6_000)
+    monkeypatch.setattr(ordered, "BLOCK_BYTES", 3_000)
+    rng = random.Random(3)
+    scores = [None, float("nan"), 0.0, -0.0, -1.5, 2.0, 2.25, 4.0, float("inf")]
+    rows = [
+        (rng.choice([None, -5, 0, n, 7, 2**62]), START + dt.timedelta(minutes=rng.randint(0, 30)), f"é{n}" * 20, rng.choice(["+", "=", "-", None]), rng.choice(scores))
+        for n in range(900)
+    ]
+    df = spark.createDataFrame(rows * 2, "id long, created_at timestamp, text string, cat string, polarity double").repartition(5)
+    lines = reports.sentiment_report(df, "10 minutes", "5 minutes")
+    got = reports.in_report_order(lines)
+    assert got.rdd.getNumPartitions() > 20
+    section = F.when(F.col("cat") == "", 0).when(F.col("cat") == "+", 1).when(F.col("cat") == "=", 2).when(F.col("cat") == "-", 3).otherwise(4)
+    order = ["window_start", section, "level", F.desc("polarity"), "id"]
+    plain = [(r.value, (r.window_start, r.cat, r.level, str(0.0 if r.polarity == 0 else r.polarity), r.id)) for r in lines.orderBy(*order).collect()]
+    values, at = [r.value for r in got.collect()], 0
+    while at < len(plain):  # lines with equal keys come in any order
+        end = at
+        while end < len(plain) and plain[end][1] == plain[at][1]:
+            end += 1
+        assert sorted(values[at:end]) == sorted(v for v, _ in plain[at:end])
+        at = end
+    assert len(values) == len(plain) > 3600 and stored and not any("text" in columns for columns in stored)
