@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mentionflow.session import checkpointed
 from mentionflow.sinks import files, ordered, reports
+from mentionflow.streaming import jobs
 
 START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 5)
 RULE = "_" * 72
@@ -79,3 +80,20 @@ def test_lines_are_packed_and_sorted_as_spark_sorts_them(spark, monkeypatch):
         assert sorted(values[at:end]) == sorted(v for v, _ in plain[at:end])
         at = end
     assert len(values) == len(plain) > 3600 and stored and not any("text" in columns for columns in stored)
+
+
+def test_a_stream_reports_each_post_once_without_storing_the_others(spark, monkeypatch, tmp_path):
+    rows = [("a", n, START, f"text {n}", "=", 2.0) for n in range(200)] + [("b", n, START, f"text {n}", "=", 2.0) for n in range(0, 200, 40)]
+    rows += [("a", None, START, "text none", "+", 3.0), ("b", None, START, "text none", "+", 3.0), ("a", 1, END, "text 1 later", "-", 1.0)]
+    scored = spark.createDataFrame(rows, "mention string, id long, created_at timestamp, text string, cat string, polarity double")
+    stored = []
+    monkeypatch.setattr(jobs, "checkpointed", lambda df: stored.append(checkpointed(df)) or stored[-1])
+    got = [r.text for r in jobs._once(scored).collect()]
+    assert sorted(got) == sorted([f"text {n}" for n in range(200)] + ["text none", "text 1 later"])
+    assert 6 <= sum(df.count() for df in stored if "text" in df.columns) < 30
+    table, out = str(tmp_path / "table"), str(tmp_path / "report")
+    scored.withColumn("day", F.to_date("created_at")).write.partitionBy("day").parquet(table)
+    counts = spark.createDataFrame([(START, END)], "window_start timestamp, window_end timestamp")
+    jobs.sentiment_report_output(table, out, "5 minutes", "5 minutes")(counts, 0)
+    lines = [r.value for r in spark.read.text(f"{out}/batch_id=0").collect()]
+    assert sum("text" in line for line in lines) == 201 and lines[3].endswith("text none")
