@@ -9,6 +9,17 @@ from mentionflow.functions.labels import to_symbol
 from mentionflow.operators.messages import to_topic
 
 
+# A message may hold megabytes, and readers take batches of thousands of rows, from one row group each. What a writer holds
+# of a row group counts as compressed but for its last page, so with pages that are never full a group is that much of
+# messages, not of what is left of them, and wide enough for texts that neighbouring windows share.
+LARGE_ROWS = {
+    "parquet.block.size": 16 << 20,
+    "parquet.page.size": 64 << 20,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 16,
+}
+
+
 def write_messages(
     messages: DataFrame, fmt: str = "parquet", path: str | None = None, mode: str = "append", **options: str
 ) -> None:
@@ -22,7 +33,7 @@ def write_messages(
         # like a broker's offsets, these order the messages of a write and tell them apart
         numbered = messages if "offset" in messages.columns else messages.withColumn("offset", F.monotonically_increasing_id())
         # windows overlap, so their messages repeat texts, which only a codec with a wide view makes small
-        compact = {"compression": "zstd"} if fmt == "parquet" else {}
+        compact = {"compression": "zstd", **LARGE_ROWS} if fmt == "parquet" else {}
         numbered.write.format(fmt).mode(mode).options(**{**compact, **options}).save(path)
 
 
